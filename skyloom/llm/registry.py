@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["mixing", "packing"]
+_MODULES = ["mixing", "packing", "quality", "langid", "chat", "toxicity", "simhash"]
 
 
 def _loaded():
