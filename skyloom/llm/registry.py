@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["mixing", "packing", "quality", "langid", "chat", "toxicity", "simhash"]
+_MODULES = ["mixing", "packing", "pii", "quality", "langid", "suffix_dedup", "chat", "toxicity", "simhash", "vector_dedup"]
 
 
 def _loaded():
