@@ -45,14 +45,21 @@ def _names(keys: list[np.ndarray]) -> tuple[np.ndarray, bool]:
     return out, bool(new[1:].all())
 
 
-def cover_ranks(padded: np.ndarray, n: int, depth: int | None = None) -> np.ndarray:
+def cover_ranks(padded: np.ndarray, n: int, depth: int | None = None, need: np.ndarray | None = None) -> np.ndarray:
     """Rank of each sample position among the sample's suffixes (0 elsewhere and past the end).
 
-    With ``depth`` ranks need to tell suffixes apart only within so many bytes.
+    With ``depth`` ranks need to tell suffixes apart only within so many bytes; then the
+    positions ``need``, and those a multiple of the period further on within ``depth``, do.
     """
-    base = np.arange(0, n, PERIOD)
-    at = (base[:, None] + np.array(COVER)).reshape(-1)
-    at = at[at < n]
+    if depth is None or need is None:
+        base = np.arange(0, n, PERIOD)
+        at = (base[:, None] + np.array(COVER)).reshape(-1)
+        at = at[at < n]
+    else:
+        marked = np.zeros(n + depth + PERIOD, bool)
+        for k in range(0, depth, PERIOD):
+            marked[need + k] = True
+        at = np.flatnonzero(marked[:n])
     ranks = np.zeros(n + 2 * PERIOD + PREFIX, np.int64)
     if not len(at):
         return ranks
@@ -75,7 +82,7 @@ def sort_suffixes(text: np.ndarray, at: np.ndarray, depth: int | None = None, bu
     """
     n = len(text)
     padded = np.concatenate((text, np.zeros(PERIOD + PREFIX + 8, np.uint8)))
-    ranks = cover_ranks(padded, n, depth)
+    ranks = cover_ranks(padded, n, depth, at + _SHIFT[at % PERIOD])
     lead = padded[at].astype(np.int64) << 16 | padded[at + 1].astype(np.int64) << 8 | padded[at + 2]
     out = []
     for part in _buckets(lead, bucket):

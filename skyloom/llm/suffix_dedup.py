@@ -139,6 +139,8 @@ class Anchors:
 
 def _hash_rows(rows: np.ndarray) -> np.ndarray:
     h = np.full(len(rows), 0x243F6A8885A308D3, np.uint64)
+    if rows.shape[1] % 8:
+        rows = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))
     words = np.ascontiguousarray(rows).view(np.uint64)
     for k in range(words.shape[1]):
         h = _mixed((h ^ words[:, k]) * _M1 + np.uint64(k))
@@ -270,7 +272,12 @@ def classes(rows: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarr
     n, size = rows.shape
     out = np.full((n, size - length + 1), -1, np.int64)
     span = np.arange(size - length + 1)
-    c, o = np.nonzero((span >= first[:, None]) & (span <= last[:, None]))
+    inside = (span >= first[:, None]) & (span <= last[:, None])
+    out[inside] = np.broadcast_to(ids[:, None], inside.shape)[inside]
+    # Equal strings have equal anchors: a context alone with its anchor's gram needs no sorting.
+    gram = np.ascontiguousarray(rows[:, size - length : length])
+    _, of, many = np.unique(_hash_rows(gram), return_inverse=True, return_counts=True)
+    c, o = np.nonzero(inside & (many[of] > 1)[:, None])
     if not len(c):
         return out
     # Equal strings lie at the same place of their contexts. Contexts as long as a multiple of
