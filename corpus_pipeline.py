@@ -31,13 +31,19 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them: up to twice, or not at all."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    sized = materialize(rows.select("__row", "source", word_count(F.col("text")).alias("__size"), F.array("source").alias("__sources")), "sizes")
+    """Rows as often as the mix takes them: up to twice, or not at all.
+
+    Rows of one id, text and source are taken together. Texts are shuffled once.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key = F.concat(name, F.lit(":"), F.xxhash64("text", F.col("text").isNull(), "source", F.col("source").isNull()).cast("string"))
+    sized = docs.select(key.alias("__row"), "source", word_count(F.col("text")).alias("__size"))
+    sized = sized.groupBy("__row", "source").agg(F.sum("__size").alias("__size")).withColumn("__sources", F.array("source"))
+    sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("__size").alias("s")).limit(mixing.MAX_PATTERNS + 1).collect()
     quotas = mixing.source_quotas([(r["source"], int(r["s"])) for r in totals])
     taken = mixing.mix(sized, quotas, "__row", "__size", "__sources").where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").alias("__copies"))
-    out = rows.join(taken, "__row")
+    out = docs.withColumn("__row", key).join(materialize(taken, "taken").hint("merge"), "__row")  # the same plan at every size
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

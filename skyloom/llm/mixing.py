@@ -131,9 +131,12 @@ def _send(graph, high) -> bool:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """``pos``: the words before a row, in its pattern's seeded order."""
-    sums = rows.groupBy("__pid", "__bucket").agg(F.sum("__size").alias("__sum"))
-    before = W.partitionBy("__pid").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("__pid", "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    sums = rows.groupBy("__pid", "__bucket").agg(F.sum("__size").alias("__sum")).withColumn("__page", F.shiftright("__bucket", 8))
+    earlier = lambda by, *group: F.coalesce(F.sum("__sum").over(W.partitionBy(*group).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pages = sums.groupBy("__pid", "__page").agg(F.sum("__sum").alias("__sum"))  # 256 of a pattern, with 256 buckets each
+    pages = pages.select("__pid", "__page", earlier("__page", "__pid").alias("__paged"))
+    sums = sums.withColumn("__base", earlier("__bucket", "__pid", "__page")).join(pages, ["__pid", "__page"])
+    sums = sums.select("__pid", "__bucket", (F.col("__base") + F.col("__paged")).alias("__base"))
     inner = W.partitionBy("__pid", "__bucket").orderBy("__hash", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
     out = rows.join(sums, ["__pid", "__bucket"])
     return out.withColumn("__pos", F.col("__base") + F.coalesce(F.sum("__size").over(inner), F.lit(0))).drop("__base")

@@ -32,6 +32,8 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 #: Texts a group's sketch must hold before it is used instead of the next wider one.
 MIN_GROUP = 50
+#: Fences that are sent to every task: some megabytes.
+MAX_SENT = 20_000
 #: measure: (numerator, factor, denominator, least distance of a fence from the quartile, fence below too)
 MEASURES = {
     "symbols": ("n_symbols", 1000, "word_chars", 60, False),
@@ -159,10 +161,16 @@ def _group(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Adds __base_failed and __kept to written rows of (__lang, __source, __m, ...)."""
-    fences = thresholds(sketch(rows))
+def judged(rows: DataFrame, fences: DataFrame) -> DataFrame:
+    """Adds __base_failed and __kept to rows of (__lang, __source, __m, ...).
+
+    The fences, one row per language and source, are sent to all tasks if there are at most
+    ``MAX_SENT`` of them, so that rows stay where they are; else the sides are shuffled.
+    """
+    fences = materialize(fences, "fences")
+    few = fences.limit(MAX_SENT + 1).count() <= MAX_SENT
     fences = fences.select(F.col("__lang").alias("__fl"), F.col("__source").alias("__fs"), *[c for c in fences.columns if c[:2] != "__"])
+    fences = F.broadcast(fences) if few else fences
     on = (F.col("__lang") == F.col("__fl")) & (F.col("__source") == F.col("__fs"))
     ok = rows.join(fences, on, "left").withColumns({"__base_failed": base_failed("__m"), "__kept": ~base_failed("__m") & within("__m")})
     return ok.select(*rows.columns, "__base_failed", "__kept")
@@ -171,14 +179,20 @@ def judged(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts and verdict of every row, without its text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), _group(F.col(lang)).alias("__lang"), _group(F.col(source)).alias("__source"), text_counts(F.col(text).cast("string")).alias("__m"))
-    out = judged(materialize(rows, "quality"))
+    rows = materialize(rows, "quality")
+    out = judged(rows, thresholds(sketch(rows)))
     return out.select("doc_id", "__m.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Counting a text again costs less than keeping or shuffling it, so the counts are written
+    for the sketches alone and made anew as the rows pass.
+    """
     rows = docs.withColumns({"__lang": _group(F.col(lang)), "__source": _group(F.col(source)), "__m": text_counts(F.col(text).cast("string"))})
-    return judged(materialize(rows, "quality")).where("__kept").select(*docs.columns)
+    fences = thresholds(sketch(materialize(rows.select("__lang", "__source", "__m"), "quality")))
+    return judged(rows, fences).where("__kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.llm.text import read
@@ -137,11 +138,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest id, with all its columns."""
-    rows = docs.withColumns({"__fp": _long(fingerprints(F.col(text).cast("string"))), "__row": F.monotonically_increasing_id()})
-    rows = materialize(rows.withColumn("__rank", F.struct(F.col(doc_id).isNull(), F.col(doc_id), "__row")), "simhash")
-    first = components(rows, "__fp", "__rank").select(F.col("first.__row").alias("__row")).distinct()
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    """One row of each component, that of the smallest id, with all its columns.
+
+    Of repeated rows of that id one is kept. Texts are shuffled once and not written:
+    fingerprints are made for the search and again for the rows.
+    """
+    rows = docs.withColumns({"__fp": _long(fingerprints(F.col(text).cast("string"))), "__id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))})
+    found = materialize(rows.select("__fp", F.struct("__id", "__fp").alias("__rank")), "simhash")
+    first = components(found, "__fp", "__rank").select("first").distinct()
+    first = found.groupBy("__rank").agg(F.count(F.lit(1)).alias("__n")).join(first, F.col("__rank") == F.col("first"), "left_semi")
+    first = materialize(first.select(F.col("__rank.__fp").alias("__fp"), F.col("__rank.__id").alias("__id"), "__n"), "first")
+    kept = rows.join(first.hint("merge"), ["__fp", "__id"])  # the same plan at every size
+    again = W.partitionBy("__fp", "__id").orderBy(F.xxhash64(*docs.columns))
+    several = kept.where("__n > 1").withColumn("__k", F.row_number().over(again)).where("__k = 1")
+    return kept.where("__n = 1").select(*docs.columns).unionByName(several.select(*docs.columns)) if first.where("__n > 1").limit(1).count() else kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
