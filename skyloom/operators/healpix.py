@@ -11,17 +11,13 @@ from skyloom.functions.sphere import finite
 
 
 def _spread(v: Column) -> Column:
-    """The low 28 bits with a zero after each."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    """The bits with a zero after each: binary digits read to base four."""
+    return F.conv(F.bin(v), 4, 10).cast("long")
 
 
 def _gather(v: Column) -> Column:
-    v = v.bitwiseAND(F.lit(0x5555555555555555))
-    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    """Every other bit: what is left of the digits to base four, read as binary ones."""
+    return F.conv(F.conv(v.bitwiseAND(F.lit(0x5555555555555555)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def pixel(ra, dec, nside: int) -> Column:

@@ -187,10 +187,10 @@ def match(target: DataFrame, ref: DataFrame, survey: Survey, target_id: str = "m
 def summarize(flags: DataFrame, refs: DataFrame) -> DataFrame:
     """One row: completeness, unique share, recovery, oversplit and multiple matches."""
     share = lambda a, b: a / F.when(b > 0, b)
-    n, m = F.count_if("in_footprint"), F.count_if("matched")
-    left = flags.agg(n.alias("n_target"), m.alias("n_matched"), F.count_if("n_ref = 1").alias("n_unique"), F.count_if("n_ref > 1").alias("n_multi"), F.coalesce(F.max("n_ref"), F.lit(0)).alias("max_hits"), share(m, n).alias("completeness"), share(F.count_if("n_ref = 1"), m).alias("unique_fraction"))
+    n, m = F.count_if(F.col("in_footprint")), F.count_if(F.col("matched"))
+    left = flags.agg(n.alias("n_target"), m.alias("n_matched"), F.count_if(F.col("n_ref") == 1).alias("n_unique"), F.count_if(F.col("n_ref") > 1).alias("n_multi"), F.coalesce(F.max("n_ref"), F.lit(0)).alias("max_hits"), share(m, n).alias("completeness"), share(F.count_if(F.col("n_ref") == 1), m).alias("unique_fraction"))
     r = F.count(F.lit(1))
-    right = refs.agg(r.alias("n_ref_footprint"), F.count_if("matched").alias("n_ref_matched"), F.count_if("oversplit").alias("n_oversplit"), share(F.count_if("matched"), r).alias("recovery"))
+    right = refs.agg(r.alias("n_ref_footprint"), F.count_if(F.col("matched")).alias("n_ref_matched"), F.count_if(F.col("oversplit")).alias("n_oversplit"), share(F.count_if(F.col("matched")), r).alias("recovery"))
     return left.crossJoin(right)  # one row each
 
 
@@ -266,8 +266,9 @@ def attach_narrow(meta: DataFrame, ref: DataFrame, survey: Survey, bands: Sequen
 def attach_best(meta: DataFrame, ref: DataFrame, survey: Survey, order: Sequence[Column], columns: Sequence[str], ref_id: str = "ref_id", id: str = "meta_id", suffix: str = "") -> DataFrame:
     """The best counterpart of each row by ``order``, then distance, then id."""
     found = match(meta, ref, survey, id, ref_id).edges
-    rows = found.join(ref, F.col("ref_id") == ref[ref_id]) if ref_id != "ref_id" else found.join(ref, "ref_id")
-    first = W.partitionBy("base_id").orderBy(*order, "sep_deg", "ref_id")
+    found = found.withColumnRenamed("ref_id", "__ref")
+    rows = found.join(ref, F.col("__ref") == F.col(ref_id))
+    first = W.partitionBy("base_id").orderBy(*order, "sep_deg", "__ref")
     rows = rows.withColumns({"__n": F.row_number().over(first), "n_hits": F.count(F.lit(1)).over(W.partitionBy("base_id"))}).where("__n = 1")
     hit = rows.select(F.col("base_id").alias("__base"), F.col("n_hits").alias(f"n_hits{suffix}"), F.col("sep_deg").alias(f"sep_deg{suffix}"), *[F.col(c).alias(f"{c}{suffix}") for c in columns])
     return meta.join(hit, F.col(id) == F.col("__base"), "left").drop("__base").withColumn(f"n_hits{suffix}", F.coalesce(f"n_hits{suffix}", F.lit(0).cast("long")))

@@ -113,9 +113,10 @@ def tile_merge(detections: DataFrame, id: str, band: str) -> DataFrame:
 def best_hits(edges: DataFrame, ref: DataFrame, ref_id: str, representative: str = "elevation") -> DataFrame:
     """The picked reference row of each base_id, with ``n_assoc`` and ``n_confused``."""
     hits = edges.withColumns({"n_confused": F.count(F.lit(1)).over(W.partitionBy("ref_id")), "n_assoc": F.count(F.lit(1)).over(W.partitionBy("base_id"))})
-    rows = hits.join(ref, F.col("ref_id") == ref[ref_id])
+    hits = hits.withColumnRenamed("ref_id", "__ref")
+    rows = hits.join(ref, F.col("__ref") == F.col(ref_id))
     lst = next((c for c in ("lst_hour", "representative_lst") if c in ref.columns), None)
-    return _ranked(rows, ["base_id"], "ref_id", representative == "elevation", lst).where("__rank = 1").drop("__rank")
+    return _ranked(rows, ["base_id"], "__ref", representative == "elevation", lst).where("__rank = 1").drop("__rank")
 
 
 def _value(columns: Sequence[str], c: str, prefix: str = "") -> Column:

@@ -85,12 +85,12 @@ def lst_merge(s, d):
 
 @_query(
     "tile_merge",
-    f"""WITH RECURSIVE {_D}, {_closure("AND a.tile_ipix <> b.tile_ipix")}, {_JITTER}, jit AS (SELECT m.root, {_OFF} AS j, count(*) AS n_members FROM m JOIN cen USING (root) GROUP BY m.root),
+    f"""WITH RECURSIVE {_D}, {_closure("AND a.tile_ipix <> b.tile_ipix")}, {_JITTER}, jit AS (SELECT m.root, {_OFF} AS scatter, count(*) AS n_members FROM m JOIN cen USING (root) GROUP BY m.root),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY Total_flux DESC, det_id) AS n FROM m)
-SELECT det_id, root, round(Total_flux, 6) AS Total_flux, CAST(1 AS BIGINT) AS n_lst_contributions, '' AS lst_hours, 'healpix' AS representative_lst, n_members, round(j, 6) AS cluster_jitter_rms_deg FROM ranked JOIN jit USING (root) WHERE n = 1""",
+SELECT det_id, root, round(Total_flux, 8) AS Total_flux, CAST(1 AS BIGINT) AS n_lst_contributions, '' AS lst_hours, 'healpix' AS representative_lst, n_members, round(scatter, 6) AS cluster_jitter_rms_deg FROM ranked JOIN jit USING (root) WHERE n = 1""",
 )
 def tile_merge(s, d):
-    return merge.tile_merge(_det(s, d), "det_id", "Full").select("det_id", "root", _r("Total_flux"), "n_lst_contributions", "lst_hours", "representative_lst", "n_members", _r("cluster_jitter_rms_deg"))
+    return merge.tile_merge(_det(s, d), "det_id", "Full").select("det_id", "root", _r("Total_flux", 8), "n_lst_contributions", "lst_hours", "representative_lst", "n_members", _r("cluster_jitter_rms_deg"))
 
 
 @_query("cluster_jitter", f"WITH RECURSIVE {_D}, {_closure()}, {_JITTER} SELECT m.root, count(*) AS n, round({_OFF}, 6) AS jitter_rms_deg FROM m JOIN cen USING (root) GROUP BY m.root")
@@ -339,9 +339,9 @@ def flux_sigma(s, d):
     return _cat(s, d).select("meta_id", F.round(X.flux_sigma("Total_flux", "Peak_flux", "E_Total_flux", "E_Peak_flux"), 6).alias("sigma"))
 
 
-@_query("peak_from_total", f"WITH {_C} SELECT meta_id, round(Total_flux * BMAJ_match * BMAJ_match / (Maj * Min), 6) AS peak FROM cat")
+@_query("peak_from_total", f"WITH {_C} SELECT meta_id, round(Total_flux * BMAJ_match * BMAJ_match / (Maj * Min), 4) AS peak FROM cat")
 def peak_from_total(s, d):
-    return _cat(s, d).select("meta_id", F.round(X.peak_from_total("Total_flux", "BMAJ_match", "BMAJ_match", "Maj", "Min"), 6).alias("peak"))
+    return _cat(s, d).select("meta_id", F.round(X.peak_from_total("Total_flux", "BMAJ_match", "BMAJ_match", "Maj", "Min"), 4).alias("peak"))
 
 
 def _bits(s, d):

@@ -16,12 +16,9 @@ def numbered(df: DataFrame, name: str, *order: Column | str, start: int = 0) ->
     is a count per range.
     """
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    keys = [c.alias(f"__o{k}") for k, c in enumerate(cols)]
-    dealt = df.select("*", *keys)
-    names = [f"__o{k}" for k in range(len(cols))]
-    dealt = materialize(dealt.repartitionByRange(*[F.col(n) for n in names]).withColumn("__part", F.spark_partition_id()), "numbered")
+    dealt = materialize(df.repartitionByRange(*cols).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = F.broadcast(sizes.select("__part", before.alias("__before")))  # one row per partition
-    own = F.row_number().over(W.partitionBy("__part").orderBy(*names)) - 1
-    return dealt.join(sizes, "__part").withColumn(name, F.col("__before") + own + start).drop("__part", "__before", *names)
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*cols)) - 1
+    return dealt.join(sizes, "__part").withColumn(name, F.col("__before") + own + start).drop("__part", "__before")
