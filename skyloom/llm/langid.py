@@ -107,9 +107,12 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray], block: int = BLOC
     columns = np.ascontiguousarray(flat[order].T)
     running = np.searchsorted(-size[order], -np.arange(block), side="left")
     for k, table in enumerate(tables):
-        wide, lookup = table.shape[1], np.ravel(table)
-        first = np.maximum(table[0], 0).astype(np.int64) * wide
-        state, found = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int32)
+        # One more state, where nothing continues, stands before the first symbol and
+        # after one that the sample lacks: the next symbol starts a phrase.
+        wide, lookup = table.shape[1], np.append(np.ravel(table), np.full(table.shape[1], -1, np.int32))
+        none = table.size
+        first = np.where(table[0] < 0, none, table[0].astype(np.int64) * wide)
+        state, found = np.full(n, none, dtype=np.int64), np.zeros(n, dtype=np.int32)
         for j in range(block):
             m = running[j]
             if not m:
