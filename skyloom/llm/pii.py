@@ -71,7 +71,7 @@ _PATTERN = re.compile(
     r"|(?P<name>(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(ADDRESS, key=len, reverse=True)) + r")[ \t]+" + _WORD + r"(?:[ \t]+" + _WORD + r"){0,2})"
 )
 #: A text without any of these has no entity.
-_HINT = re.compile(r"@|\d{2}|" + "|".join(re.escape(x) for x in ADDRESS))
+_HINT = re.compile(r"@|\d\.?\d|" + "|".join(re.escape(x) for x in ADDRESS))
 
 
 def _round(key: bytes, tweak: bytes, k: int, half: int, v: int) -> int:
