@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.sphere import finite, separation, wrap_ra
+from skyloom.plans.shared import materialize
 
 #: Smallest level: cells of 2**-12 degrees, below one arcsecond.
 FINEST = -12
@@ -44,31 +45,37 @@ def sky_pairs(base: DataFrame, ref: DataFrame, base_id: str | list = "base_id",
 
     ``extra`` lists columns that both sides must share. ``reach`` multiplies the radii.
     """
-    extra = list(extra)
-    scale = lambda r: (r if isinstance(r, Column) else F.col(r) if isinstance(r, str) else F.lit(float(r))) * reach
-    b = _side(base, [base_id, *extra], base_ra, base_dec, scale(base_radius), "b")
-    r = _side(ref, [ref_id, *extra], ref_ra, ref_dec, scale(ref_radius), "r")
-    # At most some twenty classes of radius exist: the levels that the data need.
-    levels = sorted({x[0] for x in b.select("b_level").distinct().union(r.select("r_level").distinct()).collect()})
-    if not levels:
-        levels = [FINEST]
-    wanted = lambda own: F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= own)
-    b = b.withColumn("level", F.explode(wanted(F.col("b_level"))))
-    r = r.withColumn("level", F.explode(wanted(F.col("r_level"))))
+    extra, factor = list(extra), reach
+    scale = lambda r: (r if isinstance(r, Column) else F.col(r) if isinstance(r, str) else F.lit(float(r))) * factor
+    # Narrow rows are written once: they are read for the levels and for each side.
+    b = materialize(_side(base, [base_id, *extra], base_ra, base_dec, scale(base_radius), "b"), "sky")
+    alike = base is ref and (base_id, base_ra, base_dec) == (ref_id, ref_ra, ref_dec) and base_radius is ref_radius
+    if alike:
+        r = b.select(*[F.col(c).alias("r" + c[1:]) for c in b.columns])
+    else:
+        r = materialize(_side(ref, [ref_id, *extra], ref_ra, ref_dec, scale(ref_radius), "r"), "sky")
+    # At most some twenty classes of radius exist: the levels that the data need, with the
+    # largest radius of each.
+    radii = b.groupBy(F.col("b_level").alias("l")).agg(F.max("b_r").alias("m")).union(r.groupBy("r_level").agg(F.max("r_r")))
+    found = {x["l"]: x["m"] for x in radii.groupBy("l").agg(F.max("m").alias("m")).collect()} or {FINEST: 0.0}
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(m).alias("reach")) for k, m in sorted(found.items())])).alias("x")
+    b = b.select("*", every).where("x.level >= b_level").select(*b.columns, "x.level")
+    r = r.select("*", every).where("x.level >= r_level").select(*r.columns, "x.level", "x.reach")
     size = F.pow(F.lit(2.0), F.col("level"))
     b = b.withColumn("zone", F.floor(F.col("b_dec") / size).cast("int"))
     n = _cells_in_zone(F.col("zone"), size)
     b = b.withColumn("cell", F.least(n - 1, F.floor(F.col("b_ra") / (360.0 / n)).cast("int")))
-    home = F.floor(F.col("r_dec") / size).cast("int")
-    r = r.withColumn("zone", F.explode(F.sequence(home - 1, home + 1)))
+    reach = F.col("reach") * (1 + 1e-9) + 1e-9  # rounding must not lose a pair at the radius
+    zone_of = lambda d: F.floor(d / size).cast("int")
+    r = r.withColumn("zone", F.explode(F.sequence(zone_of(F.col("r_dec") - reach), zone_of(F.col("r_dec") + reach))))
     n = _cells_in_zone(F.col("zone"), size)
     edge = F.least(F.lit(90.0), F.greatest(F.abs(F.col("zone") * size), F.abs((F.col("zone") + 1) * size)))
     narrow = F.sqrt(F.cos(F.radians(edge)) * F.cos(F.radians("r_dec")))
-    half = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.least(size, F.lit(180.0))) / 2) / F.greatest(narrow, F.lit(1e-12)))))
+    half = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.least(reach, F.lit(180.0))) / 2) / F.greatest(narrow, F.lit(1e-12)))))
     width = 360.0 / n
     low, high = F.floor((F.col("r_ra") - half) / width).cast("int"), F.floor((F.col("r_ra") + half) / width).cast("int")
-    cells = F.when((high - low + 1 >= n) | (n == 1), F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(low, F.greatest(low, high)), lambda x: F.pmod(x, n)))
-    r = r.withColumn("cell", F.explode(F.array_distinct(cells)))
+    r = r.withColumns({"n": n, "low": low, "high": F.least(high, low + n - 1)})  # no cell twice
+    r = r.withColumn("cell", F.explode(F.sequence("low", "high"))).withColumn("cell", F.pmod("cell", "n"))
     on = (b["level"] == r["level"]) & (b["zone"] == r["zone"]) & (b["cell"] == r["cell"])
     for k in range(len(extra)):
         on = on & (b[f"b{k + 1}"] == r[f"r{k + 1}"])
