@@ -1,15 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its lower-cased terms, hashed to 2**18 buckets. The machine scores
+A text is the set of its lower-cased terms, hashed to 2**31 buckets. The machine scores
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 so a pair of terms can count for more, or less, than the two on their own. Fitted by
-logistic loss with Adagrad on at most ``max_rows`` labelled rows (those of smallest hashed
+logistic loss on at most ``max_rows`` labelled rows (those of smallest hashed
 id), whose terms alone reach the driver: that bound keeps the fit on one machine, while
 every document is scored in full by the executors. Only terms that part the two classes by
-four standard errors, in at least three and 0.8 % of the rows, have a weight: the long
-tail of rare terms would otherwise learn the noise of single labels. Rows whose terms
+4.5 standard errors, in at least four and 0.05 % of the rows, have a weight, and only
+these are kept: the long tail of terms would otherwise learn the noise of single labels. Rows whose terms
 agree in four min-hashes are near copies and count once.
 
 Null and empty texts have no terms and score by ``w0``; a document with several labels counts
@@ -31,7 +31,7 @@ from skyloom.llm.text import crc_of_id, read
 NAME = "op8_factorization_toxicity"
 ORACLE_SQL = None  # a fitted model; held against held-out labels instead
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 31
 FACTORS = 8
 MAX_ROWS = 12_000
 
@@ -61,24 +61,36 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[np.concatenate(([0], ends[:-1]))]
 
 
-def logits(rows: list[np.ndarray], model: tuple) -> np.ndarray:
-    w0, w, v = model
-    if not rows:
-        return np.empty(0)
-    ends = np.cumsum([len(r) for r in rows])
-    at = np.concatenate(rows).astype(np.int64)
+def _places(rows: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows' terms among sorted ``ids``, run together without unknown terms, and the ends of the rows."""
+    flat = np.concatenate([np.empty(0, np.int32), *rows])
+    at = np.searchsorted(ids, flat)
+    ok = (at < len(ids)) & (np.append(ids, -1)[np.minimum(at, len(ids))] == flat)
+    upto = np.concatenate(([0], np.cumsum(ok)))
+    return at[ok], upto[np.cumsum([len(r) for r in rows], dtype=np.int64)]
+
+
+def _scores(at: np.ndarray, ends: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     inner = _sums(v[at], ends)
     return w0 + _sums(w[at], ends) + 0.5 * ((inner**2).sum(1) - _sums((v[at] ** 2).sum(1), ends))
 
 
-def _apart(rows: list[np.ndarray], labels: np.ndarray, buckets: int, errors: float = 4.0, share: float = 0.008) -> np.ndarray:
-    """Which terms are commoner in one class than chance allows."""
-    empty = np.empty(0, np.int64)
-    seen = [np.bincount(np.concatenate([empty, *(r for r, y in zip(rows, labels) if y == k)]), minlength=buckets) for k in (0, 1)]
-    size = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    both = (seen[0] + seen[1] + 1) / (sum(size) + 2)
-    z = (seen[1] / size[1] - seen[0] / size[0]) / np.sqrt(both * (1 - both) * (1 / size[0] + 1 / size[1]))
-    return (np.abs(z) >= errors) & (seen[0] + seen[1] >= max(3, share * len(rows)))
+def logits(rows: list[np.ndarray], model: tuple) -> np.ndarray:
+    w0, ids, w, v = model
+    return _scores(*_places(rows, ids), w0, w, v) if rows else np.empty(0)
+
+
+def _apart(rows: list[np.ndarray], labels: np.ndarray, errors: float = 4.5, share: float = 0.0005) -> np.ndarray:
+    """Sorted terms that are commoner in one class than chance allows."""
+    ids, of = np.unique(np.concatenate([np.empty(0, np.int32), *rows]), return_inverse=True)
+    y = np.repeat(labels, [len(r) for r in rows])
+    one = np.bincount(of, y, len(ids))
+    zero = np.bincount(of, minlength=len(ids)) - one
+    n1 = max(1.0, float(labels.sum()))
+    n0 = max(1.0, len(labels) - float(labels.sum()))
+    both = (zero + one + 1) / (n0 + n1 + 2)
+    z = (one / n1 - zero / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
+    return ids[(np.abs(z) >= errors) & (zero + one >= max(4, share * len(rows)))]
 
 
 def _once(rows: list[np.ndarray]) -> list[int]:
@@ -91,41 +103,37 @@ def _once(rows: list[np.ndarray]) -> list[int]:
     return list(first.values())
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, factors: int = FACTORS, epochs: int = 40, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> tuple:
-    """(w0, w, v); the same rows in the same order give the same model."""
-    w, v = np.zeros(buckets, np.float32), np.zeros((buckets, factors), np.float32)
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 400, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> tuple:
+    """(w0, terms, w, v) by Adam on the whole sample; the same rows in the same order give the same model."""
+    none = np.empty(0, np.int32), np.empty(0), np.empty((0, factors))
     if not rows:
-        return -1e9, w, v
-    rng = np.random.default_rng(seed)
+        return -1e9, *none
     single = _once(rows)
     rows, labels = [rows[k] for k in single], labels[single]
-    known = _apart(rows, labels, buckets)
-    rows = [r[known[r]] for r in rows]
-    v[known] = rng.normal(0, 0.01, (int(known.sum()), factors))
     share = float(np.clip(labels.mean(), 0.001, 0.999))
-    w0 = float(np.log(share / (1 - share)))
-    gw, gv, g0 = np.full(buckets, 1e-2, np.float32), np.full((buckets, factors), 1e-2, np.float32), 1e-2
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), 64):
-            part = order[a : a + 64]
-            mine = [rows[k] for k in part]
-            sizes = np.array([len(r) for r in mine])
-            at = np.concatenate(mine).astype(np.int64)
-            error = 1 / (1 + np.exp(-np.clip(logits(mine, (w0, w, v)), -30, 30))) - labels[part]
-            g0 += float(error.mean() ** 2)
-            w0 -= rate * float(error.mean()) / g0**0.5
-            each = np.repeat(error, sizes)
-            inner = np.repeat(_sums(v[at], np.cumsum(sizes)), sizes, axis=0)
-            seen, to = np.unique(at, return_inverse=True)
-            dw = np.bincount(to, each, len(seen)) / len(part) + decay * w[seen]
-            dv = each[:, None] * (inner - v[at]) / len(part)
-            dv = np.stack([np.bincount(to, dv[:, f], len(seen)) for f in range(factors)], 1) + decay * v[seen]
-            gw[seen] += dw**2
-            gv[seen] += dv**2
-            w[seen] -= rate * dw / np.sqrt(gw[seen])
-            v[seen] -= 0.2 * rate * dv / np.sqrt(gv[seen])
-    return w0, w, v
+    start = float(np.log(share / (1 - share)))
+    ids = _apart(rows, labels)
+    if not len(ids):
+        return start, *none
+    at, ends = _places(rows, ids)
+    sizes = np.diff(ends, prepend=0)
+    rng = np.random.default_rng(seed)
+    p = np.concatenate((np.zeros((len(ids), 1)), rng.normal(0, 0.05, (len(ids), factors))), axis=1)
+    p = np.vstack((p, [start, *[0.0] * factors]))  # the last row holds w0
+    first, second = np.zeros_like(p), np.zeros_like(p)
+    for k in range(1, steps + 1):
+        u = p[:-1, 1:]
+        z = _scores(at, ends, p[-1, 0], p[:-1, 0], u)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
+        each = np.repeat(error, sizes)
+        pull = each[:, None] * (np.repeat(_sums(u[at], ends), sizes, axis=0) - u[at])
+        g = decay * p
+        g[:-1, 0] += np.bincount(at, each, len(ids))
+        g[:-1, 1:] += np.stack([np.bincount(at, pull[:, f], len(ids)) for f in range(factors)], 1)
+        g[-1] = [error.sum(), *[0.0] * factors]
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        p -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+    return float(p[-1, 0]), ids, p[:-1, 0], p[:-1, 1:]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple:
