@@ -94,8 +94,11 @@ def _counted(text: pa.Array) -> pa.Array:
 
 
 def text_counts(text: Column) -> Column:
-    """The struct of counts of a text column."""
-    return F.arrow_udf(_counted, "struct<" + ",".join(f"{c}:long" for c in _COUNTS) + ">")(text)
+    """The struct of counts of a text column.
+
+    Declared not deterministic, so that the optimizer makes no second call of it.
+    """
+    return F.arrow_udf(_counted, "struct<" + ",".join(f"{c}:long" for c in _COUNTS) + ">").asNondeterministic()(text)
 
 
 def _floor(v: Column) -> Column:

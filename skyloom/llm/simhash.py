@@ -69,7 +69,8 @@ def _fingerprinted(text: pa.Array) -> pa.Array:
 
 
 def fingerprints(text: Column) -> Column:
-    return F.arrow_udf(_fingerprinted, "binary")(text)
+    """Fingerprints of a text column; declared not deterministic, so that the optimizer makes no second call."""
+    return F.arrow_udf(_fingerprinted, "binary").asNondeterministic()(text)
 
 
 def _long(c):
