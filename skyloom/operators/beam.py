@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import bands as B
 from skyloom.functions.flux import zenith_south
 from skyloom.functions.sphere import LATITUDE, finite, positive
+from skyloom.sources.sidecar import read_json, write_json
 
 
 def unconfused(columns: Sequence[str], band: str) -> Column:
@@ -117,13 +117,9 @@ def scale_literal(scales: dict, part: str = "alpha", band: str = "band") -> Colu
 
 def read_scale(spark: SparkSession, path: str) -> dict:
     """A JSON sidecar: a number, or numbers or {alpha, kappa} by band."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
-    data = json.loads(text)
+    data = read_json(spark, path)
     return data if isinstance(data, dict) else {"*": float(data)}
 
 
 def write_scale(spark: SparkSession, path: str, scales: dict) -> None:
-    out = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = out.getFileSystem(spark._jsc.hadoopConfiguration()).create(out, True)
-    stream.write(bytearray(json.dumps(scales, indent=1, sort_keys=True).encode()))
-    stream.close()
+    write_json(spark, path, scales)

@@ -201,7 +201,7 @@ def bijective(edges: DataFrame) -> DataFrame:
 
 
 def native_frame(meta: DataFrame, id: str = "meta_id", radius: Radius = Radius()) -> DataFrame:
-    return meta.select(F.col(id).alias("id"), finite("RA").alias("RA"), finite("DEC").alias("DEC"), radius.column(meta.columns).alias("BMAJ"), F.lit("LWA").alias("match_source"))
+    return meta.select(F.col(id).alias("id"), finite("RA").alias("RA"), finite("DEC").alias("DEC"), radius.column(meta.columns).alias("BMAJ"), F.lit("native").alias("match_source"))
 
 
 def advance(frame: DataFrame, ref: DataFrame, pairs: DataFrame, ref_id: str, radius: Radius, source: str) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from skyloom.functions import bands as B
 from skyloom.functions import flux as X
 from skyloom.functions import quality as Q
+from skyloom.functions import selection as SEL
 from skyloom.functions import sphere as S
 from skyloom.functions import text as TX
+from skyloom.functions.register import register
 from skyloom.operators import associations as A
 from skyloom.operators import beam, detection, healpix, match, merge, outliers, reliability, spectral, summary, trace
 from skyloom.operators.skyjoin import nearest, sky_neighbours, sky_pairs, within_field
@@ -249,7 +251,7 @@ _HYPOT = "CASE WHEN b.E_RA > 0 AND b.E_DEC > 0 THEN sqrt(b.E_RA * b.E_RA + b.E_D
 
 @_query(
     "cascade_bootstrap",
-    f"""WITH {_C}, {_REFS}, f0 AS (SELECT meta_id AS id, RA, DEC, BMAJ_match AS r, 'LWA' AS src FROM cat),
+    f"""WITH {_C}, {_REFS}, f0 AS (SELECT meta_id AS id, RA, DEC, BMAJ_match AS r, 'native' AS src FROM cat),
 {_step("f0", "sup", "(3.0 / 3600.0)", "VLSSR", _BOX, 0)}, {_step("f1", "cust", _HYPOT.format("7.0"), "NVSS", _BOX + " AND DEC >= -40", 1)}, {_step("f2", "par", _HYPOT.format("2.5"), "VLASS", _BOX + " AND DEC >= -40", 2)}
 SELECT id, round(RA, 6) AS RA, round(DEC, 6) AS DEC, round(r, 6) AS BMAJ, src AS match_source FROM f3""",
 )
@@ -712,6 +714,47 @@ def map_residual_stats(s, d):
     return out.select(*[_r(c) for c in out.columns])
 
 
+@_query("shape_complete", f"WITH {_C} SELECT meta_id FROM cat WHERE Maj > 0 AND Min > 0 AND PA IS NOT NULL")
+def shape_complete(s, d):
+    return _cat(s, d).where(SEL.shape_complete()).select("meta_id")
+
+
+@_query("flux_or_peak", f"WITH {_SP} SELECT meta_id, round(coalesce(\"Total_flux_41MHz\", \"Peak_flux_41MHz\"), 6) AS flux FROM spec")
+def flux_or_peak(s, d):
+    rows = _spec(s, d)
+    return rows.select("meta_id", F.round(SEL.band_flux(rows.columns, "41MHz"), 6).alias("flux"))
+
+
+@_query("above_elevation", f"WITH {_C} SELECT meta_id FROM cat, LATERAL (SELECT CAST(left(representative_lst, 2) AS DOUBLE) * 15 AS RA, {S.LATITUDE} AS DEC) z WHERE 90 - {separation('z', 'cat')} > 40")
+def above_elevation(s, d):
+    return _cat(s, d).where(SEL.above_elevation("RA", "DEC", "representative_lst", 40.0)).select("meta_id")
+
+
+@_query("class_filter", "SELECT p_partkey FROM part WHERE upper(trim(p_brand)) IN ('BRAND#11', 'BRAND#12')")
+def class_filter(s, d):
+    return s.read.parquet(f"{d}/part.parquet").where(SEL.folded("p_brand", ["brand#11 ", "Brand#12"])).select("p_partkey")
+
+
+@_query("sql_functions", f"WITH {_C}, q AS (SELECT 12.0 AS RA, 34.0 AS DEC) SELECT meta_id, round({separation('q', 'cat')}, 6) AS sep, quality_flag & 16 <> 0 AS bit4, bands_present LIKE '%Blue%' AS blue FROM cat, q")
+def sql_functions(s, d):
+    register(s)
+    return s.sql("SELECT meta_id, round(sky_sep_deg(12D, 34D, RA, DEC), 6) AS sep, has_quality_bit(quality_flag, 4) AS bit4, has_band(bands_present, 'Blue') AS blue FROM {cat}", cat=_cat(s, d))
+
+
+@_query("luminosity_pairs", f"WITH {_C}, {_REFS} SELECT meta_id, round(Total_flux * ref.Total_flux, 4) AS product, kind FROM cat JOIN par ref ON ref.ref_id = meta_id WHERE ref.Total_flux > 1")
+def luminosity_pairs(s, d):
+    ref = relation(s, d, PARTS).select(F.col("ref_id").alias("meta_id"), F.col("Total_flux").alias("f"), "kind").where("f > 1")
+    return _cat(s, d).join(ref, "meta_id").select("meta_id", F.round(F.col("Total_flux") * F.col("f"), 4).alias("product"), "kind")
+
+
+@_query("streaming_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_windows(s, d):
+    from skyloom.streaming.ingest import windowed_counts
+
+    events = s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +37,26 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    _written.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _written.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what :func:`materialize` wrote; nothing lazy may still read it."""
     path = getattr(df, "_shared_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+
+
+def purge(spark: SparkSession) -> int:
+    """Remove all that this process has written to the shared folder, once results have been consumed."""
+    paths = sorted(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

@@ -269,6 +269,37 @@ def test_streamed_detections_are_merged(spark, tmp_path):
     assert len(out) == 1 and out[0]["n_lst_contributions"] == 2
 
 
+def test_images_and_sidecars(spark, tmp_path):
+    import pandas as pd
+
+    from skyloom.sources import images, sidecar
+
+    for name in ("Blue_I_LST01h.fits", "Red_I_LST02h.fits"):
+        (tmp_path / name).write_bytes(name.encode())
+
+    def detector(path, content):
+        if "Red" in path:
+            raise ValueError("bad image")
+        return pd.DataFrame({"RA": [float(len(content))], "DEC": [1.0]})
+
+    out = images.labelled(images.detect(spark, str(tmp_path), detector, "RA double, DEC double")).collect()
+    assert {(r["band"], r["lst_hour"], r["RA"], r["status"]) for r in out} == {("Blue", "01h", 18.0, "ok"), ("Red", "02h", None, "failed: bad image")}
+    path = str(tmp_path / "prefs.json")
+    assert sidecar.load_columns(spark, path) == []
+    sidecar.save_columns(spark, path, ["RA", "x", "RA"])
+    assert sidecar.load_columns(spark, path, ["RA", "DEC"]) == ["RA"]
+
+
+def test_apply_crossband(spark):
+    from skyloom.operators.detection import apply_crossband
+
+    target = spark.createDataFrame([(1, 10.0, 0.0, 1.0, 1.0), (2, 20.0, 0.0, 5.0, 5.0)], "id long, RA double, DEC double, Peak_flux double, Total_flux double")
+    actions = spark.createDataFrame([("replace", 1, "Blue", 7, 9.0), ("insert", None, "Red", 8, 3.0), ("insert", None, "Red", 9, 2.0), ("skip", 2, "Red", 3, 1.0)], "action string, target_id long, seed_band string, seed_id long, seed_peak double")
+    fit = lambda a: a.withColumns({"ok": F.lit(True), "forced_Peak": F.col("seed_peak"), "forced_Total": F.col("seed_peak") * 1.05, "forced_RA": F.lit(30.0), "forced_DEC": F.lit(1.0), "forced_resid_rms": F.when(F.col("seed_id") == 9, 50.0).otherwise(0.05)})
+    out = {r["id"]: r for r in apply_crossband(target, actions, "id", fit).collect()}
+    assert set(out) == {1, 2, -2} and out[1]["Peak_flux"] == 9.0 and out[1]["forced_mode"] == "replace" and out[-2]["Total_flux"] == pytest.approx(3.15) and out[2]["forced"] is False
+
+
 def test_selection(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "meta_id long, x double")
     assert summary.select_rows(df, [2]).count() == 1 and summary.select_rows(df, "x == 2.0").count() == 1

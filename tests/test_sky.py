@@ -144,7 +144,7 @@ def test_cascade_moves_on_only_where_one_to_one(spark):
     meta = spark.createDataFrame([(0, 10.0, 0.0, 0.1), (1, 20.0, 0.0, 0.1), (2, 20.05, 0.0, 0.1)], "meta_id long, RA double, DEC double, BMAJ_match double")
     vl = spark.createDataFrame([(5, 10.02, 0.0), (6, 20.02, 0.0)], "ref_id long, RA double, DEC double")
     got = {r["id"]: r for r in match.cascade(meta, {"VLSSR": vl}).collect()}
-    assert got[0]["match_source"] == "VLSSR" and got[0]["RA"] == 10.02 and got[0]["BMAJ"] == pytest.approx(3 / 3600) and got[1]["match_source"] == "LWA"
+    assert got[0]["match_source"] == "VLSSR" and got[0]["RA"] == 10.02 and got[0]["BMAJ"] == pytest.approx(3 / 3600) and got[1]["match_source"] == "native"
 
 
 def test_field_nearest_numbering(spark):
