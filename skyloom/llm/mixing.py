@@ -142,11 +142,22 @@ def _placed(rows: DataFrame) -> DataFrame:
     return out.withColumn("__pos", F.col("__base") + F.coalesce(F.sum("__size").over(inner), F.lit(0))).drop("__base")
 
 
+def _taken_too(rows: DataFrame, fill: DataFrame) -> DataFrame:
+    """One more copy of the rows ``fill``, for the last source of their pattern. A repeated row is left out."""
+    on = ["__id", "__hash", "__size", "__pid"]
+    alone = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").drop("__n")
+    once = fill.select(*on).distinct().join(alone, on).withColumn("__more", F.lit(1))
+    last = F.array(F.expr("__parts[size(__parts) - 1].source"))
+    won = F.when(F.col("__more") == 1, F.concat("__won", last)).otherwise(F.col("__won"))
+    return materialize(rows.join(once, on, "left").withColumn("__won", won).drop("__more"), "mix")
+
+
 def mix(docs: DataFrame, quotas: dict, doc_id: str = "doc_id", size: str = "size", sources: str = "sources", epochs: int = 2, seed: int = SEED, fills: int = 3, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """(doc_id, size, sources, copies, taken, taken_for): how often the mix takes each row, and for which source.
 
     ``sources`` is an array column, ``quotas`` the words wanted of each source. Copies are
-    whole texts; what rounding leaves open is filled with later texts that fit.
+    whole texts; what rounding leaves open is filled with later texts that fit, at last with
+    the one text nearest in size.
     """
     spark = docs.sparkSession
     key = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(sources), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit(_NULL)))))
@@ -178,16 +189,16 @@ def mix(docs: DataFrame, quotas: dict, doc_id: str = "doc_id", size: str = "size
         return F.when(fits & (F.col("__size") > 0), F.filter("__parts", lambda x: (x["lo"] <= mid) & (mid < x["hi"]))[0]["source"])
 
     rows = materialize(rows.withColumn("__won", F.array_compact(F.array(*map(lot, range(epochs))))), "mix")
-    last = F.expr("__parts[size(__parts) - 1].source")
-    for _ in range(fills):
+    for k in range(fills + 1):
         gap = rows.groupBy("__pid").agg((F.first("__flow") - F.sum(F.col("__size") * F.size("__won"))).alias("__gap"))
-        open_ = rows.join(F.broadcast(gap), "__pid").where((F.size("__won") < epochs) & (F.col("__size") > 0) & (F.col("__size") <= F.col("__gap")))  # gap: a row per pattern
-        fill = _placed(open_.drop("__pos")).where(F.col("__pos") + F.col("__size") <= F.col("__gap"))
-        fill = fill.select("__id", "__hash", "__size", "__pid", F.lit(1).alias("__more")).distinct()
-        on = ["__id", "__hash", "__size", "__pid"]
-        known = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-        once = fill.join(known, [*on]).where("__n = 1").drop("__n")  # a repeated row is filled as a whole or not at all
-        rows = materialize(rows.join(once, on, "left").withColumn("__won", F.when(F.col("__more") == 1, F.concat("__won", F.array(last))).otherwise(F.col("__won"))).drop("__more"), "mix")
+        open_ = rows.join(F.broadcast(gap), "__pid").where((F.size("__won") < epochs) & (F.col("__size") > 0))  # gap: a row per pattern
+        if k < fills:
+            fill = _placed(open_.where(F.col("__size") <= F.col("__gap")).drop("__pos")).where(F.col("__pos") + F.col("__size") <= F.col("__gap"))
+        else:  # one more text, though it goes beyond, if that is nearer
+            off = F.struct(F.abs(F.col("__size") - F.col("__gap")).alias("off"), "__hash", "__id", "__size")
+            near = open_.where(F.col("__size") < 2 * F.col("__gap")).groupBy("__pid").agg(F.min(off).alias("x"))
+            fill = near.select("__pid", "x.*")
+        rows = _taken_too(rows, fill)
     named = lambda c: F.transform(c, lambda x: F.when(x != _NULL, x))
     return rows.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), named("__key").alias("sources"), F.size("__won").alias("copies"), (F.col("__size") * F.size("__won")).alias("taken"), named("__won").alias("taken_for"))
 
