@@ -144,7 +144,8 @@ def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Of repeated rows of that id one is kept. Texts are shuffled once and not written:
     fingerprints are made for the search and again for the rows.
     """
-    rows = docs.withColumns({"__fp": _long(fingerprints(F.col(text).cast("string"))), "__id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))})
+    raw = docs.withColumn("__raw", fingerprints(F.col(text).cast("string")))
+    rows = raw.withColumns({"__fp": _long(F.col("__raw")), "__id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))}).drop("__raw")
     found = materialize(rows.select("__fp", F.struct("__id", "__fp").alias("__rank")), "simhash")
     first = components(found, "__fp", "__rank").select("first").distinct()
     first = found.groupBy("__rank").agg(F.count(F.lit(1)).alias("__n")).join(first, F.col("__rank") == F.col("first"), "left_semi")
