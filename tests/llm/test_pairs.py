@@ -88,6 +88,8 @@ def test_near_duplicates_edge_cases(spark):
     kept = simhash.filter_documents(rows)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4] and kept.columns == rows.columns
     assert simhash.near_duplicates(rows.limit(0)).count() == 0 and simhash.filter_documents(rows.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, "p q r s t"), (None, "p q r s t"), (7, "u v w x y z")], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in simhash.filter_documents(nameless).collect()) == ["7", "None"]
     twice = simhash.filter_documents(rows.where("doc_id = 9"))
     assert twice.count() == 1
 
