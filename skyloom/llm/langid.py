@@ -36,6 +36,8 @@ DOC_CHARS = 2_000
 MAX_LANGUAGES = 200
 SYMBOLS = 56
 BLOCK = 256
+#: Documents of a language that are drawn to choose the sample from.
+DRAWN = 8_000
 
 
 def alphabet(samples: list[str], symbols: int = SYMBOLS) -> np.ndarray:
@@ -137,9 +139,11 @@ def samples(docs: DataFrame, doc_id: str, text: str, lang: str, sample_chars: in
     many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).limit(max_languages + 1).collect()
     if len(many) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    # Two steps, so that a common language is not ranked in one task.
-    need = 4 * max(1, sample_chars // doc_chars)
-    near = rows.withColumn("r", F.row_number().over(W.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id"))).where(F.col("r") <= need)
+    if not many:
+        return {}
+    # A share of each language by hash leaves a bounded number of rows to rank.
+    shares = F.create_map(*[F.lit(x) for r in many for x in (r["lang"], min(1.0, DRAWN / r["c"]))])
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30))
     upto = F.sum("n").over(W.partitionBy("lang").orderBy("h", "id").rowsBetween(W.unboundedPreceding, -1))
     picked = near.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < sample_chars)
     ids = F.broadcast(picked.select("id", F.col("lang").alias("__l")).distinct())  # sample_chars of each language at most

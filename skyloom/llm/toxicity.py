@@ -139,6 +139,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, step
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple:
     """A model of the labelled rows; ids only choose and join the rows."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
+    # A share by hash leaves a bounded number of rows to order.
+    share = min(1.0, 2 * max_rows / max(1, labels.count()))
+    chosen = chosen.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "__y", text_terms(F.col(text).cast("string")).alias("t"))  # max_rows rows at most
     got = rows.toArrow().sort_by([("__id", "ascending")])
