@@ -242,6 +242,31 @@ def test_text_surveys(spark, tmp_path):
     assert len(row) == 1 and row[0]["Peak_flux"] == 1.0 and row[0]["Maj"] == 1.0
 
 
+def test_fits_surveys(spark, tmp_path):
+    p = str(tmp_path / "m.fits")
+    fits.write_table(p, {"RAdeg": [1.0, 2.0], "DEdeg": [3.0, 4.0], "Name": ["a", "b"], "Type": ["QR2X", "A"], "z": [0.5, np.nan], "rName": ["z1", "z2"], "RName": ["r1", ""]})
+    rows = {r["Name"]: r for r in surveys.milliquas(spark, p).collect()}
+    assert rows["a"]["class_primary"] == "Q" and rows["a"]["has_double_lobe"] and rows["b"]["has_radio"] is False and rows["a"]["radio_RName"] == "r1" and rows["b"]["z"] is None
+    fits.write_table(p, {"RAdeg": [1.0], "DEdeg": [3.0], "RXGCC": [7], "R500": [0.0], "Ext": [6.0], "Class": ["S "]})
+    row = surveys.xu2022(spark, p).first()
+    assert row["BMAJ"] == pytest.approx(0.1) and row["Class"] == "S"
+    fits.write_table(p, {"RA": [1.0], "DEC": [3.0], "POS_ERR": [2.0], "class_gal_exgal": [1], "is_blazar_in_simbad": [True], "other": [1.0]})
+    row = surveys.erass3(spark, p, ["RA", "DEC", "POS_ERR", "class_gal_exgal", "is_blazar_in_simbad"]).first()
+    assert row["class_gal_exgal"] == "blazar" and row["E_RA"] == pytest.approx(2 / 3600 / math.sqrt(2)) and "other" not in row.asDict()
+    fits.write_table(p, {"Name": ["G1"], "RAJ2000": [1.0], "DEJ2000": [3.0], "err_RAJ2000": [3.0], "err_DEJ2000": [3.0], "peak_flux_wide": [1.0], "int_flux_wide": [2.0], "int_flux_076": [5.0], "psf_a_wide": [180.0], "psf_b_wide": [120.0]})
+    row = surveys.gleam(spark, p).first()
+    assert row["Total_flux_GLEAM76"] == 5.0 and row["BMAJ"] == pytest.approx(0.05) and row["E_RA"] == pytest.approx(3 / 3600)
+    fits.write_table(p, {"objname": ["g"], "ra": [1.0], "dec": [2.0], "z": [0.1]})
+    assert surveys.nedlvs(spark, p).first()["RA"] == 1.0
+    line = _line(surveys.NVSS | {"e_RAs": (55, 59), "e_DEs": (61, 64), "S14": (66, 73)}, {"RAh": "10", "RAm": "00", "RAs": "00.00", "DE": "+", "DEd": "60", "DEm": "00", "DEs": "00.0", "e_RAs": "0.10", "e_DEs": "0.5", "S14": "500.0"})
+    (tmp_path / "nvss.dat").write_text(line + "\n")
+    row = surveys.nvss(spark, str(tmp_path / "nvss.dat")).first()
+    assert (row["RA"], row["DEC"], row["Peak_intensity"]) == (150.0, 60.0, 0.5) and row["E_RA"] == pytest.approx(0.1 * 15 * 0.5 / 3600)
+    line = _line(surveys.TWORXS, {"name": "2RXS J1", "ExiML": "9.5", "RA": "10.0", "DEC": "5.0", "e_Xima": "0.3", "e_Yima": "0.4"})
+    (tmp_path / "x.dat").write_text(line + "\n")
+    assert surveys.tworxs(spark, str(tmp_path / "x.dat")).first()["POS_ERR"] == pytest.approx(22.5)
+
+
 def test_votable(spark, tmp_path):
     (tmp_path / "t.vot").write_text('<VOTABLE><RESOURCE><TABLE><FIELD name="id" datatype="int"/><FIELD name="tevcat_name" datatype="char"/><FIELD name="ra" datatype="double"/><FIELD name="dec" datatype="double"/><DATA><TABLEDATA><TR><TD>1</TD><TD>TeV J1</TD><TD>10.0</TD><TD>-5.0</TD></TR><TR><TD>2</TD><TD>TeV J2</TD><TD>20.0</TD><TD>5.0</TD></TR></TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>')
     rows = surveys.tevcat(spark, str(tmp_path / "t.vot")).orderBy("RA").collect()
