@@ -10,8 +10,8 @@ whose parses advance side by side, one table lookup per character for all blocks
 batch. A block border ends a phrase in every language alike; each text is parsed whole.
 
 Bounds of the fit: at most ``max_languages`` labels, and for each at most ``sample_chars``
-characters, at most ``doc_chars`` of them from one document, chosen by hashed id. They do
-not grow with the corpus. Labels beyond ``max_languages`` raise an error.
+characters, at most ``doc_chars`` of them from one document, chosen by hashed id; the
+automata of all languages take at most ``TABLE_BYTES``. They do not grow with the corpus. Labels beyond ``max_languages`` raise an error.
 
 Null texts and texts without a letter are ``und`` with score 0; ties go to the first
 language by code point; without labelled text all are ``und``; an empty table gives an empty
@@ -36,6 +36,8 @@ DOC_CHARS = 2_000
 MAX_LANGUAGES = 200
 SYMBOLS = 56
 BLOCK = 256
+#: All automata together, as sent to the executors; with many languages the samples shrink.
+TABLE_BYTES = 256 << 20
 #: Documents of a language that are drawn to choose the sample from.
 DRAWN = 8_000
 
@@ -141,6 +143,7 @@ def samples(docs: DataFrame, doc_id: str, text: str, lang: str, sample_chars: in
         raise ValueError(f"more than {max_languages} languages")
     if not many:
         return {}
+    sample_chars = min(sample_chars, TABLE_BYTES // (2 * 4 * SYMBOLS * len(many)))
     # A share of each language by hash leaves a bounded number of rows to rank.
     shares = F.create_map(*[F.lit(x) for r in many for x in (r["lang"], min(1.0, DRAWN / r["c"]))])
     near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(shares, F.col("lang")) * (1 << 30))
