@@ -741,7 +741,7 @@ def sql_functions(s, d):
     return s.sql("SELECT meta_id, round(sky_sep_deg(12D, 34D, RA, DEC), 6) AS sep, has_quality_bit(quality_flag, 4) AS bit4, has_band(bands_present, 'Blue') AS blue FROM {cat}", cat=_cat(s, d))
 
 
-@_query("luminosity_pairs", f"WITH {_C}, {_REFS} SELECT meta_id, round(Total_flux * ref.Total_flux, 4) AS product, kind FROM cat JOIN par ref ON ref.ref_id = meta_id WHERE ref.Total_flux > 1")
+@_query("luminosity_pairs", f"WITH {_C}, {_REFS} SELECT meta_id, round(cat.Total_flux * ref.Total_flux, 4) AS product, ref.kind FROM cat JOIN par ref ON ref.ref_id = meta_id WHERE ref.Total_flux > 1")
 def luminosity_pairs(s, d):
     ref = relation(s, d, PARTS).select(F.col("ref_id").alias("meta_id"), F.col("Total_flux").alias("f"), "kind").where("f > 1")
     return _cat(s, d).join(ref, "meta_id").select("meta_id", F.round(F.col("Total_flux") * F.col("f"), 4).alias("product"), "kind")
