@@ -391,8 +391,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
-    parts = max(1, -(-total // (SPACING * part_anchors)))
-    buckets = int(min(10_000, max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-total // (SPACING * part_anchors)), min(tasks, -(-total // (1 << 16))))  # work for every task
+    buckets = int(min(10_000, max(batches, tasks)))
     name = f"skyloom_batches_{uuid.uuid4().hex}"
     spread = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(max(batches, buckets))).cast("int"))
     spread.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").saveAsTable(name)
