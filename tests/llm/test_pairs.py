@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skyloom.llm import simhash, suffix_array, suffix_dedup, vector_dedup
+from skyloom.llm import shingles, simhash, suffix_array, suffix_dedup, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,6 +103,40 @@ def test_simhash_query_equals_brute_force(spark):
     assert got == {d: (f"{fp[d]:016x}", low[d]) for d in docs}
 
 
+# ---- shingles
+
+
+def _sets(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("dense", [16, 2])
+def test_near_copies_with_edited_words_are_one(spark, dense):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = []
+    for _ in range(30):
+        base = list(rng.choice(vocabulary, int(rng.integers(3, 150))))
+        for _ in range(8):  # none to a few edited words, on both sides of the similarity
+            words = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(len(words)))] = "new" + str(rng.integers(50))
+            rows.append((len(rows), " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "one Two"), (903, "ONE two"), (903, "ONE two"), (None, rows[0][1] + " z")]
+    held = {k: _sets(t) for k, (_, t) in enumerate(rows)}
+    alike = lambda a, b: a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))
+    low = _components(list(held), [(a, b) for a in held for b in held if a < b and alike(held[a], held[b])])
+    want = sorted(str(rows[k][0]) for k in {low[k] for k in held})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in shingles.filter_documents(df, dense=dense).collect()) == want
+    if dense == 16:
+        assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == want
+    assert shingles.filter_documents(df.limit(0)).count() == 0
+
+
 # ---- suffixes
 
 
