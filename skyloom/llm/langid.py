@@ -5,7 +5,8 @@ parsed greedily into the longest phrases that the automaton knows: follow the te
 no substring of the sample continues it, count a phrase, start again. A language whose
 sample resembles the text needs few phrases; phrases per character is the score to beat.
 
-The automata become transition tables, and texts are cut into blocks of fixed length
+Every letter of the samples is a symbol of its own; an automaton knows those of its language.
+The automata become transition tables, sorted lists where the alphabet is large, and texts are cut into blocks of fixed length
 whose parses advance side by side, one table lookup per character for all blocks of a
 batch. A block border ends a phrase in every language alike; each text is parsed whole.
 
@@ -34,6 +35,7 @@ ORACLE_SQL = None  # automata; held against held-out labels instead
 SAMPLE_CHARS = 40_000
 DOC_CHARS = 2_000
 MAX_LANGUAGES = 200
+#: Widest alphabet of a language whose automaton is a dense table.
 SYMBOLS = 56
 BLOCK = 256
 #: All automata together, as sent to the executors; with many languages the samples shrink.
@@ -42,22 +44,16 @@ TABLE_BYTES = 256 << 20
 DRAWN = 8_000
 
 
-def alphabet(samples: list[str], symbols: int = SYMBOLS) -> np.ndarray:
-    """Code point (up to 65535) to symbol: 0 parts words, the commonest letters have symbols of their own, the rest share the last."""
-    letters: dict[str, int] = {}
-    for s in samples:
-        for c in s.lower():
-            if c.isalpha():
-                letters[c] = letters.get(c, 0) + 1
-    common = sorted(letters, key=lambda c: (-letters[c], c))[: symbols - 2]
-    number = {c: k + 1 for k, c in enumerate(common)}
-    return np.array([number.get(chr(p).lower()[:1], symbols - 1) if chr(p).isalpha() else 0 for p in range(1 << 16)], dtype=np.uint8)
+def alphabet(samples: list[str]) -> np.ndarray:
+    """Code point to symbol: 0 parts words, each letter of the samples has a symbol of its own, letters that none holds share the last."""
+    letters = sorted({c for s in samples for c in s.lower() if c.isalpha()})
+    number = {c: k + 1 for k, c in enumerate(letters)}
+    return np.array([number.get(chr(p).lower()[:1], len(letters) + 1) if chr(p).isalpha() else 0 for p in range(0x110000)], dtype=np.int32)
 
 
 def encode(text: str, table: np.ndarray) -> np.ndarray:
     """Symbols of a text; runs of what is no letter count once."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = table[np.minimum(points, 65535)]
+    out = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
@@ -93,7 +89,62 @@ def automaton(sample: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
     return go[:size]
 
 
-def phrases(texts: list[np.ndarray], tables: list[np.ndarray], block: int = BLOCK) -> np.ndarray:
+class Compact:
+    """The automaton of one language over the symbols of its own sample.
+
+    Up to ``SYMBOLS`` symbols its transitions are a dense table ``go``, beyond that sorted
+    ``keys`` (state times width plus symbol) and their ``targets``. ``local`` numbers the
+    symbols of all languages; those that the sample lacks share the last number.
+    """
+
+    def __init__(self, sample: np.ndarray, symbols: int):
+        seen = np.unique(np.append(sample, 0))
+        self.wide = len(seen) + 1
+        self.local = np.full(symbols, self.wide - 1, dtype=np.int64)
+        self.local[seen] = np.arange(len(seen))
+        inner = self.local[sample] if len(sample) else sample
+        self.go = automaton(inner, self.wide) if self.wide <= SYMBOLS else None
+        if self.go is None:
+            pairs = sorted((p * self.wide + c, q) for p, after in enumerate(_sparse(inner)) for c, q in after.items())
+            self.keys = np.array([k for k, _ in pairs], dtype=np.int64)
+            self.targets = np.array([q for _, q in pairs], dtype=np.int64)
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """The state after each key, -1 where nothing continues."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.targets[at], -1)
+
+
+def _sparse(sample: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of the sample's suffix automaton by state."""
+    go, length, link, last = [{}], [0], [-1], 0
+    for c in sample.tolist():
+        now = len(go)
+        go.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in go[p]:
+            go[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = go[p][c]
+            if length[p] + 1 == length[q]:
+                link[now] = q
+            else:
+                twin = len(go)
+                go.append(dict(go[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = twin
+                    p = link[p]
+                link[q] = link[now] = twin
+        last = now
+    return go
+
+
+def phrases(texts: list[np.ndarray], tables: list, block: int = BLOCK) -> np.ndarray:
     """Phrases that each text needs in each language, shape (texts, languages)."""
     counts = [-(-len(t) // block) for t in texts]
     out = np.zeros((len(texts), len(tables)), dtype=np.int64)
@@ -111,6 +162,26 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray], block: int = BLOC
     columns = np.ascontiguousarray(flat[order].T)
     running = np.searchsorted(-size[order], -np.arange(block), side="left")
     for k, table in enumerate(tables):
+        symbols, sparse = columns, None
+        if isinstance(table, Compact):
+            symbols = table.local.take(columns)
+            table, sparse = table.go, table if table.go is None else None
+        if sparse:
+            first = sparse.follow(np.arange(sparse.wide)) * sparse.wide
+            state, found = np.full(n, -sparse.wide, dtype=np.int64), np.zeros(n, dtype=np.int32)
+            for j in range(block):
+                m = running[j]
+                if not m:
+                    break
+                c = symbols[j, :m]
+                after = sparse.follow(state[:m] + c)
+                hit = np.flatnonzero(after < 0)
+                after *= sparse.wide
+                found[hit] += 1
+                after[hit] = first[c[hit]]
+                state[:m] = after
+            out[:, k] = np.bincount(owner[order], found, len(texts))
+            continue
         # One more state, where nothing continues, stands before the first symbol and
         # after one that the sample lacks: the next symbol starts a phrase.
         wide, lookup = table.shape[1], np.append(np.ravel(table), np.full(table.shape[1], -1, np.int32))
@@ -121,7 +192,7 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray], block: int = BLOC
             m = running[j]
             if not m:
                 break
-            c = columns[j, :m]
+            c = symbols[j, :m]
             after = lookup.take(state[:m] + c)
             stuck = after < 0
             after = after.astype(np.int64) * wide
@@ -161,7 +232,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """(languages, symbol table, automata)."""
     found = samples(docs, doc_id, text, lang, sample_chars, doc_chars, max_languages)
     table = alphabet(list(found.values()))
-    return list(found), table, [automaton(encode(s, table)) for s in found.values()]
+    return list(found), table, [Compact(encode(s, table), int(table.max()) + 1) for s in found.values()]
 
 
 def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:

@@ -333,6 +333,33 @@ def test_languages_edge_cases(spark):
         langid.train(train, max_languages=1)
 
 
+def test_languages_of_large_alphabets(spark):
+    rng = np.random.default_rng(8)
+    hans = [chr(0x4E00 + k) for k in range(300)]
+    han = {lang: ["".join(rng.choice(part, 3)) for _ in range(40)] for lang, part in (("ja", hans[:160]), ("zh", hans[140:]))}
+    gothic = ["".join(chr(0x10330 + k) for k in rng.integers(0, 20, 4)) for _ in range(40)]
+    words = han | {"got": gothic, "en": ["the", "cat", "sat", "there"], "ru": ["кот", "сидел", "там", "дом"]}
+    say = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    train = spark.createDataFrame([(k, say(lang, 150), lang) for k, lang in enumerate(words)], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    rows = [(k, say(lang, 12), lang) for k, lang in enumerate(sorted(words) * 4)]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert [r["lang_pred"] for r in got] == [r["lang"] for r in got] and all(r["score"] > 0.2 for r in got)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=80), st.lists(st.integers(0, 5), max_size=150))
+def test_sparse_automata_parse_like_dense_ones(sample, text):
+    sample, text = np.array(sample), np.array(text, np.int64)
+    dense, width = langid.Compact(sample, 6), langid.SYMBOLS
+    langid.SYMBOLS = 0
+    try:
+        sparse = langid.Compact(sample, 6)
+    finally:
+        langid.SYMBOLS = width
+    assert sparse.go is None and (langid.phrases([text], [sparse], 64) == langid.phrases([text], [dense], 64)).all()
+
+
 # ---- chat
 
 
