@@ -99,21 +99,25 @@ def paint_points(df: DataFrame, nside: int, value: str, ra: str = "RA", dec: str
     return rows.groupBy("ipix").agg(F.sum("v").alias("value"))
 
 
-def paint_gaussians(df: DataFrame, nside: int, peak: str = "Peak_flux", maj: str = "Maj", min_: str = "Min", pa: str = "PA", ra: str = "RA", dec: str = "DEC", reach: float = 3.0) -> DataFrame:
+def paint_gaussians(df: DataFrame, nside: int, peak: str = "Peak_flux", maj: str = "Maj", min_: str = "Min", pa: str = "PA", ra: str = "RA", dec: str = "DEC", reach: float = 5.0) -> DataFrame:
     """A map of elliptical Gaussians (FWHM axes, position angle north to east).
 
-    Each source meets the pixel centres near it by a join on coarse pixels, padded by its reach.
+    Every source with a peak is painted: axes that are missing or below a pixel are raised to
+    one pixel. Each meets the pixel centres within ``reach`` sigma of its larger axis, at least two pixels.
     """
     from skyloom.operators.skyjoin import sky_pairs
 
     spark = df.sparkSession
     to_sigma = 1 / (2 * math.sqrt(2 * math.log(2)))
-    rows = df.select(finite(ra).alias("RA"), finite(dec).alias("DEC"), finite(peak).alias("p"), finite(maj).alias("a"), F.coalesce(finite(min_), finite(maj)).alias("b"), F.coalesce(finite(pa), F.lit(0.0)).alias("t")).where("p IS NOT NULL AND a > 0 AND b > 0")
+    rows = df.select(finite(ra).alias("RA"), finite(dec).alias("DEC"), finite(peak).alias("p"), finite(maj).alias("a"), F.coalesce(finite(min_), finite(maj)).alias("b"), F.coalesce(finite(pa), F.lit(0.0)).alias("t")).where("p <> 0")
+    side = math.degrees(math.sqrt(4 * math.pi / (12 * nside * nside)))
+    a, b = (F.greatest(F.abs(F.coalesce(F.col(c), F.lit(side))), F.lit(side)) for c in ("a", "b"))
+    rows = rows.withColumns({"a": a, "b": b}).withColumns({"a": F.greatest("a", "b"), "b": F.least("a", "b")})
     rows = rows.withColumn("src", F.struct("RA", "DEC", "p", "a", "b", "t"))
     pixels = spark.range(12 * nside * nside).withColumnRenamed("id", "ipix")
     pr, pd = centre(F.col("ipix"), nside)
     pixels = pixels.select("ipix", pr.alias("RA"), pd.alias("DEC")).withColumn("px", F.struct("ipix", "RA", "DEC"))
-    pairs = sky_pairs(rows, pixels, "src", "px", base_radius=F.col("a") * to_sigma * reach, ref_radius=0.0)
+    pairs = sky_pairs(rows, pixels, "src", "px", base_radius=F.greatest(F.col("a") * to_sigma * reach, F.lit(2 * side)), ref_radius=0.0)
     s, x = F.col("base_id"), F.col("ref_id")
     east = (F.pmod(x["RA"] - s["RA"] + 180, F.lit(360.0)) - 180) * F.cos(F.radians(s["DEC"]))
     north = x["DEC"] - s["DEC"]

@@ -647,6 +647,11 @@ def healpix_point_paint(s, d):
     return healpix.paint_points(_cat(s, d), 64, "Peak_flux").select("ipix", _r("value"))
 
 
+@_query("healpix_gaussian_paint")
+def healpix_gaussian_paint(s, d):
+    return healpix.paint_gaussians(_cat(s, d), 64).select("ipix", _r("value"))
+
+
 @_query("healpix_tiles", f"WITH {_C} SELECT count(*) AS n, round(sum(Peak_flux), 4) AS total FROM cat")
 def healpix_tiles(s, d):
     fine = healpix.paint_points(_cat(s, d), 256, "Peak_flux")

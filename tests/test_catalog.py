@@ -141,6 +141,22 @@ def test_painting(spark):
     assert {r["ipix"]: r["value"] for r in out} == {1: 3.0, 2: 0.0}
 
 
+def test_every_source_is_painted(spark):
+    schema = "RA double, DEC double, Peak_flux double, Maj double, Min double, PA double"
+    axes = [(None, None), (0.0, 0.0), (-0.1, 0.05), (0.1, None), (float("nan"), 0.1), (0.5, 0.9)]
+    side = np.degrees(np.sqrt(4 * np.pi / (12 * 64 * 64)))
+    pixels = [tuple(r) for r in spark.range(12 * 64 * 64).select("id", *healpix.centre(F.col("id"), 64)).collect()]
+    ids, ra, dec = (np.array(x) for x in zip(*pixels))
+    u, d, near = (ra - 100.0) * np.cos(np.radians(20.0)), dec - 20.0, np.cos(np.radians(dec)) * np.cos(np.radians(20.0)) * np.cos(np.radians(ra - 100.0)) + np.sin(np.radians(dec)) * np.sin(np.radians(20.0))
+    sigma = side / (2 * np.sqrt(2 * np.log(2)))
+    inside = np.degrees(np.arccos(np.clip(near, -1, 1))) <= max(5 * sigma, 2 * side)
+    value = 2.0 * np.exp(-0.5 * (u**2 + d**2) / sigma**2)
+    rows = [(100.0, 20.0, 2.0, a, b, None) for a, b in axes] + [(100.0, 20.0, 0.0, 1.0, 1.0, None), (100.0, 20.0, None, 1.0, 1.0, None)]
+    got = {r["ipix"]: r["value"] for r in healpix.paint_gaussians(spark.createDataFrame(rows, schema), 64).collect()}
+    assert set(got) == set(ids[inside].tolist())
+    assert all(abs(got[i] - len(axes) * v) < 1e-9 for i, v in zip(ids[inside].tolist(), value[inside]))
+
+
 def test_gaussian_fit_recovers_a_source(spark):
     y, x = np.mgrid[:31, :31]
     image = photometry._model(np.array([3.0, 14.6, 15.3, 2.2, 1.6, 0.4, 0.1]), x, y)
