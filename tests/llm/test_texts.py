@@ -1,5 +1,6 @@
 """Mixing, packing, surrogates, quality, languages, chat and toxicity on small inputs."""
 
+import functools
 import hashlib
 import json
 import zlib
@@ -131,13 +132,17 @@ def test_mix_query(spark):
 # ---- packing
 
 
-def _check_pieces(rows, texts):
+@functools.cache
+def _plain():
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _check_pieces(rows, texts):
+    tok = _plain()
     rooms, seen = {}, {}
     for r in rows:
         rooms.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -164,7 +169,7 @@ def test_pack_query(spark):
 
 
 def test_pack_edge_cases(spark):
-    texts = {1: None, 2: "", 3: LONG, 4: "é <|endoftext|> 漢字 ퟿", 5: "a", 6: "\n\n  \t x"}
+    texts = {1: None, 2: "", 3: LONG, 4: "é <|endoftext|> 漢字 ퟿", 5: "a", 6: "\n\n  \t x", 7: "<|endoftext|>", 8: "<|endoftext|><|endoftext|>x  <|endoftext|>\n", 9: "<|endoftext|" + "|>" * 9}
     df = spark.createDataFrame([(k, v, 0) for k, v in texts.items()], "doc_id long, text string, length int")
     out = packing.pack_documents(df)
     _check_pieces(out.collect(), texts)
@@ -172,6 +177,13 @@ def test_pack_edge_cases(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "  ", "\n \n", "'s", "<|", "|>", " a", "\u0301", "0\u0660"])), max_size=12).map("".join))
+def test_ids_are_those_of_the_vocabulary(text):
+    tok = _plain()
+    assert packing.encoder().encode_to_numpy(text, allowed_special="all").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5000), max_size=60))
 def test_pack_fills_every_room(lengths):
