@@ -20,6 +20,7 @@ no pieces, columns other than id and text are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 
 import numpy as np
@@ -56,6 +57,22 @@ def encoder(ranks_file: str | None = None):
     return _encoders[ranks_file]
 
 
+@functools.cache
+def _plain(vocabulary_file: str | None):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_file or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids(text: str, ranks_file: str | None = None, vocabulary_file: str | None = None) -> np.ndarray:
+    """The ids of a whole text; runs of white space too long for the fast matcher take the slow one."""
+    try:
+        return encoder(ranks_file).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+    except ValueError:
+        return np.array(_plain(vocabulary_file).encode(text, add_special_tokens=False).ids, "<u4")
+
+
 def rooms(tokens: int, sequence: int = SEQUENCE) -> list[int]:
     """Sequence lengths that sum to ``tokens``: full ones, then falling powers of two."""
     rest = tokens % sequence
@@ -96,9 +113,8 @@ def pack(lengths: list[int], sequence: int = SEQUENCE, linear: float = 1.0, quad
     return out
 
 
-def _packer(id_type: pa.DataType, ranks_file: str | None, block_tokens: int, with_ids: bool):
+def _packer(id_type: pa.DataType, ranks_file: str | None, vocabulary_file: str | None, block_tokens: int, with_ids: bool):
     def run(batches):
-        code = encoder(ranks_file)
         task = TaskContext.get()
         base, used = (task.partitionId() if task else 0) << 32, 0
         names, streams, tokens = [], [], 0
@@ -116,12 +132,12 @@ def _packer(id_type: pa.DataType, ranks_file: str | None, block_tokens: int, wit
             return pa.RecordBatch.from_arrays(data, schema=schema)
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            keys, texts = batch.column(0), batch.column(1)
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                own = code.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)
-                streams.append(np.append(own.astype("<u4", copy=False), np.uint32(SEPARATOR)))
-                names.append(ids[k].as_py())
+                own = ids(text, ranks_file, vocabulary_file) if text else np.empty(0, np.uint32)
+                streams.append(np.append(own, np.uint32(SEPARATOR)))
+                names.append(keys[k].as_py())
                 tokens += len(streams[-1])
                 if tokens >= block_tokens:
                     yield flush()
@@ -131,14 +147,14 @@ def _packer(id_type: pa.DataType, ranks_file: str | None, block_tokens: int, wit
     return run
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_file: str | None = None, block_tokens: int = BLOCK_TOKENS, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_file: str | None = None, vocabulary_file: str | None = None, block_tokens: int = BLOCK_TOKENS, with_ids: bool = True) -> DataFrame:
     """One row per piece; ``ids`` are its tokens where asked for."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return narrow.mapInArrow(_packer(to_arrow_type(kind), ranks_file, block_tokens, with_ids), schema)
+    return narrow.mapInArrow(_packer(to_arrow_type(kind), ranks_file, vocabulary_file, block_tokens, with_ids), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
