@@ -19,6 +19,7 @@ from skyloom.llm.text import word_count
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 60_000
+KEY = b"a key of the tests"
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -226,7 +227,7 @@ SAMPLES = ["a.b-1@mail.co.uk", "x@y.example.com", "10.1.2.3", "8.8.8.8", "192.16
 
 @pytest.mark.parametrize("value", SAMPLES)
 def test_surrogates_keep_the_form(value):
-    new, found = pii.replace(f"x {value}, y")
+    new, found = pii.replace(f"x {value}, y", KEY)
     assert len(found) == 1 and found[0][1] == value and value not in new
     other = found[0][2]
     shape = lambda s: [("d" if c.isdigit() else "l" if c.isalpha() else c) for c in s]
@@ -239,29 +240,141 @@ def test_surrogates_keep_the_form(value):
     if found[0][0] == "ip":
         num = lambda s: int.from_bytes(bytes(map(int, s.split("."))), "big")
         assert pii._range(num(other)) == pii._range(num(value))
-    assert pii.replace(f"x {value}, y")[0] == new and pii.replace(value, b"other key")[0] != pii.replace(value)[0]
+    assert pii.replace(f"x {value}, y", KEY)[0] == new and pii.replace(value, b"other key")[0] != pii.replace(value, KEY)[0]
 
 
 def test_names_keep_gender_script_and_coreference():
-    new, found = pii.replace("Mrs. Mary Stone met Dr. Иван Стоун. Later Mrs. Stone left.")
+    new, found = pii.replace("Mrs. Mary Stone met Dr. Иван Стоун. Later Mrs. Stone left.", KEY)
     first, second, third = (f[2].split() for f in found)
     assert first[1].lower() in pii.GIVEN["latin", "f"] and second[1].lower() in pii.GIVEN["cyrillic", "m"]
     assert first[2] == third[1] and "Stone" not in new and all("а" <= c.lower() <= "ё" for c in second[2].rstrip("."))
 
 
-def test_no_collisions(spark):
+def test_bare_mentions_of_a_name_are_replaced():
+    new, found = pii.replace("Smith came. Mr. John Smith met Anna. Later Smith's dog barked at SMITH; John Smith-Jones left, not Smithson or smith.", KEY)
+    other = pii.name_word("Smith", KEY)
+    assert found[1] == ("name", "Mr. John Smith", f"Mr. {pii.name_word('John', KEY)} {other}")
+    assert new == f"{other} came. {found[1][2]} met Anna. Later {other}'s dog barked at {other.upper()}; {pii.name_word('John', KEY)} {other}-Jones left, not Smithson or smith."
+    assert [f[1] for f in found] == ["Smith", "Mr. John Smith", "Smith", "SMITH", "John", "Smith"]
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Mr. Smith met Mrs. Jones", ["Mr. Smith", "Mrs. Jones"]),
+        ("Herr Dr. Müller kam", ["Dr. Müller"]),
+        ("Dr. A. B. Smith said", ["Dr. A. B. Smith"]),
+        ("Dr. J.R. Smith said", ["Dr. J.R. Smith"]),
+        ("Herr von der Tann sah", ["Herr von der Tann"]),
+        ("Frau Hans und Herr Hans", ["Frau Hans", "Herr Hans"]),
+        ("Mr. T was there", ["Mr. T"]),
+        ("Mr. 王伟 说", ["Mr. 王伟"]),
+        ("Dr. med is no name", []),
+        ("Mr. O'Brien-Smith's hat", ["Mr. O'Brien-Smith"]),
+    ],
+)
+def test_extent_of_names(text, names):
+    new, found = pii.replace(text, KEY)
+    assert [f[1] for f in found] == names
+    for _, entity, other in found:
+        words = [w for w in entity.replace(".", " ").split()[1:] if w[0].isupper() or not w[0].islower()]
+        assert entity != other and not any(w in other.replace(".", " ").split() for w in words)
+
+
+def test_invented_telephones_stay_invented():
+    for v in ("+1 (499) 555-0100", "(499) 555-0199", "499-555-0142"):
+        other = pii.replace(v, KEY)[1][0][2]
+        assert other != v and other[-7:-2] == "55-01" and len(other) == len(v)
+    assert "555-01" not in "".join(pii.replace(f"212-555-{k}", KEY)[0] for k in range(2000, 2400))
+
+
+def test_other_scripts():
+    for v in ("Mr. राम", "Mr. كريم", "Mr. Ľubomír", "Mr. 田中"):
+        new, found = pii.replace(v, KEY)
+        assert found and new != v and len(new) == len(v) and new[:4] == "Mr. "
+    assert len({pii.spell(chr(0x900 + k), KEY, b"") for k in range(4, 58)}) == 54
+
+
+def test_long_runs_are_matched_in_linear_time():
+    import time
+
+    for run in ("a" * 1_000_000 + " 12", "a." * 500_000 + " 12", "1" * 1_000_000, "a@" * 500_000, "Mr. " * 250_000, "+1 " * 300_000, "Mr. " + "a" * 1_000_000, "x@" + "b-" * 500_000, "1.2." * 250_000, "AB12 " * 200_000, "(" * 500_000 + "12", "Mr. J" + ".J" * 500_000):
+        began = time.perf_counter()
+        pii.replace(run, KEY)
+        assert time.perf_counter() - began < 4, run[:20]
+
+
+def _entities_slowly(text):
+    """E-mail addresses, IPv4 addresses and hexadecimal secrets, found word by word."""
+    import re
+
+    out = []
+    for word in re.split(r"[^\w.+@-]+", text):
+        head, _, tail = word.partition("@")
+        tail = re.sub(r"[.]+$", "", tail)
+        if head and "@" not in tail and re.fullmatch(r"[\w-]+([.][\w-]+)+", tail):
+            out.append(f"{head}@{tail}")
+    for word in re.split(r"[^0-9A-Za-z]+", re.sub(r"\S+@\S+", " ", text)):
+        if re.fullmatch(r"[0-9a-fA-F]{32,64}", word):
+            out.append(word)
+    return out
+
+
+def test_replacements_by_brute_force(spark):
+    """All texts of a table: what is found is replaced and nothing else, the map is one to one over all of them, no entity is left."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    spark.conf.set(pii.KEY, KEY.decode())
+    got = {r["doc_id"]: r for r in pii.query(spark, "/root/testdata/sf0.01").collect()}
+    spark.conf.unset(pii.KEY)
+    there, back, n = {}, {}, 0
+    for r in docs:
+        text, out = r["text"] or "", got[r["doc_id"]]["text"] or ""
+        new, found = pii.replace(text, KEY)
+        assert out == new and got[r["doc_id"]]["n_entities"] == len(found)
+        at, rest = 0, out
+        for kind, entity, other in found:
+            k = text.index(entity, at)
+            between, at = text[at:k], k + len(entity)
+            assert rest.startswith(between + other)
+            rest = rest[len(between + other) :]
+            assert there.setdefault((kind, entity.lower()), other.lower()) == other.lower() != entity.lower()
+            assert back.setdefault((kind, other.lower()), entity.lower()) == entity.lower()
+            n += 1
+        assert rest == text[at:]
+        want = _entities_slowly(text)
+        assert set(want) <= {e for _, e, _ in found} and not set(want) & set(_entities_slowly(out))
+    assert n > 100
+
+
+def test_collisions_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = pii.entities(docs)
+    found = pii.entities(docs, KEY)
     assert found.count() > 100 and pii.collisions(found).count() == 0
+    pii.audit(docs, KEY)
+    bad = spark.createDataFrame([("name", "a", "b"), ("name", "c", "b"), ("ip", "x", "y"), ("ip", "x", "z"), ("ssn", "s", "s")], "kind string, entity string, surrogate string")
+    assert sorted((r["kind"], r["value"]) for r in pii.collisions(bad).collect()) == [("ip", "x"), ("name", "b"), ("ssn", "s")]
+
+
+def test_keys(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.replace_documents(df, b"")
+    with pytest.raises(TypeError):
+        pii.replace_documents(df)
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 32 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY, "known")
+    assert pii.session_key(spark) == b"known"
+    spark.conf.unset(pii.KEY)
 
 
 def test_clean_text_and_edges_stay(spark):
     for t in ("", "version 3. of 4.0.", "12 34 1.2.3 100,000 a@b", LONG):
-        assert pii.replace(t) == (t, [])
-    df = spark.createDataFrame([(1, None, 5), (2, "mail a@b.cd", 11), (2, "mail a@b.cd", 11)], "doc_id long, text string, n_chars long")
-    out = sorted(map(tuple, pii.replace_documents(df).collect()))
-    assert out[0] == (1, None, None) and out[1] == out[2] and out[1][2] == len(out[1][1])
-    assert pii.replace_documents(df.limit(0)).count() == 0
+        assert pii.replace(t, KEY) == (t, [])
+    df = spark.createDataFrame([(1, None, 5, "p"), (2, "mail a@b.cd", 11, "q"), (2, "mail a@b.cd", 11, "q")], "doc_id long, text string, n_chars long, __x string")
+    out = sorted(map(tuple, pii.replace_documents(df, KEY).collect()))
+    assert out[0] == (1, None, None, "p") and out[1] == out[2] and out[1][2] == len(out[1][1]) and out[1][3] == "q"
+    assert pii.replace_documents(df.limit(0), KEY).count() == 0
 
 
 # ---- quality
@@ -456,7 +569,7 @@ def test_pipeline(spark):
     verdict = {r["doc_id"]: r["kept"] for r in quality.query(spark, SF).collect()}
     assert set(seen[0].doc_id) == {d for d, k in verdict.items() if k}
     assert seen[1].doc_id.is_unique and set(seen[1].doc_id) < set(seen[0].doc_id) and list(seen[2].doc_id.sort_values()) == list(seen[1].doc_id.sort_values())
-    assert all(not pii.replace(a)[1] or b == pii.replace(a)[0] for a, b in zip(seen[1].sort_values("doc_id").text, seen[2].sort_values("doc_id").text))
+    assert all(b == pii.replace(a, pii.session_key(spark))[0] for a, b in zip(seen[1].sort_values("doc_id").text, seen[2].sort_values("doc_id").text))
     assert seen[3].doc_id.value_counts().max() <= 2
     pieces = corpus_pipeline.run(spark, SF).toPandas()
     assert set(pieces.doc_id) == set(seen[3].doc_id) and json.dumps(sorted(pieces.columns))
