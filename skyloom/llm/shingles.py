@@ -1,20 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Sets of word shingles, and the exact verification of candidates by their Jaccard similarity.
 
 A text is the set of its hashed shingles of five words (fewer words are one shingle, no
-words the empty set). Two texts are linked if their sets have a similarity of at least 0.8;
-of every connected group one row is kept.
-
-The join is exact. The shingles have one order, and a set of n that is similar to another
-shares with it one of its first n - ceil(0.8 n) + 1, its prefix: only texts that share a
-shingle of their prefixes are compared. Any order gives the same links; this one puts those
-that are common in a bounded sample last, so that prefixes hold rare ones.
-
-Equal sets are one node from the start. Members of large groups are first compared to one
-centre each; what this connects needs no further comparison, and all other pairs are made.
-A pair is compared in full only if its shared prefix leaves room for the similarity.
-
-Null and empty texts are linked like any other equal ones; repeated rows count once; an
-empty table gives an empty result; extra columns are kept.
+words the empty set). Two texts are similar if their sets have a Jaccard similarity of at
+least 0.8.
 """
 
 from __future__ import annotations
@@ -23,18 +11,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyloom.operators.components import connected_components
 from skyloom.plans.shared import materialize
 
 SHINGLE = 5
 SEED = 42
-#: Texts and shingles of each that are counted for the order, and counters.
-SAMPLE, SAMPLE_SHINGLES, COUNTERS = 4_000, 2_000, 1 << 22
-#: Groups of more members are compared to a centre first.
-DENSE = 16
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -70,13 +52,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(out).view(np.int64)
 
 
-def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles by the order of counts, then hashes."""
-    n = len(found)
-    if not n:
-        return found
-    order = np.lexsort((found, common[found & (len(common) - 1)]))
-    return found[order[: n - -(-4 * n // 5) + 1]]
+def signature(found: np.ndarray) -> int:
+    """A number that equal sets share."""
+    h = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def sets(text: Column) -> Column:
@@ -84,33 +63,7 @@ def sets(text: Column) -> Column:
     return made.asNondeterministic()(text)
 
 
-def _common(docs: DataFrame, text: Column) -> np.ndarray:
-    """How often each counter's shingles occur in a bounded sample, up to 255."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.select(text.alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * SAMPLE)
-    got = some.select(F.slice(sets(F.col("t")), 1, SAMPLE_SHINGLES).alias("s")).select(F.explode("s").alias("s")).toArrow()
-    at = got.column("s").to_numpy() & (COUNTERS - 1)
-    return np.minimum(np.bincount(at, minlength=COUNTERS), 255).astype(np.uint8)
-
-
-def _signed(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds ``sig``, equal for equal sets, their size ``n`` and ``prefix``."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, text))
-
-    @F.arrow_udf("struct<sig:long,n:int,prefix:array<long>>")
-    def signed(texts: pa.Array) -> pa.Array:
-        sig, n, first = [], [], []
-        for t in texts:
-            s = shingle_set(t.as_py())
-            sig.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-            n.append(len(s))
-            first.append(prefix(s, shared.value))
-        return pa.StructArray.from_arrays([pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["sig", "n", "prefix"])
-
-    return docs.withColumn("__s", signed.asNondeterministic()(text))
-
-
-def _similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (src, dst) whose sets have a similarity of at least 0.8; ``named`` has a row of ``texts`` for every node."""
     pairs = materialize(pairs, "candidates")
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
@@ -119,43 +72,3 @@ def _similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
     a, b = (made.select(F.col("sig").alias(side), F.col("s").alias(s)) for side, s in (("src", "sa"), ("dst", "sb")))
     both = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
     return materialize(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("src", "dst"), "similar")
-
-
-def links(nodes: DataFrame, named: DataFrame, texts: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Links (src, dst) that connect just the similar nodes; ``nodes`` has distinct sig, n and prefix, ``named`` their rows in ``texts``."""
-    tokens = nodes.where("n > 0").select(F.explode("prefix").alias("token"), F.struct("sig", "n").alias("m"))
-    groups = materialize(tokens.groupBy("token").agg(F.collect_list("m").alias("l")).where("size(l) > 1"), "groups")
-    centre = groups.where(F.size("l") > dense).select(F.explode("l").alias("x"), F.array_min("l").alias("c")).where("x.sig <> c.sig AND 5 * least(x.n, c.n) >= 4 * greatest(x.n, c.n)")
-    stars = _similar(centre.select(F.col("x.sig").alias("src"), F.col("c.sig").alias("dst")).distinct(), named, texts)
-    roots = materialize(connected_components(stars), "roots")
-    # Groups with the component of each member; those of one component need nothing more.
-    large = groups.where(F.size("l") > dense).select("token", F.explode("l").alias("m")).join(roots, F.col("m.sig") == F.col("node"), "left")
-    large = large.groupBy("token").agg(F.collect_list(F.struct(F.col("m.sig").alias("sig"), F.col("m.n").alias("n"), F.coalesce("component", "m.sig").alias("root"))).alias("l"))
-    small = groups.where(F.size("l") <= dense).select("token", F.expr("transform(l, m -> struct(m.sig as sig, m.n as n, m.sig as root))").alias("l"))
-    near = F.expr("explode(flatten(transform(l, a -> transform(filter(l, b -> b.sig > a.sig and b.root <> a.root and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)), b -> struct(b.sig as src, a.sig as dst, a.n as na, b.n as nb)))))")
-    pairs = small.unionByName(large).select(near.alias("x")).select("x.*").groupBy("src", "dst", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    # Beyond the prefix of the one whose prefix ends first at most ceil(0.8 n) - 1 shingles can be shared.
-    pairs = pairs.where("9 * (c + greatest(ceil(4 * na / 5), ceil(4 * nb / 5)) - 1) >= 4 * (na + nb)").select("src", "dst")
-    return stars.unionByName(_similar(pairs, named, texts))
-
-
-def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest id, with all its columns."""
-    body = F.col(text).cast("string")
-    rows = docs.withColumns({"__id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")), "__h": F.xxhash64(body.isNull(), body)})
-    found = _signed(rows.select("__id", "__h", body.alias("text")), F.col("text"))
-    found = materialize(found.select(F.struct("__id", "__h").alias("rank"), "__s.sig", "__s.n", "__s.prefix"), "shingles")
-    own = materialize(found.groupBy("sig").agg(F.min("rank").alias("own")), "own")
-    nodes = found.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    named = own.select("sig", F.col("own.__id").alias("__id"), F.col("own.__h").alias("__h"))
-    texts = rows.select("__id", "__h", body.alias("text"))
-    linked = materialize(links(nodes, named, texts, dense), "links")
-    joined = own.join(connected_components(linked), F.col("sig") == F.col("node"), "left").select("own", F.coalesce("component", "sig").alias("root"))
-    first = joined.groupBy("root").agg(F.min("own").alias("own"))
-    counts = found.groupBy("rank").agg(F.count(F.lit(1)).alias("__n"))
-    first = counts.join(first, F.col("rank") == F.col("own"), "left_semi")
-    first = materialize(first.select(F.col("rank.__id").alias("__id"), F.col("rank.__h").alias("__h"), "__n"), "first")
-    kept = rows.join(first.hint("merge"), ["__id", "__h"])  # the same plan at every size
-    again = W.partitionBy("__id", "__h").orderBy(F.xxhash64(*docs.columns))
-    several = kept.where("__n > 1").withColumn("__k", F.row_number().over(again)).where("__k = 1")
-    return kept.where("__n = 1").select(*docs.columns).unionByName(several.select(*docs.columns)) if first.where("__n > 1").limit(1).count() else kept.select(*docs.columns)

@@ -1,28 +1,44 @@
 """SimHash near-duplicates by segment popcounts and a grid range-join.
 
-A fingerprint's 64 bits are cut into 16 segments of 4 bits. The bit counts of the
-segments embed it in a grid where the Manhattan distance is a lower bound of the Hamming
-distance: a flipped bit moves one count by one. The counts are kept in thermometer form (a
-count of c as c low bits), so the Manhattan distance of two embeddings is the bit count of
-their exclusive or.
-
-Range join: the segments form six blocks. Fingerprints at most two bits apart differ in at
-most two blocks, so they agree on the counts of four, and meet in one of the fifteen grid
-cells that four blocks make up. Within a cell a pair is tested by the lower bound, then
-exactly. Cells of more than ``dense`` fingerprints would hold quadratically many pairs.
-Their members are joined instead over the midpoints: two fingerprints are at most two bits
-apart just if some value is at most one bit from both, and a midpoint has at most 65
-members. That is exact too and grows in proportion.
-
-Equal fingerprints are one node from the start, so copies never meet pairwise.
+A fingerprint's 64 bits are cut into 32 segments of two bits. The bit counts of the segments
+embed it in a grid where the Manhattan distance is a lower bound of the Hamming distance: a
+flipped bit moves one count by one. The counts are kept in thermometer form (a count of c as
+c low bits), so the Manhattan distance of two embeddings is the bit count of their exclusive
+or.
+
+Range join: the segments form m blocks. Fingerprints at most d bits apart differ in at most d
+blocks, so they agree on all others, and meet in the grid cell that the counts of some m - d
+blocks make up. Within a cell a pair is tested by the lower bound, then exactly. A cell of
+more than ``dense`` fingerprints is split again by the same embedding: pairs that meet in it
+because the blocks are untouched differ in the left-out blocks only, so these are cut into
+d + 2 parts, two of which agree, now with segments of one bit. Each split takes at least two
+fifths off what is left out; at 14 bits it ends. So no cell is ever compared
+in pairs that has more members than ``dense`` or 2**14, and a fingerprint has at most so
+many neighbours as there are values within d bits, however many rows share it: equal
+fingerprints are one node from the start.
+
+The number of blocks follows the number of fingerprints, so that cells of independent
+fingerprints hold about 16; links do not depend on it.
+
+``near_duplicates`` is that of one fingerprint over three-word shingles and two bits.
+
+``filter_documents`` finds documents of similar wording. Their texts are sets of five-word
+shingles, linked at a Jaccard similarity of 0.8 or more. One fingerprint of such shingles is
+no help there: an edited word changes five shingles, and similar texts are nine bits apart.
+So the candidates come from ``PRINTS`` fingerprints over single words, weighed by the
+logarithm of their count, and the range join above at three bits in any of them; then each
+candidate is verified exactly on its shingles. The README tells the recall. Members of a
+group of candidates are first compared to one centre; what this connects needs no further
+comparison, and all other candidates are compared.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like
 any other; repeated rows count each; an empty table gives an empty result; extra columns
-are ignored by :func:`components` and kept by :func:`filter_documents`.
+are ignored by :func:`near_duplicates` and kept by :func:`filter_documents`.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyloom.llm import shingles
 from skyloom.llm.text import read
 from skyloom.operators.components import connected_components
 from skyloom.plans.shared import materialize
@@ -41,9 +58,13 @@ ORACLE_SQL = None  # XXH64 with a seed is beyond the oracle's functions
 
 SHINGLE = 3
 SEED = 42
-DENSE = 64
-#: Segments (of 4 bits) in each block.
-BLOCKS = (3, 3, 3, 3, 2, 2)
+DISTANCE = 2
+#: Cells of more fingerprints are split again; expected members of a cell, from which the number of blocks follows.
+DENSE, EXPECTED = 64, 16
+#: Left-out bits at which splitting ends.
+LAST_BITS = 14
+#: Fingerprints a text and bits in which one may differ, for the search of similar wording.
+PRINTS, WIDE = 8, 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
@@ -73,6 +94,41 @@ def fingerprints(text: Column) -> Column:
     return F.arrow_udf(_fingerprinted, "binary").asNondeterministic()(text)
 
 
+class _Signs:
+    """Rows of +1 and -1 for words; forgotten when there are many."""
+
+    MOST = 1 << 15
+
+    def __init__(self, prints: int):
+        self.prints, self.of, self.rows = prints, {}, np.empty((self.MOST, 64 * prints), np.int8)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.of) + len(words) > self.MOST:
+            self.of.clear()
+        new = [w for w in words if w not in self.of]
+        if new:
+            at = len(self.of)
+            hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + k) for k in range(self.prints)] for w in new], dtype=">u8")
+            self.rows[at : at + len(new)] = 2 * np.unpackbits(hashes.view(np.uint8).reshape(len(new), -1), axis=1).astype(np.int8) - 1
+            self.of.update(zip(new, range(at, at + len(new))))
+        return self.rows[[self.of[w] for w in words]]
+
+
+_signs: dict[int, _Signs] = {}
+
+
+def word_prints(text: str | None, prints: int = PRINTS) -> np.ndarray:
+    """``prints`` fingerprints of the whole text's words, a word of count c weighing 1 + log2 c in eighths."""
+    signs = _signs.setdefault(prints, _Signs(prints))
+    counts = Counter(text.encode("utf-8", "surrogatepass").lower().split()) if text else {}
+    words, total = list(counts), np.zeros(64 * prints, np.int64)
+    for a in range(0, len(words), 4096):
+        part = words[a : a + 4096]
+        weights = np.rint(8 + 8 * np.log2([counts[w] for w in part])).astype(np.float32)
+        total += (weights @ signs(part)).astype(np.int64)  # whole numbers below 2**24: exact in any order
+    return np.packbits(total > 0).view(">u8").astype(np.uint64).view(np.int64)
+
+
 def _long(c):
     """The eight bytes as a signed 64-bit number."""
     hexed = F.hex(c)
@@ -80,52 +136,82 @@ def _long(c):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def _thermometer(fp):
-    """The embedding: each segment's bit count c as its c low bits."""
-    out = F.lit(0).cast("long")
-    for at in range(0, 64, 4):
-        count = F.bit_count(F.shiftright(fp, at).bitwiseAND(15))
-        filled = F.element_at(F.array(*[F.lit(v).cast("long") for v in (0, 1, 3, 7, 15)]), count + 1)
-        out = out.bitwiseOR(F.shiftleft(filled, at))
-    return out
-
-
 def _signed(v: int) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def _cells() -> list[int]:
-    """Bit masks of four out of the six blocks."""
-    at, masks = 0, []
-    for size in BLOCKS:
-        masks.append(((1 << 4 * size) - 1) << 4 * at)
-        at += size
-    return [_signed(sum(four)) for four in combinations(masks, 4)]
-
-
-def links(nodes: DataFrame, distance: int = 2, dense: int = DENSE) -> DataFrame:
-    """Links (src, dst) that connect just the fingerprints within ``distance`` of 2 bits, of distinct ``fp`` (long)."""
-    if distance != 2:
-        raise ValueError("the grid is laid out for two bits")
-    placed = nodes.select("fp", _thermometer(F.col("fp")).alias("t"))
-    cells = F.posexplode(F.array(*[F.col("t").bitwiseAND(F.lit(m).cast("long")) for m in _cells()])).alias("block", "cell")
-    placed = materialize(placed.select("fp", "t", cells), "cells")
-    sizes = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = placed.join(sizes, ["block", "cell"])
-    grouped = placed.where(F.col("n") <= dense).groupBy("block", "cell").agg(F.collect_list(F.struct("fp", "t")).alias("l"))
-    near = F.expr("explode(flatten(transform(l, a -> transform(filter(l, b -> b.fp > a.fp and bit_count(a.t ^ b.t) <= 2 and bit_count(a.fp ^ b.fp) <= 2), b -> struct(b.fp as src, a.fp as dst)))))")
-    pairs = grouped.select(near.alias("x")).select("x.*").distinct()
-    crowded = placed.where(F.col("n") > dense).select("fp").distinct()
-    flips = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in range(64)])).alias("mid")
-    mids = crowded.select("fp", flips).groupBy("mid").agg(F.collect_list("fp").alias("l")).where("size(l) > 1")
-    stars = mids.select(F.explode("l").alias("src"), F.array_min("l").alias("dst")).where("src <> dst").distinct()
-    return pairs.unionByName(stars)
+def _mask(v: int):
+    return F.lit(_signed(v)).cast("long")
+
+
+_LOW = int("01" * 32, 2)
+
+
+def _thermometer(fp):
+    """The embedding: each two-bit segment's count c as its c low bits."""
+    shifted = F.shiftrightunsigned(fp, 1)
+    one, two = fp.bitwiseOR(shifted).bitwiseAND(_mask(_LOW)), fp.bitwiseAND(shifted).bitwiseAND(_mask(_LOW))
+    return one.bitwiseOR(F.shiftleft(two, 1))
+
+
+def _parts(bits: list[int], n: int) -> list[int]:
+    """Masks of ``n`` even runs of the bits."""
+    cuts = [len(bits) * k // n for k in range(n + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+
+def layout(count: int, distance: int) -> list[tuple[int, int]]:
+    """(bits that agree, bits left out) for each kind of cell, for so many fingerprints."""
+    m = next((m for m in range(distance + 2, 12) if count <= EXPECTED * 2 ** (48 * (m - distance) / m)), 12)
+    segments = _parts(list(range(32)), m)
+    blocks = [sum(3 << 2 * s for s in range(32) if x >> s & 1) for x in segments]
+    full = (1 << 64) - 1
+    return [(full ^ sum(out), sum(out)) for out in combinations(blocks, distance)]
+
+
+def split(kind: tuple[int, int], distance: int) -> list[tuple[int, int]]:
+    """The kinds of cells that one kind is split into."""
+    agree, left = kind
+    parts = _parts([b for b in range(64) if left >> b & 1], distance + 2)
+    return [(agree | left ^ sum(out), sum(out)) for out in combinations(parts, distance)]
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
+    """All links (k, src, dst), src above dst, of distinct (``k``, ``fp``) that are at most ``distance`` bits apart and share k."""
+    spark = nodes.sparkSession
+    kinds = layout(nodes.count(), distance)
+    near = f"explode(flatten(transform(l, a -> transform(filter(l, b -> b.fp > a.fp and bit_count(a.t ^ b.t) <= {distance} and bit_count(a.fp ^ b.fp) <= {distance}), b -> struct(b.fp as src, a.fp as dst)))))"
+    t = _thermometer(F.col("fp"))
+    rows = nodes.select("k", "fp", F.posexplode(F.array(*[t.bitwiseAND(_mask(agree)) for agree, _ in kinds])).alias("kind", "cell"))
+    found = None
+    while True:
+        sizes = rows.groupBy("k", "kind", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        placed = materialize(rows.join(sizes.hint("merge"), ["k", "kind", "cell"]), "cells")
+        last = all(left.bit_count() <= LAST_BITS for _, left in kinds)
+        small = placed if last else placed.where(F.col("n") <= dense)
+        grouped = small.groupBy("k", "kind", "cell").agg(F.collect_list(F.struct("fp", t.alias("t"))).alias("l"))
+        pairs = grouped.select("k", F.expr(near).alias("x")).select("k", "x.*")
+        found = pairs if found is None else found.unionByName(pairs)
+        crowded = placed.where(F.col("n") > dense)
+        if last or not crowded.limit(1).count():
+            return found.distinct()
+        finer = [[] if left.bit_count() <= LAST_BITS else split((agree, left), distance) for agree, left in kinds]
+        finer = [x or [kind] for x, kind in zip(finer, kinds)]
+        kinds = [kind for x in finer for kind in x]
+        table, at = [], 0
+        for old, x in enumerate(finer):
+            table += [(old, at + i, _signed(agree)) for i, (agree, _) in enumerate(x)]
+            at += len(x)
+        # A few kinds a split, some thousands in all whatever the table holds.
+        table = F.broadcast(spark.createDataFrame(table, "kind int, finer int, agree long"))
+        rows = crowded.select("k", "kind", "fp").join(table, "kind").select("k", "fp", F.col("finer").alias("kind"), F.col("fp").bitwiseAND(F.col("agree")).alias("cell"))
 
 
 def components(rows: DataFrame, fp: str = "fp", rank: str = "doc_id") -> DataFrame:
     """(fp, first): for each distinct fingerprint the smallest ``rank`` that is reachable."""
     nodes = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("own")), "nodes")
-    joined = nodes.join(connected_components(links(nodes)), F.col("fp") == F.col("node"), "left")
+    linked = links(nodes.select(F.lit(0).alias("k"), "fp"))
+    joined = nodes.join(connected_components(linked), F.col("fp") == F.col("node"), "left")
     joined = joined.select("fp", "own", F.coalesce("component", "fp").alias("root"))
     low = joined.groupBy("root").agg(F.min("own").alias("first"))
     return joined.select("fp", "root").join(low, "root").select("fp", "first")
@@ -138,20 +224,74 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.join(components(rows), "fp").select("doc_id", "fingerprint", F.col("first").alias("component_id"))
 
 
-def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest id, with all its columns.
+def _printed(prints: int):
+    def run(texts: pa.Array) -> pa.Array:
+        sig, n, fps = [], [], []
+        for t in texts:
+            t = t.as_py()
+            found = shingles.shingle_set(t)
+            sig.append(shingles.signature(found))
+            n.append(len(found))
+            fps.append(word_prints(t, prints))
+        return pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["sig", "n", "fps"])
+
+    return run
+
 
-    Of repeated rows of that id one is kept. Texts are shuffled once and not written:
-    fingerprints are made for the search and again for the rows.
+def similar_links(nodes: DataFrame, verify, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
+    """Links (src, dst) that connect just the nodes (sig, n, fps) which are candidates and pass ``verify``.
+
+    ``verify`` takes pairs (src, dst) and returns those that are similar.
+    """
+    members = materialize(nodes.where("n > 0").select("sig", "n", F.posexplode("fps").alias("k", "fp")), "members")
+    close = materialize(links(members.select("k", "fp").distinct(), distance, dense), "close")
+    name = lambda c: F.xxhash64("k", c)
+    groups = connected_components(close.select(name("src").alias("src"), name("dst").alias("dst")))
+    members = members.join(groups, name("fp") == F.col("node"), "left").select("sig", "n", "k", "fp", F.coalesce("component", name("fp")).alias("group"))
+    members = materialize(members, "members")
+    alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"  # else 0.8 is out of reach
+    centre = members.groupBy("group").agg(F.min(F.struct("sig", "n")).alias("y"))
+    stars = members.join(centre, "group").select(F.struct("sig", "n").alias("x"), "y").where(f"x.sig <> y.sig and {alike}")
+    stars = verify(stars.select(F.col("x.sig").alias("src"), F.col("y.sig").alias("dst")).distinct())
+    roots = connected_components(stars)
+    members = members.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "n", "k", "fp", "group", F.coalesce("component", "sig").alias("root"))
+    members = materialize(members, "members")
+    # Groups of one root are settled. In the others all candidates of different roots are compared.
+    open_ = members.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("group")
+    members = materialize(members.join(open_, "group", "left_semi"), "members")
+    spots = members.select("k", "fp", "root").distinct()
+    ends = close.unionByName(spots.select("k", F.col("fp").alias("src"), F.col("fp").alias("dst")).distinct())
+    left, right = (spots.select("k", F.col("fp").alias(end), F.col("root").alias(r)) for end, r in (("src", "ra"), ("dst", "rb")))
+    ends = ends.join(left, ["k", "src"]).join(right, ["k", "dst"]).where("ra <> rb")
+    left, right = (members.select("k", F.col("fp").alias(end), F.col("root").alias(r), F.struct("sig", "n").alias(x)) for end, r, x in (("src", "ra", "x"), ("dst", "rb", "y")))
+    pairs = ends.join(left, ["k", "src", "ra"]).join(right, ["k", "dst", "rb"]).where(alike)
+    pairs = pairs.select(F.greatest("x.sig", "y.sig").alias("src"), F.least("x.sig", "y.sig").alias("dst")).distinct()
+    return stars.unionByName(verify(pairs))
+
+
+def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = PRINTS, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
+    """One row of each group of documents of similar wording, that of the smallest id, with all its columns.
+
+    Of repeated rows of that id and text one is kept. Texts are shuffled once; shingles are
+    made again for the candidates alone.
     """
-    raw = docs.withColumn("__raw", fingerprints(F.col(text).cast("string")))
-    rows = raw.withColumns({"__fp": _long(F.col("__raw")), "__id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))}).drop("__raw")
-    found = materialize(rows.select("__fp", F.struct("__id", "__fp").alias("__rank")), "simhash")
-    first = components(found, "__fp", "__rank").select("first").distinct()
-    first = found.groupBy("__rank").agg(F.count(F.lit(1)).alias("__n")).join(first, F.col("__rank") == F.col("first"), "left_semi")
-    first = materialize(first.select(F.col("__rank.__fp").alias("__fp"), F.col("__rank.__id").alias("__id"), "__n"), "first")
-    kept = rows.join(first.hint("merge"), ["__fp", "__id"])  # the same plan at every size
-    again = W.partitionBy("__fp", "__id").orderBy(F.xxhash64(*docs.columns))
+    body = F.col(text).cast("string")
+    rows = docs.withColumns({"__id": F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")), "__h": F.xxhash64(body.isNull(), body)})
+    made = F.arrow_udf(_printed(prints), "struct<sig:long,n:int,fps:array<long>>").asNondeterministic()
+    found = rows.select(F.struct("__id", "__h").alias("rank"), made(body).alias("x"))
+    found = materialize(found.select("rank", "x.*"), "prints")
+    nodes = found.groupBy("sig").agg(F.min("rank").alias("own"), F.first("n").alias("n"), F.min_by("fps", "rank").alias("fps"))
+    nodes = materialize(nodes, "nodes")
+    named = nodes.select("sig", F.col("own.__id").alias("__id"), F.col("own.__h").alias("__h"))
+    texts = rows.select("__id", "__h", body.alias("text"))
+    linked = similar_links(nodes.select("sig", "n", "fps"), lambda pairs: shingles.similar(pairs, named, texts), distance, dense)
+    joined = nodes.join(connected_components(linked), F.col("sig") == F.col("node"), "left").select("own", F.coalesce("component", "sig").alias("root"))
+    first = joined.groupBy("root").agg(F.min("own").alias("own"))
+    counts = found.groupBy("rank").agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.join(first, F.col("rank") == F.col("own"), "left_semi")
+    first = materialize(first.select(F.col("rank.__id").alias("__id"), F.col("rank.__h").alias("__h"), "__n"), "first")
+    kept = rows.join(first.hint("merge"), ["__id", "__h"])  # the same plan at every size
+    again = W.partitionBy("__id", "__h").orderBy(F.xxhash64(*docs.columns))
     several = kept.where("__n > 1").withColumn("__k", F.row_number().over(again)).where("__k = 1")
     return kept.where("__n = 1").select(*docs.columns).unionByName(several.select(*docs.columns)) if first.where("__n > 1").limit(1).count() else kept.select(*docs.columns)
 
