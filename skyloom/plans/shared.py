@@ -41,7 +41,8 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
     _written.discard(path)
@@ -51,12 +52,12 @@ def discard(df: DataFrame) -> None:
     """Remove what :func:`materialize` wrote; nothing lazy may still read it."""
     path = getattr(df, "_shared_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def purge(spark: SparkSession) -> int:
     """Remove all that this process has written to the shared folder, once results have been consumed."""
     paths = sorted(_written)
     for path in paths:
-        _delete(spark, path)
+        delete(spark, path)
     return len(paths)
