@@ -8,20 +8,22 @@ are shuffled once:
    it, so equal strings have equal anchors. A batch of documents sends the fingerprints of
    its anchors, four bytes each and one for equal ones, to the part of the fingerprint space
    they fall in; the part answers with a bit for each: held by two documents or not.
-2. Shared anchors are sent with their context, all strings around them; equal contexts
-   of a batch count once, with the smallest id. A part sorts the strings of its contexts as
-   suffixes: blockwise, one bucket of suffixes at a time, long ties by the ranks of a
-   difference cover (:mod:`skyloom.llm.suffix_array`). Neighbours in that order that agree
-   on ``length`` bytes form a class, and the class has a smallest id. The batch gets back, per
-   context, which of its strings start in a smaller document.
-3. The batch marks the bytes covered.
+2. Shared anchors are sent with their context, all strings around them; contexts of a batch
+   whose bytes are equal are sent once, with their smallest and largest id. A part sorts the
+   strings of all contexts it gets as suffixes: blockwise, one bucket of suffixes at a time,
+   long ties by the ranks of a difference cover (:mod:`skyloom.llm.suffix_array`).
+   Neighbours in that order that agree on ``length`` bytes form a class, and the class has a
+   smallest id. The batch gets back, per context, which of its strings have a class with an
+   id below the context's smallest, and which with one below its largest.
+3. The batch marks the bytes covered. Nothing is removed but by a class of the sort; hashes
+   only choose what is compared.
 
 Everything a task holds is a batch of documents or a part of the fingerprints, both of
 bounded size; a string in a third of all documents is one context per batch.
 
 Null texts are empty, and texts shorter than ``length`` lose nothing; equal ids never remove
 from each other; null ids come last; an empty table gives an empty result; extra columns
-are ignored.
+are ignored. Rows are dealt to batches by id and text, so null or repeated ids crowd none.
 """
 
 from __future__ import annotations
@@ -37,17 +39,18 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.suffix_array import PERIOD, sort_suffixes
 from skyloom.llm.text import read
-from skyloom.plans.shared import materialize
+from skyloom.plans.shared import delete, discard, materialize, shared_dir
 
 NAME = "op6_difference_cover_dedup"
 
 LENGTH = 50
 GRAM = 20
 BATCH_BYTES = 8 << 20
-PART_ANCHORS = 1 << 20
+PART_ANCHORS = 1 << 18
 #: Bytes of text per anchor, on average: half a window of grams.
 SPACING = 16
 _CHUNK = 1 << 22
+_ROWS = 1 << 16
 _PAD = 0xFF  # in no UTF-8 text
 _LAST = np.iinfo(np.int64).max
 
@@ -190,22 +193,35 @@ class Batch:
         return np.flatnonzero(bits[self.of])
 
     def entries(self, pick: np.ndarray) -> tuple:
-        """Distinct contexts of the occurrences ``pick``: an occurrence of each, its part, and each occurrence's context."""
+        """Distinct contexts of the occurrences ``pick``: an occurrence of each, its part, and each occurrence's context.
+
+        Hashes bring equal contexts together, bytes tell whether they are.
+        """
         hashes = np.empty(len(pick), np.uint64)
-        for a in range(0, len(pick), 1 << 16):
-            hashes[a : a + (1 << 16)] = _hash_rows(self.anchors.contexts(pick[a : a + (1 << 16)]))
+        for a in range(0, len(pick), _ROWS):
+            hashes[a : a + _ROWS] = _hash_rows(self.anchors.contexts(pick[a : a + _ROWS]))
         order = np.lexsort((hashes, self.codes[self.of[pick]], self.part[pick]))
         new = np.ones(len(order), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (self.of[pick][order][1:] != self.of[pick][order][:-1])
+        for a in range(0, len(order) - 1, _ROWS):
+            rows = self.anchors.contexts(pick[order[a : a + _ROWS + 1]])
+            new[a + 1 : a + len(rows)] = (rows[1:] != rows[:-1]).any(1)
+        new[1:] |= self.of[pick][order][1:] != self.of[pick][order][:-1]
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(new) - 1
         lead = pick[order[new]]
         return lead, self.part[lead], entry
 
+    def range_of(self, pick: np.ndarray, entry: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest and the largest id that holds each context."""
+        low, high = np.full(n, _LAST), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(low, entry, self.owner[pick])
+        np.maximum.at(high, entry, self.owner[pick])
+        return low, high
+
 
 _ANCHORS = "batch int, part int, codes binary, several binary"
 _BITS = "batch int, part int, kind int, answer binary"
-_CONTEXTS = "batch int, part int, contexts binary, ids binary, first binary, last binary"
+_CONTEXTS = "batch int, part int, contexts binary, low binary, high binary, first binary, last binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -246,38 +262,36 @@ def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
 
 def _context_rows(parts: int, length: int, gram: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = [("batch", _I), ("part", _I), ("contexts", _B), ("ids", _B), ("first", _B), ("last", _B)]
+        schema = [("batch", _I), ("part", _I), ("contexts", _B), ("low", _B), ("high", _B), ("first", _B), ("last", _B)]
         if not docs.num_rows:
             return _table(schema, [])
         b = Batch(docs, parts, length, gram)
         pick = b.shared(_answers(answers, 0))
         lead, part_of, entry = b.entries(pick)
         a, n = b.anchors, len(lead)
-        low = np.full(n, _LAST)
-        np.minimum.at(low, entry, b.owner[pick])
+        low, high = b.range_of(pick, entry, n)
         before = length - gram
         first, last = np.full(n, 255, np.uint8), np.zeros(n, np.uint8)
         np.minimum.at(first, entry, (a.first[pick] - a.place[pick] + before).astype(np.uint8))
         np.maximum.at(last, entry, (a.last[pick] - a.place[pick] + before).astype(np.uint8))
         rows = []
         for part, s, e in b.split(part_of):
-            rows.append((key[0].as_py(), part, zlib.compress(a.contexts(lead[s:e]).tobytes(), 1), low[s:e].tobytes(), first[s:e].tobytes(), last[s:e].tobytes()))
+            rows.append((key[0].as_py(), part, zlib.compress(a.contexts(lead[s:e]).tobytes(), 1), low[s:e].tobytes(), high[s:e].tobytes(), first[s:e].tobytes(), last[s:e].tobytes()))
         return _table(schema, rows)
 
     return run
 
 
-def classes(rows: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """For each context and each of its strings the smallest id of an equal string; -1 where the context has no string of its own."""
+def classes(rows: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """For each context and each of its strings the smallest id of an equal string; the largest number where there is no string or no sort."""
     n, size = rows.shape
-    out = np.full((n, size - length + 1), -1, np.int64)
+    out = np.full((n, size - length + 1), _LAST, np.int64)
     span = np.arange(size - length + 1)
     inside = (span >= first[:, None]) & (span <= last[:, None])
-    out[inside] = np.broadcast_to(ids[:, None], inside.shape)[inside]
-    # Equal strings have equal anchors: a context alone with its anchor's gram needs no sorting.
+    # Equal strings have equal anchors: a context of one document, alone with its anchor's gram, needs no sorting.
     gram = np.ascontiguousarray(rows[:, size - length : length])
     _, of, many = np.unique(_hash_rows(gram), return_inverse=True, return_counts=True)
-    c, o = np.nonzero(inside & (many[of] > 1)[:, None])
+    c, o = np.nonzero(inside & ((many[of] > 1) | (high > low))[:, None])
     if not len(c):
         return out
     # Equal strings lie at the same place of their contexts. Contexts as long as a multiple of
@@ -293,7 +307,7 @@ def classes(rows: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarr
         b = min(len(at) - 1, a + (1 << 17))
         same[a + 1 : b + 1] = (strings[at[a:b]] == strings[at[a + 1 : b + 1]]).all(1)
     heads = np.flatnonzero(~same)
-    least = np.minimum.reduceat(ids[at // wide], heads)
+    least = np.minimum.reduceat(low[at // wide], heads)
     out[at // wide, at % wide] = np.repeat(least, np.diff(np.append(heads, len(at))))
     return out
 
@@ -301,22 +315,16 @@ def classes(rows: np.ndarray, ids: np.ndarray, first: np.ndarray, last: np.ndarr
 def _answer_contexts(length: int, gram: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         size = 2 * length - gram
-        ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
+        counts = [len(x) // 8 for x in table.column("low").to_pylist()]
         rows = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8).reshape(-1, size) for x in table.column("contexts").to_pylist()])
+        low, high = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("low", "high"))
         first, last = (np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()]) for c in ("first", "last"))
-        _, lead, of = np.unique(_hash_rows(rows), return_index=True, return_inverse=True)
-        n = len(lead)
-        low, lo, hi = np.full(n, _LAST), np.full(n, 255, np.uint8), np.zeros(n, np.uint8)
-        np.minimum.at(low, of, np.concatenate(ids))
-        np.minimum.at(lo, of, first)
-        np.maximum.at(hi, of, last)
-        least = classes(rows[lead], low, lo, hi, length)
+        least = classes(rows, low, high, first, last, length)
+        gone = np.packbits(np.concatenate((least < low[:, None], least < high[:, None]), axis=1), axis=1)
         out, at = [], 0
-        for batch, own in zip(table.column("batch").to_pylist(), ids):
-            mine = least[of[at : at + len(own)]]
-            gone = (mine >= 0) & (mine < own[:, None])
-            out.append((batch, key[0].as_py(), 1, np.packbits(gone, axis=1).tobytes()))
-            at += len(own)
+        for batch, n in zip(table.column("batch").to_pylist(), counts):
+            out.append((batch, key[0].as_py(), 1, gone[at : at + n].tobytes()))
+            at += n
         return _table([("batch", _I), ("part", _I), ("kind", _I), ("answer", _B)], out)
 
     return run
@@ -330,11 +338,12 @@ def _marked(b: Batch, answers: pa.Table, length: int, gram: int) -> np.ndarray:
         return gone[:-1] > 0
     lead, part_of, entry = b.entries(pick)
     spots, a = length - gram + 1, b.anchors
-    masks, got = np.zeros((len(lead), spots), bool), _answers(answers, 1)
+    masks, got = np.zeros((len(lead), 2 * spots), bool), _answers(answers, 1)
     for part, s, e in b.split(part_of):
-        masks[s:e] = np.unpackbits(np.frombuffer(got[part], np.uint8).reshape(e - s, -1), axis=1, count=spots).astype(bool)
-    low = np.full(len(lead), _LAST)
-    np.minimum.at(low, entry, b.owner[pick])
+        masks[s:e] = np.unpackbits(np.frombuffer(got[part], np.uint8).reshape(e - s, -1), axis=1, count=2 * spots).astype(bool)
+    low, _ = b.range_of(pick, entry, len(lead))
+    # Of a context's ids the smallest asks the first mask; for all others its smallest is a smaller one, so they ask
+    # whether the class has an id below the largest.
     later = b.owner[pick] > low[entry]
     starts = np.zeros(len(b.data) + 1, bool)
     base = a.place[pick] - (length - gram)
@@ -342,7 +351,8 @@ def _marked(b: Batch, answers: pa.Table, length: int, gram: int) -> np.ndarray:
     for s in range(0, len(pick), 1 << 17):
         k = slice(s, s + (1 << 17))
         own = (base[k, None] + span >= a.first[pick[k], None]) & (base[k, None] + span <= a.last[pick[k], None])
-        q, o = np.nonzero(own & (masks[entry[k]] | later[k, None]))
+        both = masks[entry[k]]
+        q, o = np.nonzero(own & np.where(later[k, None], both[:, spots:], both[:, :spots]))
         starts[base[k][q] + o] = True
     at = np.flatnonzero(starts)
     np.add.at(gone, at, 1)
@@ -387,25 +397,34 @@ def _texts(parts: int, length: int, gram: int):
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, part_anchors: int = PART_ANCHORS, texts: bool = False) -> DataFrame:
     """Per document the bytes removed, or with ``texts`` the bytes kept and the spans removed."""
+    size = 2 * length - gram
+    if not 0 < gram <= length or size > 255:
+        raise ValueError("a context, twice the length less the gram, may have 255 bytes")
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // batch_bytes))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-total // (SPACING * part_anchors)), min(tasks, -(-total // (1 << 16))))  # work for every task
+    parts = max(1, -(-total // (SPACING * part_anchors)), min(4 * tasks, -(-total // (1 << 16))))  # work for every task
     buckets = int(min(10_000, max(batches, tasks)))
     name = f"skyloom_batches_{uuid.uuid4().hex}"
-    spread = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(max(batches, buckets))).cast("int"))
-    spread.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").saveAsTable(name)
-    table = spark.table(name)
-    anchors = table.groupBy("batch").applyInArrow(_anchor_rows(parts, length, gram), _ANCHORS)
-    bits = materialize(anchors.groupBy("part").applyInArrow(_answer_anchors, _BITS), "bits")
-    sent = table.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_context_rows(parts, length, gram), _CONTEXTS)
-    masks = materialize(sent.groupBy("part").applyInArrow(_answer_contexts(length, gram), _BITS), "masks")
-    both = bits.unionByName(masks)
-    finish, schema = (_texts, "doc_id long, kept binary, spans array<array<long>>") if texts else (_results, _RESULT)
-    out = materialize(table.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(finish(parts, length, gram), schema), "deduplicated")
-    spark.sql(f"DROP TABLE {name}")
+    path = f"{shared_dir(spark)}/{name}"
+    spread = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(batches, buckets))).cast("int"))
+    try:
+        spread.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", path).saveAsTable(name)
+        table = spark.table(name)
+        anchors = table.groupBy("batch").applyInArrow(_anchor_rows(parts, length, gram), _ANCHORS)
+        bits = materialize(anchors.groupBy("part").applyInArrow(_answer_anchors, _BITS), "bits")
+        sent = table.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_context_rows(parts, length, gram), _CONTEXTS)
+        masks = materialize(sent.groupBy("part").applyInArrow(_answer_contexts(length, gram), _BITS), "masks")
+        both = bits.unionByName(masks)
+        finish, schema = (_texts, "doc_id long, kept binary, spans array<array<long>>") if texts else (_results, _RESULT)
+        out = materialize(table.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(finish(parts, length, gram), schema), "deduplicated")
+        discard(bits)
+        discard(masks)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
     return out
 
 
