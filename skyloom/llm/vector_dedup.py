@@ -1,21 +1,30 @@
 """Near-duplicate vectors by small-world graphs, one per shard.
 
-Vectors of a label are dealt by hash into shards of bounded size. A shard's vectors form a
-hierarchical navigable small-world graph, built and searched for whole batches at once.
-Every vector queries every shard of its label. A query whose beam is full of links is
-repeated with a wider beam; then a sample of queries (ids divisible by 50, 32 at least)
-is held against brute force, and all beams widen until the sample's recall is 0.999. A beam
-that has grown to a quarter of the shard takes in all of it, so widening ends.
+Vectors of a label are dealt by hash into shards. A shard's vectors form a hierarchical
+navigable small-world graph, built and searched for whole batches at once. Every vector
+queries every shard of its label, its own included. A query whose beam is full of links is
+repeated with a wider beam. Before, a sample of the queries (ids divisible by 50, 32 at least)
+is held against brute force: the mean share of its own links that a query finds, and how
+many queries find their nearest vector. Beams widen until these reach ``RECALL`` and
+``NEAREST``; a group with many links counts no more than any other query, and without any
+link the nearest vectors still count. A beam that has grown to a quarter of the shard takes
+in all of it, so widening ends. :func:`search` returns these figures with the links.
 
 Links found are verified with cosines in double precision. A pair of shards returns a link
 count per vector and a spanning forest of its links, so a dense group of k vectors sends
 O(k) rows. Equal vectors of a label are one node with a multiplicity. Components are the
 union over all shard pairs.
 
+A label has 16 shards, of ``SHARD_ROWS`` to ``MOST_ROWS`` vectors, and more shards where that
+is not enough. To query every shard takes work in proportion to vectors times shards, so
+shards are as large as a task's memory allows: one of 32,768 vectors takes 1.1 kB a vector
+at 64 numbers, a pair of them two bits a pair of vectors besides. Graphs of a large label
+travel in blocks of up to eight, each of which meets every other block once.
+
 Vectors that are null, zero, or hold null or non-finite components, and vectors with a null
-label, link with nothing; vectors of different length never link; repeated rows of one id
-count as separate vectors but share a component; an empty table gives an empty result;
-extra columns are ignored.
+label or id, link with nothing and are components of their own; vectors of different length
+never link; repeated rows of one id count as separate vectors, each with its own links, and
+share a component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +52,11 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.s = vec_id)::BIGINT AS n_links, l
 """
 
 THRESHOLD = 0.98
-SHARD_ROWS = 8192
+SHARD_ROWS, MOST_ROWS = 4096, 32_768
 LINKS = 12
 BEAM = 48
-RECALL = 0.999
+#: What the audit asks for: mean share of a query's links, share of queries that find their nearest vector.
+RECALL, NEAREST = 0.999, 0.9
 
 
 class Layer:
@@ -189,147 +199,217 @@ class Graph:
             nodes = np.where(rows >= 0, self.layers[h].nodes[np.maximum(rows, 0)], -1)
         return nodes, sims
 
-    def within(self, queries: np.ndarray, least: float, beam: int) -> np.ndarray:
-        """Links found, as a boolean matrix of queries and nodes."""
-        out = np.zeros((len(queries), len(self.vectors)), bool)
-        todo = np.arange(len(queries))
-        while len(todo):
-            if 4 * beam >= len(self.vectors):
-                for a in range(0, len(todo), 1024):
-                    out[todo[a : a + 1024]] = queries[todo[a : a + 1024]] @ self.vectors.T >= least
-                break
-            full = []
-            for a in range(0, len(todo), 256):
-                part = todo[a : a + 256]
-                nodes, sims = self.near(queries[part], beam)
+    def within(self, queries: np.ndarray, least: float, beam: int):
+        """(first query, links found as a boolean matrix of queries and nodes) for one chunk of queries after the other."""
+        n = len(self.vectors)
+        for a in range(0, len(queries), 256):
+            part = queries[a : a + 256]
+            out, todo, width = np.zeros((len(part), n), bool), np.arange(len(part)), beam
+            while len(todo):
+                if 4 * width >= n:
+                    out[todo] = part[todo] @ self.vectors.T >= least
+                    break
+                nodes, sims = self.near(part[todo], width)
                 hit = (sims >= least) & (nodes >= 0)
                 q, c = np.nonzero(hit)
-                out[part[q], nodes[q, c]] = True
-                full.append(part[hit.sum(1) >= beam - 2])
-            todo, beam = np.concatenate(full), 4 * beam
-        return out
+                out[todo[q], nodes[q, c]] = True
+                todo, width = todo[hit.sum(1) >= width - 2], 4 * width
+            yield a, out
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray) -> bytes:
-    """A shard as bytes; its graph depends on its rows alone."""
-    order = np.argsort(ids)
-    exact = vectors[order].astype(np.float64)
-    graph = Graph(_units(exact))
-    return pickle.dumps((ids[order], vectors[order], copies[order], [(x.nodes, x.near) for x in graph.layers]), protocol=5)
-
-
-def load(blob: bytes) -> tuple:
-    ids, vectors, copies, layers = pickle.loads(blob)
-    graph = Graph.__new__(Graph)
-    graph.vectors = _units(vectors.astype(np.float64))
-    graph.layers = []
-    for nodes, near in layers:
-        layer = Layer(near.shape[1])
-        layer.nodes, layer.near = nodes, near
-        graph.layers.append(layer)
-    graph._index()
-    return ids, vectors.astype(np.float64), copies, graph
-
-
-def linked(one: tuple, other: tuple, same: bool, threshold: float = THRESHOLD, recall: float = RECALL) -> np.ndarray:
-    """Verified links of the vectors of one shard to those of another."""
-    (ids, exact, _, own), (_, exact2, _, graph) = one, other
-    audit = np.flatnonzero(ids % 50 == 0)
-    if len(audit) < 32:
-        audit = np.unique(np.concatenate((audit, np.linspace(0, len(ids) - 1, min(len(ids), 32)).astype(int))))
-    least, beam = threshold - 1e-5, BEAM
-    truth = own.vectors[audit] @ graph.vectors.T >= least
+def build(ids: np.ndarray, own: np.ndarray, vectors: np.ndarray, copies: np.ndarray) -> bytes:
+    """A shard as bytes: node ids, the smallest id of each node's rows, vectors, multiplicities, graph."""
+    order = np.lexsort((ids, own))
+    graph = Graph(_units(vectors[order].astype(np.float64)))
+    return pickle.dumps((ids[order], own[order], vectors[order], copies[order], [(x.nodes, x.near) for x in graph.layers]), protocol=5)
+
+
+class Shard:
+    def __init__(self, blob: bytes):
+        self.ids, self.own, vectors, self.copies, layers = pickle.loads(blob)
+        self.exact = vectors.astype(np.float64)
+        self.norms = np.linalg.norm(self.exact, axis=1)
+        self.graph = Graph.__new__(Graph)
+        self.graph.vectors, self.graph.layers = _units(self.exact), []
+        for nodes, near in layers:
+            layer = Layer(near.shape[1])
+            layer.nodes, layer.near = nodes, near
+            self.graph.layers.append(layer)
+        self.graph._index()
+
+    def audited(self) -> np.ndarray:
+        """The rows whose queries are held against brute force."""
+        some = np.flatnonzero(self.own % 50 == 0)
+        if len(some) >= 32:
+            return some
+        return np.unique(np.concatenate((some, np.linspace(0, len(self.ids) - 1, min(len(self.ids), 32)).astype(int))))
+
+
+def audit(queries: np.ndarray, graph: Graph, least: float, beam: int, own: np.ndarray | None = None) -> tuple[float, float]:
+    """(mean share of its links that a query finds, share of queries that find their nearest vector); ``own`` are the queries' nodes where they are of the graph."""
+    sims = queries @ graph.vectors.T
+    if own is not None:
+        sims[np.arange(len(queries)), own] = -2
+    truth = sims >= least
+    some = truth.any(1)
+    found = np.concatenate([out for _, out in graph.within(queries, least, beam)])
+    links = float(((found & truth).sum(1)[some] / truth.sum(1)[some]).mean()) if some.any() else 1.0
+    if 4 * beam >= len(graph.vectors):
+        return links, 1.0
+    best, nearest = sims.max(1), 0
+    for a in range(0, len(queries), 256):
+        nodes, _ = graph.near(queries[a : a + 256], beam)
+        got = np.where(nodes >= 0, np.take_along_axis(sims[a : a + 256], np.maximum(nodes, 0), 1), -3).max(1)
+        nearest += int((got >= best[a : a + 256] - 1e-6).sum())
+    return links, nearest / max(1, len(queries))
+
+
+def _answers(queries: Shard, target: Shard, same: bool, least: float) -> tuple[np.ndarray, tuple]:
+    """Packed links that the queries find in the target, and the audit (beam, queries audited, links, nearest)."""
+    rows, beam = queries.audited(), BEAM
     while True:
-        found = graph.within(own.vectors, least, beam)
-        if 4 * beam >= len(graph.vectors) or (found[audit] & truth).sum() >= recall * truth.sum():
+        links, nearest = audit(queries.graph.vectors[rows], target.graph, least, beam, rows if same else None)
+        if 4 * beam >= len(target.ids) or links >= RECALL and nearest >= NEAREST:
             break
         beam *= 2
-    if same:
-        found |= found.T
-        np.fill_diagonal(found, False)
-    norm, norm2 = np.linalg.norm(exact, axis=1), np.linalg.norm(exact2, axis=1)
-    for a in range(0, len(ids), 64):
-        q, c = np.nonzero(found[a : a + 64])
-        for s in range(0, len(q), 1 << 16):
-            i, j = q[s : s + (1 << 16)] + a, c[s : s + (1 << 16)]
-            found[i, j] = np.einsum("nd,nd->n", exact[i], exact2[j]) / (norm[i] * norm2[j]) >= threshold
-    return found
-
-
-def _forest(found: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Links that connect what ``found`` connects, at most one for each vector."""
-    n = len(left)
-    label = np.arange(n if same else n + len(right))
-    name = left if same else np.concatenate((left, right))
-    out = []
-    for i in np.flatnonzero(found.any(1)):
-        at = np.flatnonzero(found[i]) + (0 if same else n)
-        groups, first = np.unique(label[at], return_index=True)
-        new = groups != label[i]
-        if new.any():
-            out += [(int(name[i]), int(name[at[k]])) for k in first[new]]
-            label[np.isin(label, groups[new])] = label[i]
-    return out
-
-
-_BUILT = "label string, dim int, shard int, blob binary"
-_FOUND = "id long, n long, other long"
+    out = np.empty((len(queries.ids), -(-len(target.ids) // 8)), np.uint8)
+    for a, found in target.graph.within(queries.graph.vectors, least, beam):
+        out[a : a + len(found)] = np.packbits(found, axis=1)
+    return out, (beam, len(rows), links, nearest)
+
+
+def linked(one: Shard, other: Shard, same: bool, threshold: float = THRESHOLD):
+    """Verified links of two shards: (row of the first, rows of the other) one by one, and the audits of both directions.
+
+    Both query each other: a link counts if either finds it.
+    """
+    least = threshold - 1e-5
+    there, audits = _answers(one, other, same, least)
+    audits = [audits]
+    back = there
+    if not same:
+        back, more = _answers(other, one, False, least)
+        audits.append(more)
+
+    def rows():
+        n, m = len(one.ids), len(other.ids)
+        for a in range(0, n, 512):
+            found = np.unpackbits(there[a : a + 512], axis=1, count=m).astype(bool)
+            found |= np.unpackbits(back[:, a // 8 : (a + 512) // 8], axis=1)[:, : len(found)].T.astype(bool)
+            if same:
+                found[np.arange(len(found)), np.arange(len(found)) + a] = False
+            for k in np.flatnonzero(found.any(1)):
+                at = np.flatnonzero(found[k])
+                cos = other.exact[at] @ one.exact[a + k] / (other.norms[at] * one.norms[a + k])
+                at = at[cos >= threshold]
+                if len(at):
+                    yield a + int(k), at
+
+    return rows(), audits
+
+
+def _connect(label: np.ndarray, i: int, at: np.ndarray) -> list[int]:
+    """Joins node i to those ``at`` in ``label``; one of each group that was apart."""
+    groups, first = np.unique(label[at], return_index=True)
+    new = groups != label[i]
+    if not new.any():
+        return []
+    label[np.isin(label, groups[new])] = label[i]
+    return at[first[new]].tolist()
+
+
+_BUILT = "label string, dim int, of int, shard int, blob binary"
+_FOUND = "id long, n long, other long, first int, second int, beam int, audited int, links double, nearest double"
 
 
 def _build_shard(key: tuple, table: pa.Table) -> pa.Table:
     ids = table.column("id").to_numpy()
     vectors = np.array(table.column("e").combine_chunks().values, dtype=np.float32 if pa.types.is_float32(table.column("e").type.value_type) else np.float64).reshape(len(ids), -1)
-    blob = build(ids, vectors, table.column("copies").to_numpy())
-    return pa.table({"label": [key[0].as_py()], "dim": pa.array([key[1].as_py()], pa.int32()), "shard": pa.array([key[2].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
+    blob = build(ids, table.column("own").to_numpy(), vectors, table.column("copies").to_numpy())
+    return pa.table({"label": [key[0].as_py()], "dim": pa.array([key[1].as_py()], pa.int32()), "of": pa.array([key[2].as_py()], pa.int32()), "shard": pa.array([key[3].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+
+def _pair(one: Shard, other: Shard, same: bool, threshold: float, name: tuple[int, int]) -> list[tuple]:
+    """Rows of ``_FOUND``: a count per linked vector, a forest of links, the audits."""
+    n = len(one.ids)
+    counts, more = np.zeros(n, np.int64), np.zeros(len(other.ids), np.int64)
+    label, ids = np.arange(n if same else n + len(other.ids)), one.ids if same else np.concatenate((one.ids, other.ids))
+    shift, out = 0 if same else n, []
+    none = (None,) * 6
+    links, audits = linked(one, other, same, threshold)
+    for i, at in links:
+        counts[i] += other.copies[at].sum()
+        more[at] += one.copies[i]
+        out += [(int(ids[i]), 0, int(ids[k]), *none) for k in _connect(label, i, at + shift)]
+    for shard, c in ((one, counts),) if same else ((one, counts), (other, more)):
+        out += [(int(shard.ids[k]), int(c[k]), None, *none) for k in np.flatnonzero(c)]
+    return out + [(None, None, None, *(name if k == 0 else name[::-1]), *a) for k, a in enumerate(audits)]
+
+
+def _query_blocks(threshold: float):
+    types = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.float64()] * 2
+    names = [x.split()[0] for x in _FOUND.split(", ")]
 
-def _query_pair(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[2].as_py(), key[3].as_py()
-        blobs = dict(zip(table.column("shard").to_pylist(), table.column("blob").to_pylist()))
-        one, other = load(blobs[i]), load(blobs[j])
-        found = linked(one, other, i == j, threshold)
-        ids, n, to = [one[0]], [found @ other[2]], [np.full(len(one[0]), -1)]
-        if i != j:
-            ids, n, to = [*ids, other[0]], [*n, found.T @ one[2]], [*to, np.full(len(other[0]), -1)]
-        edges = _forest(found, one[0], other[0], i == j)
-        if edges:
-            u, v = (np.array(x, dtype=np.int64) for x in zip(*edges))
-            ids, n, to = [*ids, u], [*n, np.zeros(len(u), np.int64)], [*to, v]
-        return pa.table({"id": pa.array(np.concatenate(ids), pa.int64()), "n": pa.array(np.concatenate(n).astype(np.int64), pa.int64()), "other": pa.array(np.concatenate(to).astype(np.int64), pa.int64())})
+        blobs: dict[int, dict[int, bytes]] = {}
+        for block, shard, blob in zip(*(table.column(c).to_pylist() for c in ("block", "shard", "blob"))):
+            blobs.setdefault(block, {})[shard] = blob
+        out = []
+        for x, blob in sorted(blobs.get(i, {}).items()):
+            one = Shard(blob)
+            for y, blob in sorted(blobs.get(j, {}).items()):
+                if i != j or x <= y:
+                    out += _pair(one, one if x == y else Shard(blob), x == y, threshold, (x, y))
+        cols = list(zip(*out)) if out else [()] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, n_links, component_id, kept) of every row, and the audits (first, second, beam, audited, links, nearest): shard ``first`` queried ``second``."""
     e = F.col(embedding)
     sound = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), F.when(sound & F.col(label).isNotNull() & F.col(vec_id).isNotNull(), e).alias("e"))
-    nodes = rows.where("e IS NOT NULL").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialize(nodes.withColumn("dim", F.size("e")), "vectors")
-    large = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > shard_rows)
-    large = F.broadcast(large.select("label", "dim", F.ceil(F.col("c") / shard_rows).cast("int").alias("of")))  # one row per shard_rows vectors at most
+    nodes = rows.where("e IS NOT NULL").groupBy("label", "e").agg(F.min("vec_id").alias("own"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialize(nodes.withColumns({"dim": F.size("e"), "id": F.monotonically_increasing_id()}), "vectors")  # numbered as written
+    c = F.count(F.lit(1))
+    size = F.least(F.lit(max(shard_rows, most_rows)), F.greatest(F.lit(shard_rows), F.floor(c / 16)))
+    large = nodes.groupBy("label", "dim").agg(c.alias("c"), F.ceil(c / size).cast("int").alias("of")).where(F.col("of") > 1).drop("c")
     dealt = nodes.join(large, ["label", "dim"], "left").withColumn("of", F.coalesce("of", F.lit(1)))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-    built = materialize(dealt.select("label", "dim", "shard", "id", "e", "copies").groupBy("label", "dim", "shard").applyInArrow(_build_shard, _BUILT), "graphs")
-    # Each shard meets every shard of its label once, itself included.
-    shards = built.select("label", "dim", "shard")
-    ends = F.explode(F.array_distinct(F.array("i", "j"))).alias("shard")
-    pairs = shards.select("label", "dim", F.col("shard").alias("i")).join(shards.select("label", "dim", F.col("shard").alias("j")), ["label", "dim"]).where("i <= j")
-    both = pairs.select("label", "dim", "i", "j", ends).join(built, ["label", "dim", "shard"])
-    found = materialize(both.groupBy("label", "dim", "i", "j").applyInArrow(_query_pair(threshold), _FOUND), "links")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("e"), F.col("of")).cast("int"))
+    built = dealt.select("label", "dim", "of", "shard", "id", "own", "e", "copies").groupBy("label", "dim", "of", "shard").applyInArrow(_build_shard, _BUILT)
+    wide = F.least(F.lit(8), F.greatest(F.lit(1), F.floor(F.col("of") / 16))).cast("int")  # shards in a block
+    built = materialize(built.withColumn("block", F.floor(F.col("shard") / wide).cast("int")), "graphs")
+    # Each block meets every block of its label once, itself included.
+    blocks = built.select("label", "dim", "block").distinct()
+    ends = F.explode(F.array_distinct(F.array("i", "j"))).alias("block")
+    pairs = blocks.select("label", "dim", F.col("block").alias("i")).join(blocks.select("label", "dim", F.col("block").alias("j")), ["label", "dim"]).where("i <= j")
+    both = pairs.select("label", "dim", "i", "j", ends).join(built.drop("of"), ["label", "dim", "block"])
+    found = materialize(both.groupBy("label", "dim", "i", "j").applyInArrow(_query_blocks(threshold), _FOUND), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.where("other >= 0").select(F.col("id").alias("src"), F.col("other").alias("dst")))
-    nodes = nodes.join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
-    nodes = nodes.select("label", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
-    out = rows.join(nodes, ["label", "e"], "left")
-    component = F.coalesce(F.col("c"), F.col("vec_id")).cast("long")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    # Rows of one id are of one component, whatever their vectors.
+    named = rows.where("e IS NOT NULL").join(nodes.select("label", "e", "id"), ["label", "e"]).select("vec_id", "id")
+    several = named.groupBy("vec_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    edges = found.where("other IS NOT NULL").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    edges = edges.unionByName(named.join(several, "vec_id").select(F.col("id").alias("src"), F.col("lo").alias("dst")))
+    nodes = nodes.join(counts, "id", "left").join(connected_components(edges), F.col("id") == F.col("node"), "left")
+    nodes = nodes.select("label", "e", "own", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
+    first = nodes.groupBy("c").agg(F.min("own").alias("component_id"))
+    out = rows.join(nodes.drop("own").join(first, "c"), ["label", "e"], "left")
+    component = F.coalesce(F.col("component_id"), F.col("vec_id")).cast("long")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out, found.where("beam IS NOT NULL").select("first", "second", "beam", "audited", "links", "nearest")
+
+
+def near_duplicates(vectors: DataFrame, **kw) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row; arguments as of :func:`search`."""
+    return search(vectors, **kw)[0]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

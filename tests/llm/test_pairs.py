@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow.compute
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -263,6 +264,57 @@ def test_substrings_planted(spark):
     _check(spark, rows, batch_bytes=700, part_anchors=40)
 
 
+def _by_hand(rows, batches, parts, length=50, gram=20):
+    """The three passes without Spark; what the parts answer is counted."""
+    import pyarrow as pa
+
+    sd = suffix_dedup
+    tables = [pa.table({"batch": pa.array([k] * len(x), pa.int32()), "doc_id": pa.array([i for i, _ in x], pa.int64()), "text": pa.array([t for _, t in x], pa.string())}) for k, x in enumerate(batches(rows))]
+    by = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
+    key = lambda k: (pa.scalar(k, pa.int32()),)
+    anchors = pa.concat_tables([sd._anchor_rows(parts, length, gram)(key(k), t) for k, t in enumerate(tables)])
+    bits = pa.concat_tables([sd._answer_anchors(key(p), t) for p in range(parts) if len(t := by(anchors, "part", p))])
+    sent = pa.concat_tables([sd._context_rows(parts, length, gram)(key(k), t, by(bits, "batch", k)) for k, t in enumerate(tables)])
+    masks = [sd._answer_contexts(length, gram)(key(p), t) for p in range(parts) if len(t := by(sent, "part", p))]
+    answers = pa.concat_tables([bits, *masks])
+    done = [r for k, t in enumerate(tables) for r in sd._results(parts, length, gram)(key(k), t, by(answers, "batch", k)).to_pylist()]
+    return sorted((tuple(r.values()) for r in done), key=str), masks
+
+
+def _repetitive():
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcé "), 7)) for _ in range(60)]
+    passage = " ".join(words[:14])
+    return [(int(i), " ".join(rng.choice(words, 25)) + passage * int(i % 3 == 0) + " ".join(rng.choice(words, 9))) for i in rng.permutation(60)]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_bytes_tell_what_hashes_bring_together(monkeypatch, collide):
+    """With one hash for all contexts the result is the same."""
+    if collide:
+        monkeypatch.setattr(suffix_dedup, "_hash_rows", lambda rows: np.zeros(len(rows), np.uint64))
+    rows = _repetitive()
+    got, _ = _by_hand(rows, lambda r: (r[:20], r[20:45], r[45:]), 3)
+    assert got == _removed([(i, t.encode()) for i, t in rows]) and sum(r[2] for r in got) > 1000
+
+
+def test_nothing_is_removed_but_by_the_sort(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "classes", lambda rows, *a: np.full((len(rows), 31), suffix_dedup._LAST))
+    for batches in (lambda r: (r,), lambda r: (r[:30], r[30:])):
+        got, _ = _by_hand(_repetitive(), batches, 2)
+        assert sum(r[2] for r in got) == 0
+
+
+def test_substrings_of_null_ids_and_clashing_names(spark):
+    text = "0123456789" * 9
+    rows = [(None, f"{k} {text}") for k in range(40)] + [(7, text), (7, "x" + text)]
+    df = spark.createDataFrame([(i, t, 1, "z", 2) for i, t in rows], "doc_id long, text string, batch int, part string, n_bytes int")
+    got = sorted((tuple(r) for r in suffix_dedup.deduplicate(df, batch_bytes=300).collect()), key=str)
+    assert got == _removed([(i, t.encode()) for i, t in rows])
+    with pytest.raises(ValueError):
+        suffix_dedup.deduplicate(df, length=200)
+
+
 def test_substrings_empty_table_and_spans(spark):
     df = spark.createDataFrame([(1, "z" * 10 + "0123456789" * 6), (2, "0123456789" * 6)], "doc_id long, text string")
     assert suffix_dedup.deduplicate(df.limit(0)).count() == 0
@@ -299,11 +351,51 @@ def test_vectors_edge_cases(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     rows = [(r[0], r[1], r[2]) for r in df.collect()]
     for size in (8192, 20):
-        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(df, shard_rows=size).collect())
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(df, shard_rows=size, most_rows=size).collect())
         assert got == _brute(rows)
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [2.0, 0.01], 0), (3, [0.01, 3.0], 0), (4, [0.0, 4.0], 0), (5, [1.0, 1.0], 0), (5, None, 0), (5, [1.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"id": F.lit(1), "n": F.lit(2), "own": F.lit("x")})
+    got = sorted(tuple(r) for r in vector_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True), (5, 0, 5, True), (5, 0, 5, True)]
+
+
+def _blobs(rng, n, dim=64):
+    """Vectors of which a tenth has near copies, in groups of two to forty, and one dense group."""
+    v = rng.normal(size=(n, dim))
+    at = n // 2
+    while at < n - 40:
+        k = int(rng.integers(1, 40))
+        v[at : at + k] = v[int(rng.integers(n // 4))] + rng.normal(size=(k, dim)) * rng.choice([0.08, 0.14, 0.2])
+        at += k * 10
+    v[:150] = v[0] + rng.normal(size=(150, dim)) * 0.08
+    return v.astype(np.float32)
+
+
+@pytest.mark.parametrize("n, shard_rows", [(4000, 4096), (10_000, 4096), (3000, 128)])
+def test_graphs_against_brute_force(spark, n, shard_rows):
+    """One graph that is walked, several that query each other, and blocks of many small ones."""
+    v = _blobs(np.random.default_rng(n), n)
+    df = spark.createDataFrame([(i, v[i].tolist(), 1) for i in range(n)], "vec_id long, embedding array<float>, label int")
+    out, audits = vector_dedup.search(df, shard_rows=shard_rows, most_rows=shard_rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = [np.flatnonzero(row >= 0.98) for a in range(0, n, 1000) for row in u[a : a + 1000] @ u.T]
+    links = [(a, int(b)) for a in range(n) for b in hits[a] if a != b]
+    assert len(links) > 2000
+    found = sum(min(got[i][0], len(hits[i]) - 1) for i in range(n))
+    assert found >= 0.99 * len(links) and all(got[i][0] <= len(hits[i]) - 1 for i in range(n))
+    low = _components(range(n), links)
+    assert sum(got[i][1] == low[i] for i in range(n)) >= 0.999 * n
+    shards = max(1, -(-n // shard_rows))
+    rows = audits.collect()
+    assert len(rows) == shards * shards and all(r["audited"] >= 32 and r["links"] >= 0.999 and r["nearest"] >= 0.9 for r in rows)
+
+
 def test_graph_recall(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 32)).astype(np.float32)
