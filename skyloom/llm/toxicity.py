@@ -5,16 +5,24 @@ A text is the set of its lower-cased terms, hashed to 2**31 buckets. The machine
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 so a pair of terms can count for more, or less, than the two on their own. Fitted by
-logistic loss on at most ``max_rows`` labelled rows (those of smallest hashed
-id), whose terms alone reach the driver: that bound keeps the fit on one machine, while
-every document is scored in full by the executors. Only terms that part the two classes by
-4.5 standard errors, in at least four and 0.05 % of the rows, have a weight, and only
-these are kept: the long tail of terms would otherwise learn the noise of single labels. Rows whose terms
-agree in four min-hashes are near copies and count once.
+logistic loss on at most ``max_rows`` labelled rows (those of smallest hashed id) and
+``ROW_TERMS`` terms of each (those of smallest hash), which alone reach the driver: these
+bounds keep the fit on one machine, while every document is scored in full by the executors.
+Rows whose terms agree in four min-hashes are near copies and count once.
+
+The long tail of terms would learn the noise of single labels, so the machine holds terms
+for which there is evidence: those that part the classes on their own by 4.5 standard
+errors, and those that do in company. For the latter an additive model is fitted first;
+each pair of the ``PAIR_TERMS`` most frequent terms, and each pair of one of the strongest
+and any other term of ``MIN_PAIR`` rows, is held against it: do the rows that have both come
+out toxic more or less often than the two would have it each alone? Pairs beyond 6 standard
+errors (of arcsines, which hold for small counts too) bring both their terms in, however
+neutral each is on its own. Weights and factors are regularised.
 
 Null and empty texts have no terms and score by ``w0``; a document with several labels counts
 as toxic if one says so; rows with null labels or ids are not learned from; without
-labels every score is 0; an empty table gives an empty result; extra columns are ignored.
+labels every score is 0; an empty table gives an empty result; extra columns are kept, but
+one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +42,8 @@ ORACLE_SQL = None  # a fitted model; held against held-out labels instead
 BUCKETS = 1 << 31
 FACTORS = 8
 MAX_ROWS = 12_000
+#: Terms of a row that the fit may see; the most frequent ones whose pairs are tested; rows that must hold both of a pair.
+ROW_TERMS, PAIR_TERMS, MIN_PAIR = 4096, 2048, 20
 
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -80,6 +90,11 @@ def logits(rows: list[np.ndarray], model: tuple) -> np.ndarray:
     return _scores(*_places(rows, ids), w0, w, v) if rows else np.empty(0)
 
 
+def probabilities(z: np.ndarray) -> np.ndarray:
+    """0 to 1; exactly 0 where nothing was learned."""
+    return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def _apart(rows: list[np.ndarray], labels: np.ndarray, errors: float = 4.5, share: float = 0.0005) -> np.ndarray:
     """Sorted terms that are commoner in one class than chance allows."""
     ids, of = np.unique(np.concatenate([np.empty(0, np.int32), *rows]), return_inverse=True)
@@ -90,7 +105,8 @@ def _apart(rows: list[np.ndarray], labels: np.ndarray, errors: float = 4.5, shar
     n0 = max(1.0, len(labels) - float(labels.sum()))
     both = (zero + one + 1) / (n0 + n1 + 2)
     z = (one / n1 - zero / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
-    return ids[(np.abs(z) >= errors) & (zero + one >= max(4, share * len(rows)))]
+    kept = np.flatnonzero((np.abs(z) >= errors) & (zero + one >= max(4, share * len(rows))))
+    return ids[kept]
 
 
 def _once(rows: list[np.ndarray]) -> list[int]:
@@ -103,18 +119,58 @@ def _once(rows: list[np.ndarray]) -> list[int]:
     return list(first.values())
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 400, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> tuple:
+def _arcsine(n: np.ndarray, hits: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Standard errors by which ``hits`` of ``n`` differ from those expected."""
+    angle = lambda k: np.arcsin(np.sqrt(np.clip((k + 0.375) / (n + 0.75), 0, 1)))
+    return 2 * np.sqrt(n + 0.75) * (angle(hits) - angle(expected))
+
+
+def _in_pairs(rows: list[np.ndarray], labels: np.ndarray, chances: np.ndarray, alone: np.ndarray, errors: float = 6.0, frequent: int = PAIR_TERMS, least: int = MIN_PAIR) -> np.ndarray:
+    """Terms of pairs whose rows have other labels than ``chances``, an additive model, makes of them."""
+    flat = np.concatenate([np.empty(0, np.int32), *rows])
+    ids, of, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
+    found = np.zeros(len(ids), bool)
+    # The most frequent terms among each other.
+    top = np.flatnonzero(counts >= least)
+    top = top[np.lexsort((ids[top], -counts[top]))[:frequent]]
+    place = np.full(len(ids), -1)
+    place[top] = np.arange(len(top))
+    held = place[of] >= 0
+    table = np.zeros((len(rows), len(top)), np.float32)
+    table[owner[held], place[of[held]]] = 1
+    y, p = labels.astype(np.float32), chances.astype(np.float32)
+    for a in range(0, len(top), 256):
+        part = table[:, a : a + 256]
+        n, hits, expected = ((part * weight[:, None]).T @ table for weight in (np.ones_like(y), y, p))
+        z = np.where(n >= least, _arcsine(n, hits, expected), 0)
+        z[np.arange(len(z)), np.arange(len(z)) + a] = 0  # a term with itself
+        i, j = np.nonzero(np.abs(z) >= errors)
+        found[top[a + i]] = found[top[j]] = True
+    # Terms that matter on their own with all others.
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    for term in np.searchsorted(ids, alone[:frequent]):
+        mine = owner[of == term] if counts[term] >= least else ()
+        if not len(mine):
+            continue
+        sizes = ends[mine] - starts[mine]
+        at = of[np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())]
+        n, hits, expected = (np.bincount(at, None if w is None else np.repeat(w[mine], sizes), len(ids)) for w in (None, labels, chances))
+        z = np.where(n >= least, _arcsine(n, hits, expected), 0)
+        z[term] = 0
+        more = np.abs(z) >= errors
+        found |= more
+        found[term] |= more.any()
+    return ids[found]
+
+
+def _learned(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: int, steps: int, rate: float, decay: tuple[float, float], seed: int) -> tuple:
     """(w0, terms, w, v) by Adam on the whole sample; the same rows in the same order give the same model."""
-    none = np.empty(0, np.int32), np.empty(0), np.empty((0, factors))
-    if not rows:
-        return -1e9, *none
-    single = _once(rows)
-    rows, labels = [rows[k] for k in single], labels[single]
     share = float(np.clip(labels.mean(), 0.001, 0.999))
     start = float(np.log(share / (1 - share)))
-    ids = _apart(rows, labels)
     if not len(ids):
-        return start, *none
+        return start, ids, np.empty(0), np.empty((0, factors))
     at, ends = _places(rows, ids)
     sizes = np.diff(ends, prepend=0)
     rng = np.random.default_rng(seed)
@@ -126,16 +182,29 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, step
         z = _scores(at, ends, p[-1, 0], p[:-1, 0], u)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
         each = np.repeat(error, sizes)
-        pull = each[:, None] * (np.repeat(_sums(u[at], ends), sizes, axis=0) - u[at])
-        g = decay * p
+        g = p * np.array([decay[0], *[decay[1]] * factors])  # of weights and of factors
         g[:-1, 0] += np.bincount(at, each, len(ids))
-        g[:-1, 1:] += np.stack([np.bincount(at, pull[:, f], len(ids)) for f in range(factors)], 1)
+        if factors:
+            pull = each[:, None] * (np.repeat(_sums(u[at], ends), sizes, axis=0) - u[at])
+            g[:-1, 1:] += np.stack([np.bincount(at, pull[:, f], len(ids)) for f in range(factors)], 1)
         g[-1] = [error.sum(), *[0.0] * factors]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         p -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
     return float(p[-1, 0]), ids, p[:-1, 0], p[:-1, 1:]
 
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, steps: int = 400, rate: float = 0.05, decay: tuple[float, float] = (1e-5, 1e-3), seed: int = 7) -> tuple:
+    """(w0, terms, w, v) of a machine over the terms that matter alone or in pairs."""
+    if not rows:
+        return -np.inf, np.empty(0, np.int32), np.empty(0), np.empty((0, factors))
+    single = _once(rows)
+    rows, labels = [rows[k] for k in single], labels[single]
+    alone = _apart(rows, labels)
+    additive = _learned(rows, labels, alone, 0, steps // 2, rate, decay, seed)
+    pairs = _in_pairs(rows, labels, probabilities(logits(rows, additive)), alone)
+    return _learned(rows, labels, np.union1d(alone, pairs), factors, steps, rate, decay, seed)
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple:
     """A model of the labelled rows; ids only choose and join the rows."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
@@ -143,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = min(1.0, 2 * max_rows / max(1, labels.count()))
     chosen = chosen.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "__y", text_terms(F.col(text).cast("string")).alias("t"))  # max_rows rows at most
+    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select("__id", "__y", F.slice(text_terms(F.col(text).cast("string")), 1, ROW_TERMS).alias("t"))  # max_rows rows at most
     got = rows.toArrow().sort_by([("__id", "ascending")])
     lists = got.column("t").combine_chunks()
     return fit([np.asarray(x.values, np.int32) for x in lists], np.asarray(got.column("__y"), np.float64)) if len(got) else fit([], np.empty(0))
@@ -159,7 +228,7 @@ def score(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
         for a in range(0, len(texts), 512):
             out.append(logits([terms(t.as_py()) for t in texts[a : a + 512]], shared.value))
         z = np.concatenate(out) if out else np.empty(0)
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
+        return pa.array(probabilities(z), pa.float64())
 
     return docs.withColumn("score", scored(F.col(text).cast("string")))
 
