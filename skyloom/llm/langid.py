@@ -6,9 +6,13 @@ no substring of the sample continues it, count a phrase, start again. A language
 sample resembles the text needs few phrases; phrases per character is the score to beat.
 
 Every letter of the samples is a symbol of its own; an automaton knows those of its language.
-The automata become transition tables, sorted lists where the alphabet is large, and texts are cut into blocks of fixed length
-whose parses advance side by side, one table lookup per character for all blocks of a
-batch. A block border ends a phrase in every language alike; each text is parsed whole.
+The automata become transition tables, sorted lists where the alphabet is large, and texts
+are cut into blocks of fixed length whose parses advance side by side, one table lookup per
+character for all blocks of a batch. The parse of a whole text is put together from these:
+the phrase that crosses a border is followed into the next block until a phrase starts where
+one of that block's own parse does; from there on both agree. A text in which that fails to
+happen within a block is parsed again from its start. So the phrases are those of the whole
+text, wherever borders fall.
 
 Bounds of the fit: at most ``max_languages`` labels, and for each at most ``sample_chars``
 characters, at most ``doc_chars`` of them from one document, chosen by hashed id; the
@@ -16,7 +20,8 @@ automata of all languages take at most ``TABLE_BYTES``. They do not grow with th
 
 Null texts and texts without a letter are ``und`` with score 0; ties go to the first
 language by code point; without labelled text all are ``und``; an empty table gives an empty
-result; repeated rows are predicted each; extra columns are ignored.
+result; repeated rows are predicted each; extra columns are kept, but those named
+``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -144,64 +149,111 @@ def _sparse(sample: np.ndarray) -> list[dict[int, int]]:
     return go
 
 
+class _Stepper:
+    """One symbol further in an automaton, for many parses at once."""
+
+    def __init__(self, table):
+        self.local, self.sparse = None, None
+        if isinstance(table, Compact):
+            self.local, self.sparse = table.local, table if table.go is None else None
+            table = table.go
+        if self.sparse:
+            self.wide = self.sparse.wide
+            self.none = -self.wide
+            first = self.sparse.follow(np.arange(self.wide))
+            self.first = np.where(first < 0, self.none, first * self.wide)
+            return
+        # One more state, where nothing continues, stands before the first symbol and
+        # after one that the sample lacks: the next symbol starts a phrase.
+        self.wide, self.none = table.shape[1], table.size
+        self.lookup = np.append(np.ravel(table), np.full(self.wide, -1, np.int32))
+        self.first = np.where(table[0] < 0, self.none, table[0].astype(np.int64) * self.wide)
+
+    def __call__(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after, parses in which a phrase starts at these symbols)."""
+        after = self.sparse.follow(state + symbols) if self.sparse else self.lookup.take(state + symbols)
+        hit = np.flatnonzero(after < 0)
+        after = after.astype(np.int64) * self.wide
+        after[hit] = self.first[symbols[hit]]
+        return after, hit
+
+
+def _one_text(symbols: np.ndarray, step: _Stepper) -> int:
+    """Phrases of one text, symbol by symbol."""
+    codes = (step.local.take(symbols) if step.local is not None else symbols).tolist()
+    first, state, found = step.first.tolist(), step.none, 0
+    if step.sparse:
+        known = dict(zip(step.sparse.keys.tolist(), step.sparse.targets.tolist()))
+        after = lambda key: known.get(key, -1)
+    else:
+        after = step.lookup.tolist().__getitem__
+    for c in codes:
+        state = after(state + c) * step.wide
+        if state < 0:
+            found += 1
+            state = first[c]
+    return found
+
+
 def phrases(texts: list[np.ndarray], tables: list, block: int = BLOCK) -> np.ndarray:
     """Phrases that each text needs in each language, shape (texts, languages)."""
-    counts = [-(-len(t) // block) for t in texts]
+    counts = np.array([-(-len(t) // block) for t in texts], dtype=np.int64)
     out = np.zeros((len(texts), len(tables)), dtype=np.int64)
-    n = sum(counts)
+    n = int(counts.sum())
     if not n:
         return out
     owner = np.repeat(np.arange(len(texts)), counts)
-    size = np.concatenate([np.minimum(block, len(t) - block * np.arange(c)) for t, c in zip(texts, counts) if c])
+    size = np.concatenate([np.minimum(block, len(t) - block * np.arange(c)) for t, c in zip(texts, counts.tolist()) if c])
     flat = np.zeros((n, block), dtype=np.int64)
     at = 0
-    for t, c in zip(texts, counts):
+    for t, c in zip(texts, counts.tolist()):
         flat[at : at + c].reshape(-1)[: len(t)] = t
         at += c
     order = np.argsort(-size, kind="stable")  # blocks that still run stay in front
+    lane = np.empty(n, np.int64)
+    lane[order] = np.arange(n)
     columns = np.ascontiguousarray(flat[order].T)
     running = np.searchsorted(-size[order], -np.arange(block), side="left")
+    crossing = np.flatnonzero(owner[1:] == owner[:-1])  # blocks that another one of their text follows
+    ends_text = np.append(owner[1:] != owner[:-1], True)
     for k, table in enumerate(tables):
-        symbols, sparse = columns, None
-        if isinstance(table, Compact):
-            symbols = table.local.take(columns)
-            table, sparse = table.go, table if table.go is None else None
-        if sparse:
-            first = sparse.follow(np.arange(sparse.wide)) * sparse.wide
-            state, found = np.full(n, -sparse.wide, dtype=np.int64), np.zeros(n, dtype=np.int32)
-            for j in range(block):
-                m = running[j]
-                if not m:
-                    break
-                c = symbols[j, :m]
-                after = sparse.follow(state[:m] + c)
-                hit = np.flatnonzero(after < 0)
-                after *= sparse.wide
-                found[hit] += 1
-                after[hit] = first[c[hit]]
-                state[:m] = after
-            out[:, k] = np.bincount(owner[order], found, len(texts))
-            continue
-        # One more state, where nothing continues, stands before the first symbol and
-        # after one that the sample lacks: the next symbol starts a phrase.
-        wide, lookup = table.shape[1], np.append(np.ravel(table), np.full(table.shape[1], -1, np.int32))
-        none = table.size
-        first = np.where(table[0] < 0, none, table[0].astype(np.int64) * wide)
-        state, found = np.full(n, none, dtype=np.int64), np.zeros(n, dtype=np.int32)
+        step = _Stepper(table)
+        symbols = step.local.take(columns) if step.local is not None else columns
+        state, starts = np.full(n, step.none, dtype=np.int64), np.zeros((block, n), dtype=bool)
         for j in range(block):
             m = running[j]
             if not m:
                 break
-            c = symbols[j, :m]
-            after = lookup.take(state[:m] + c)
-            stuck = after < 0
-            after = after.astype(np.int64) * wide
-            hit = np.flatnonzero(stuck)
-            if len(hit):
-                found[hit] += 1
-                after[hit] = first[c[hit]]
-            state[:m] = after
-        out[:, k] = np.bincount(owner[order], found, len(texts))
+            state[:m], hit = step(state[:m], symbols[j, :m])
+            starts[j, hit] = True
+        out[:, k] = np.bincount(owner[order], starts.sum(0), len(texts))
+        # Follow the phrase over each border until the parses agree.
+        live, now = crossing, state[lane[crossing]]
+        change, again = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        before = np.zeros(len(crossing), np.int64)  # own starts passed, less those of the phrases followed
+        for j in range(block):
+            over = size[live + 1] <= j
+            if over.any():  # the text ends before they agree
+                np.add.at(change, owner[live[over]], -before[over])
+                live, now, before = live[~over], now[~over], before[~over]
+            if not len(live):
+                break
+            ahead = lane[live + 1]
+            now, hit = step(now, symbols[j, ahead])
+            own = starts[j, ahead]
+            start = np.zeros(len(live), bool)
+            start[hit] = True
+            agree = own & start
+            before += own.astype(np.int64) - start
+            if agree.any():
+                np.add.at(change, owner[live[agree]], -before[agree])
+                live, now, before = live[~agree], now[~agree], before[~agree]
+        last = ends_text[live + 1]
+        np.add.at(change, owner[live[last]], -before[last])
+        again[owner[live[~last]]] = True
+        out[:, k] += change
+        for t in np.flatnonzero(again).tolist():
+            out[t, k] = _one_text(texts[t], step)
     return out
 
 
@@ -266,8 +318,9 @@ def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
         flush()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    out = docs.withColumn("__p", parsed(F.col(text).cast("string")))
-    return out.select(*docs.columns, "__p.lang_pred", "__p.score")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select("*", parsed(F.col(text).cast("string")).alias("__parsed"))
+    return out.select(*kept, "__parsed.lang_pred", "__parsed.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -424,18 +424,38 @@ def test_adaptive_threshold_finds_the_odd_text(spark):
 # ---- languages
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("abc", max_size=40), st.text("abc", max_size=40))
-def test_parse_is_greedy(sample, text):
-    codes = lambda s: np.array([ord(c) - 96 for c in s], dtype=np.uint8)
-    got = langid.phrases([codes(text)], [langid.automaton(codes(sample), 5)], block=64)[0, 0]
+def _greedy(sample, text):
     want, at = 0, 0
     while at < len(text):
         end = at + 1
         while end < len(text) and text[at : end + 1] in sample:
             end += 1
         want, at = want + 1, end
-    assert got == want
+    return want
+
+
+def _codes(s):
+    return np.array([ord(c) - 96 for c in s], dtype=np.int64)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc", max_size=40), st.lists(st.text("abcd", max_size=60), max_size=4), st.integers(1, 9))
+def test_parse_is_greedy_over_borders(sample, texts, block):
+    tables = [langid.automaton(_codes(sample), 5), langid.Compact(_codes(sample), 6)]
+    got = langid.phrases([_codes(t) for t in texts], tables, block=block)
+    assert got.tolist() == [[_greedy(sample, t)] * 2 for t in texts]
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_long_texts_are_parsed_whole(monkeypatch, sparse):
+    if sparse:
+        monkeypatch.setattr(langid, "SYMBOLS", 0)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9)))) for _ in range(80)]
+    sample = "z".join(rng.choice(words, 400))
+    texts = ["z".join(rng.choice(words, int(n))) for n in (300, 1500, 40, 4000)] + ["abcabc" * 500, "a" * 3000, "hq" * 700, sample * 2, ""]
+    got = langid.phrases([_codes(t) for t in texts], [langid.Compact(_codes(sample), 27)])
+    assert got[:, 0].tolist() == [_greedy(sample, t) for t in texts]
 
 
 def test_held_out_languages(spark):
@@ -449,9 +469,10 @@ def test_languages_edge_cases(spark):
     train = spark.createDataFrame([(i, "the cat sat on the mat and then some", "en") for i in range(3)] + [(i, "der hund lief durch den wald und dann", "de") for i in range(3)] + [(9, "x y", None), (10, None, "fr")], "doc_id long, text string, lang string")
     model = langid.train(train)
     assert model[0] == ["de", "en"]
-    df = spark.createDataFrame([(1, None), (2, "123 !?"), (3, "The Cat"), (4, "der wald"), (5, LONG), (6, "漢字")], "doc_id long, text string").withColumn("score_", F.lit(1))
+    df = spark.createDataFrame([(1, None), (2, "123 !?"), (3, "The Cat"), (4, "der wald"), (5, LONG), (6, "漢字"), (7, "𐐀𐐁𐐂")], "doc_id long, text string").withColumns({"score": F.lit("old"), "lang_pred": F.lit(1), "__p": F.lit(2)})
+    assert langid.predict(df, model).columns == ["doc_id", "text", "__p", "lang_pred", "score"]
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, model).collect()}
-    assert got[1] == ("und", 0.0) and got[2] == ("und", 0.0) and got[3][0] == "en" and got[4][0] == "de" and got[6][0] in ("de", "en")
+    assert got[1] == ("und", 0.0) and got[2] == ("und", 0.0) and got[3][0] == "en" and got[4][0] == "de" and got[6][0] in ("de", "en") and got[7][0] in ("de", "en")
     none = langid.predict(df, langid.train(train.limit(0)))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
     with pytest.raises(ValueError):
@@ -535,6 +556,50 @@ def test_interactions_are_learned():
     assert z[2] > 0 > max(z[0], z[1], z[3]) and z[2] > z[0] + z[1] - z[3]
 
 
+def _xor(n):
+    """Labels that only two terms together tell; each is as common in both classes."""
+    rng = np.random.default_rng(11)
+    rows, y = [], []
+    for _ in range(n):
+        a, b = rng.random(2) < 0.5
+        noise = rng.choice(np.arange(100, 400), 8, replace=False)
+        rows.append(np.unique(np.concatenate((noise, [1] * int(a), [2] * int(b)))).astype(np.int32))
+        y.append(float(a != b))
+    return rows, np.array(y)
+
+
+def test_pairs_of_neutral_terms_are_learned():
+    rows, y = _xor(8000)
+    model = toxicity.fit(rows[:6000], y[:6000])
+    assert set(model[1]) >= {1, 2} and len(model[1]) < 10
+    assert ((toxicity.logits(rows[6000:], model) > 0) == y[6000:]).mean() > 0.9
+    flat = (model[0], model[1], model[2], np.zeros_like(model[3]))
+    assert ((toxicity.logits(rows[6000:], flat) > 0) == y[6000:]).mean() < 0.8  # weights alone can do no better than an or
+
+
+def test_noise_brings_no_terms():
+    rng = np.random.default_rng(12)
+    rows = [np.unique(rng.choice(2000, 60)).astype(np.int32) for _ in range(3000)]
+    assert len(toxicity.fit(rows, (rng.random(3000) < 0.1).astype(float))[1]) <= 2
+
+
+def test_scores_by_brute_force(spark):
+    """Every document's score from the machine's formula, pair by pair."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in docs.collect()}
+    model = toxicity.train(docs, spark.createDataFrame([tuple(r) for r in labels.collect() if not held[r["doc_id"]]], labels.schema))
+    w0, ids, w, v = model
+    place = {int(t): k for k, t in enumerate(ids)}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.query(spark, sf).collect():
+        words = {"".join(c if c.isalnum() or ord(c) > 127 else " " for c in w) for w in [texts[r["doc_id"]] or ""]}
+        words = {x for w in words for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).split(" ") if x}
+        here = sorted({place[t] for x in words if (t := zlib.crc32(x.encode()) & (2**31 - 1)) in place})
+        z = w0 + sum(w[i] for i in here) + sum(float(v[i] @ v[j]) for n, i in enumerate(here) for j in here[:n])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == held[r["doc_id"]]
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     out = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -550,7 +615,9 @@ def test_toxicity_edge_cases(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert got[0] > 0.5 > got[1] and 0 <= got[90] == got[91] < 0.5
     none = toxicity.score(docs, toxicity.train(docs, labels.limit(0)))
-    assert max(r["score"] for r in none.collect()) < 1e-6 and toxicity.score(docs.limit(0), model).count() == 0
+    assert {r["score"] for r in none.collect()} == {0.0} and toxicity.score(docs.limit(0), model).count() == 0
+    again = toxicity.score(docs.withColumns({"score": F.lit("x"), "held_out": F.lit(1)}), model)
+    assert again.columns == ["doc_id", "text", "score", "held_out"] and {r["doc_id"]: r["score"] for r in again.collect()} == got
 
 
 # ---- pipeline
