@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.text import read
+from skyloom.plans.shared import materialize
 
 NAME = "op3_pii_surrogates"
 ORACLE_SQL = None  # keyed permutations; held against their properties instead
@@ -372,6 +373,7 @@ def entities(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "t
 def collisions(found: DataFrame) -> DataFrame:
     """Surrogates that stand for several entities, entities with several surrogates, and surrogates of themselves: empty."""
     pairs = found.select("kind", F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate")).distinct()
+    pairs = materialize(pairs, "surrogates")
     many = lambda by, of: pairs.groupBy("kind", F.col(by).alias("value")).agg(F.count(of).alias("n")).where("n > 1")
     own = pairs.where("entity = surrogate").select("kind", F.col("entity").alias("value"), F.lit(1).cast("long").alias("n"))
     return many("surrogate", "entity").unionByName(many("entity", "surrogate")).unionByName(own)
