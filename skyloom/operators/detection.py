@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.functions.sphere import finite, positive, separation
+from skyloom.operators.components import connected_components
 from skyloom.operators.skyjoin import sky_neighbours, sky_pairs
+from skyloom.plans.numbering import numbered
 from skyloom.plans.shared import materialize
 
 
@@ -62,32 +64,65 @@ def mark_leftovers(meta: DataFrame, matched: DataFrame, id: str = "meta_id") ->
     return rows.withColumn("resid_leftover", F.col("__hit").isNotNull()).drop("__hit")
 
 
-def brightest_first(rows: DataFrame, id: str, flux: str, radius="BMAJ", reach: float = 1.0, blocked: DataFrame | None = None) -> DataFrame:
+def brightest_first(rows: DataFrame, id: str, flux: str, radius="BMAJ", reach: float = 1.0, blocked: DataFrame | None = None, max_rounds: int = 40) -> DataFrame:
     """Rows that a pass from the brightest to the faintest keeps, where each kept row drops its neighbours.
 
-    Rounds in which every row brighter than all of its open neighbours is kept give the
-    same set as the sequential pass. Ties fall to the smaller id. Rows in reach of
-    ``blocked`` (RA, DEC, BMAJ, id) start out dropped.
+    Rounds in which every row without a brighter open neighbour is kept give the same set as
+    the sequential pass. Only links from a fainter to a brighter row are carried, and those
+    of settled rows are dropped, so rounds shrink. A brightness gradient along a chain needs a
+    round for every other link: what is open after ``max_rounds`` is settled chain by chain,
+    each in one task. Ties fall to the smaller id. Rows in reach of ``blocked`` (RA, DEC, BMAJ,
+    id) start out dropped.
     """
-    open_ = rows.select(F.col(id).alias("id"), F.coalesce(finite(flux), F.lit(float("-inf"))).alias("f"))
     if blocked is not None:
-        near = sky_pairs(rows, blocked, id, id, radius, radius, reach=reach).select(F.col("base_id").alias("id")).distinct()
-        open_ = open_.join(near, "id", "left_anti")
-    links = sky_neighbours(rows, id, radius, reach=reach)
-    both = links.select(F.col("id1").alias("id"), F.col("id2").alias("other")).unionByName(links.select(F.col("id2").alias("id"), F.col("id1").alias("other")))
-    both, open_ = materialize(both, "greedy"), materialize(open_, "greedy")
-    kept = None
-    while True:
-        live = both.join(open_, "id").join(open_.select(F.col("id").alias("other"), F.col("f").alias("g")), "other")
-        beaten = live.where((F.col("g") > F.col("f")) | ((F.col("g") == F.col("f")) & (F.col("other") < F.col("id")))).select("id").distinct()
-        won = open_.join(beaten, "id", "left_anti").select("id")
-        won = materialize(won, "greedy")
-        kept = won if kept is None else kept.unionByName(won)
-        gone = both.join(won, "id", "left_semi").select(F.col("other").alias("id")).unionByName(won)
-        open_ = materialize(open_.join(gone, "id", "left_anti"), "greedy")
-        if not open_.limit(1).count():
+        near = sky_pairs(rows, blocked, id, id, radius, radius, reach=reach).select(F.col("base_id").alias("__near")).distinct()
+        rows = materialize(rows.join(near, F.col(id) == F.col("__near"), "left_anti"), "greedy")
+    links = sky_neighbours(rows, id, radius, reach=reach).select("id1", "id2")
+    shine = lambda end: rows.select(F.col(id).alias(f"id{end}"), F.coalesce(finite(flux), F.lit(float("-inf"))).alias(f"f{end}"))
+    both = links.join(shine(1), "id1").join(shine(2), "id2")
+    second = F.col("f2") > F.col("f1")  # the smaller id is the first
+    pick = lambda one, other: F.when(second, F.col(one)).otherwise(F.col(other))
+    links = materialize(both.select(pick("id1", "id2").alias("id"), pick("id2", "id1").alias("over"), F.greatest("f1", "f2").alias("f")), "greedy")
+    dropped = None
+    for n in range(max_rounds + 1):
+        if not links.limit(1).count():
             break
-    return rows.join(kept.select(F.col("id").alias("__kept")), F.col(id) == F.col("__kept"), "left_semi")
+        if n == max_rounds:
+            gone = _chain_by_chain(links)
+        else:
+            winners = links.select("over").distinct().join(links.select(F.col("id").alias("over")).distinct(), "over", "left_anti")
+            gone = links.join(winners, "over", "left_semi").select("id").distinct()
+        gone = materialize(gone, "greedy")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        if n == max_rounds:
+            break
+        left = links.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "over"), "over", "left_anti")
+        links = materialize(left.select("id", "over", "f"), "greedy")
+    if dropped is None:
+        return rows
+    return rows.join(dropped.select(F.col("id").alias("__gone")), F.col(id) == F.col("__gone"), "left_anti")
+
+
+def _chain_by_chain(links: DataFrame) -> DataFrame:
+    """Ids that the pass drops among links (id, over, f: flux of over), each connected group in order."""
+    kind = links.schema["id"].dataType.simpleString()
+    number = lambda c: F.xxhash64(c)
+    groups = connected_components(links.select(number("id").alias("src"), number("over").alias("dst")))
+    placed = links.join(groups, number("id") == F.col("node")).select("id", "over", "f", "component")
+
+    def run(rows):
+        import pandas as pd
+
+        under: dict = {}
+        for i, o in zip(rows["id"], rows["over"]):
+            under.setdefault(o, []).append(i)
+        gone = set()
+        for o in rows.sort_values(["f", "over"], ascending=[False, True])["over"].drop_duplicates():
+            if o not in gone:
+                gone.update(under[o])
+        return pd.DataFrame({"id": sorted(gone)})
+
+    return placed.groupBy("component").applyInPandas(run, f"id {kind}")
 
 
 def crossband_actions(target: DataFrame, seeds: dict[str, DataFrame], id: str, near_fraction: float = 0.5, dip_ratio: float = 0.5) -> DataFrame:
@@ -141,8 +176,8 @@ def apply_crossband(target: DataFrame, actions: DataFrame, id: str, fit: Callabl
     rows = target.join(fixed, F.col(id) == F.col("__t"), "left")
     hit = F.col("__t").isNotNull()
     rows = rows.withColumns({k: F.coalesce(f"__{k}", k) for k in new} | {"forced": hit, "forced_mode": F.when(hit, "replace"), "forced_from_band": F.col("__from")}).drop("__t", "__from", *[f"__{k}" for k in new])
-    added = done.where("action = 'insert'").select(
-        (-1 - F.row_number().over(W.orderBy(F.desc_nulls_last("seed_peak"), "seed_band", "seed_id"))).cast("long").alias(id), F.col("forced_RA").alias("RA"), F.col("forced_DEC").alias("DEC"), F.col("forced_Peak").alias("Peak_flux"), F.col("forced_Total").alias("Total_flux"),
+    added = numbered(done.where("action = 'insert'"), "__n", F.desc_nulls_last("seed_peak"), "seed_band", "seed_id", start=2).select(
+        (-F.col("__n")).cast("long").alias(id), F.col("forced_RA").alias("RA"), F.col("forced_DEC").alias("DEC"), F.col("forced_Peak").alias("Peak_flux"), F.col("forced_Total").alias("Total_flux"),
         F.lit(True).alias("forced"), F.lit("insert").alias("forced_mode"), F.col("seed_band").alias("forced_from_band"),
     )
     return rows.unionByName(added, allowMissingColumns=True)

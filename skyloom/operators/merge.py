@@ -26,46 +26,38 @@ QA = ("cluster_jitter_rms_deg", "Resid_Isl_rms", "Resid_Isl_mean", "E_Peak_flux"
 POSITION_QA = QA[:3]
 
 
-def cluster(df: DataFrame, id: str, radius="BMAJ", other_group: str | None = None) -> DataFrame:
-    """``df`` with ``root``: the smallest id of its chain of neighbours. Rows without a position are dropped."""
+def cluster(df: DataFrame, id: str, radius="BMAJ", other_group: str | None = None, narrow: bool = False) -> DataFrame:
+    """``df`` with ``root``: the smallest id of its chain of neighbours. Rows without a position are dropped.
+
+    With ``narrow`` only the columns that tell a cluster's figures, written once.
+    """
     located = df.where(finite("RA").isNotNull() & finite("DEC").isNotNull())
     links = sky_neighbours(located, id, radius, other_group=other_group)
     roots = connected_components(links, "id1", "id2")
+    if narrow:
+        located = located.select(id, "RA", "DEC", *[c for c in (*_fluxes(df.columns), "lst_hour") if c in df.columns])
     out = located.join(roots, F.col(id) == F.col("node"), "left")
-    return out.withColumn("root", F.coalesce("component", F.col(id))).drop("node", "component")
-
-
-def brightness(columns: Sequence[str]) -> Column:
-    """Key of the brightest member by the first flux that is positive for some member of the group.
-
-    The key is a struct of maxima in order of preference; it is meant for a window whose
-    groups share the choice, so a positive Total_flux anywhere outranks any Peak_flux.
-    """
-    each = [F.coalesce(F.when(finite(c) > 0, finite(c)), F.lit(0.0)) for c in ("Total_flux", "Peak_flux", "Peak_intensity") if c in columns]
-    return F.struct(*[x.alias(f"k{n}") for n, x in enumerate(each)]) if each else F.struct(F.lit(0.0).alias("k0"))
+    out = out.withColumn("root", F.coalesce("component", F.col(id))).drop("node", "component")
+    return materialize(out, "members") if narrow else out
 
 
 def _fluxes(columns: Sequence[str]) -> list[str]:
     return [c for c in ("Total_flux", "Peak_flux", "Peak_intensity") if c in columns]
 
 
-def _jitter(group) -> tuple[Column, list[Column]]:
-    """Root mean square offset from the mean direction, over the window ``group``."""
-    x, y, z = unit_vector("RA", "DEC")
-    mx, my, mz = (F.avg(c).over(group) for c in (x, y, z))
-    norm = F.sqrt(mx * mx + my * my + mz * mz)
-    ra = F.degrees(F.atan2(my, mx))
-    dec = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mz / F.when(norm > 0, norm)))))
-    return ra, dec
+def _brightness(fluxes: Sequence[str]) -> Column:
+    """Key of the brightest: the first flux that is positive for some member of the group, told by ``__any_*``."""
+    key = F.lit(0.0)
+    for c in reversed(fluxes):
+        key = F.when(F.col(f"__any_{c}") == 1, F.coalesce(finite(c), F.lit(float("-inf")))).otherwise(key)
+    return key
 
 
 def _ranked(members: DataFrame, group: list[str], id: str, by_elevation: bool, lst: str | None) -> DataFrame:
     """Adds ``__rank``, 1 for the representative of each group."""
     win = W.partitionBy(*group)
     members = members.withColumns({f"__any_{c}": F.max(F.when(finite(c) > 0, 1).otherwise(0)).over(win) for c in _fluxes(members.columns)})
-    key = F.lit(0.0)
-    for c in reversed(_fluxes(members.columns)):
-        key = F.when(F.col(f"__any_{c}") == 1, F.coalesce(finite(c), F.lit(float("-inf")))).otherwise(key)
+    key = _brightness(_fluxes(members.columns))
     if by_elevation and lst:
         members = members.withColumns({"__ra": F.percentile("RA", 0.5).over(win), "__dec": F.percentile("DEC", 0.5).over(win), "__labelled": F.min(lst_hours(lst).isNotNull().cast("int")).over(win)})
         high = F.coalesce(elevation("__ra", "__dec", lst), F.lit(float("-inf")))
@@ -74,15 +66,36 @@ def _ranked(members: DataFrame, group: list[str], id: str, by_elevation: bool, l
     return members.withColumn("__rank", F.row_number().over(win.orderBy(F.desc_nulls_last("__key"), id))).drop("__key", "__ra", "__dec", "__labelled", *[f"__any_{c}" for c in _fluxes(members.columns)])
 
 
-def _merged(members: DataFrame, id: str, by_elevation: bool) -> DataFrame:
-    win = W.partitionBy("root")
-    ra, dec = _jitter(win)
-    members = members.withColumns({"__cra": ra, "__cdec": dec, "Peak_flux_std": F.stddev_samp(finite("Peak_flux")).over(win), "n_members": F.count(F.lit(1)).over(win)})
-    off = separation("RA", "DEC", "__cra", "__cdec")
-    members = members.withColumn("cluster_jitter_rms_deg", F.when(F.col("n_members") == 1, F.lit(0.0)).otherwise(F.sqrt(F.avg(off * off).over(win))))
-    if "lst_hour" in members.columns:
-        members = members.withColumn("__hours", F.array_sort(F.collect_set(F.col("lst_hour").cast("string")).over(win)))
-    return _ranked(members, ["root"], id, by_elevation, "lst_hour" if "lst_hour" in members.columns else None).where("__rank = 1").drop("__rank", "__cra", "__cdec")
+def _merged(rows: DataFrame, id: str, by_elevation: bool, other_group: str | None = None) -> DataFrame:
+    """The representative row of each cluster, with the cluster's figures.
+
+    Clusters are summed up over narrow rows; a wide row is shuffled once, to meet the pick
+    that it is.
+    """
+    members = cluster(rows, id, other_group=other_group, narrow=True)
+    fluxes = _fluxes(members.columns)
+    hours = "lst_hour" in members.columns
+    x, y, z = unit_vector("RA", "DEC")
+    figures = [F.avg(v).alias(f"__{n}") for n, v in (("x", x), ("y", y), ("z", z))]
+    figures += [F.stddev_samp(finite("Peak_flux")).alias("Peak_flux_std"), F.count(F.lit(1)).alias("n_members")]
+    figures += [F.max(F.when(finite(c) > 0, 1).otherwise(0)).alias(f"__any_{c}") for c in fluxes]
+    if hours:
+        figures.append(F.array_sort(F.collect_set(F.col("lst_hour").cast("string"))).alias("__hours"))
+    if by_elevation and hours:
+        figures += [F.percentile("RA", 0.5).alias("__ra"), F.percentile("DEC", 0.5).alias("__dec"), F.min(lst_hours("lst_hour").isNotNull().cast("int")).alias("__labelled")]
+    of = materialize(members.groupBy("root").agg(*figures), "clusters")
+    norm = F.sqrt(F.col("__x") ** 2 + F.col("__y") ** 2 + F.col("__z") ** 2)
+    mean_ra = F.degrees(F.atan2("__y", "__x"))
+    mean_dec = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("__z") / F.when(norm > 0, norm)))))
+    key = _brightness(fluxes)
+    if by_elevation and hours:
+        key = F.when(F.col("__labelled") == 1, F.coalesce(elevation("__ra", "__dec", "lst_hour"), F.lit(float("-inf")))).otherwise(key)
+    off = separation("RA", "DEC", mean_ra, mean_dec)
+    first = F.min(F.struct((-key).alias("k"), F.col(id).alias("id")))["id"]
+    picks = members.join(of.drop("Peak_flux_std", "__hours"), "root").groupBy("root").agg(first.alias("__pick"), F.sqrt(F.avg(off * off)).alias("__scatter"))
+    picks = picks.join(of.select("root", "Peak_flux_std", "n_members", *["__hours"] * hours), "root")
+    picks = picks.withColumn("cluster_jitter_rms_deg", F.when(F.col("n_members") == 1, F.lit(0.0)).otherwise(F.col("__scatter"))).drop("__scatter")
+    return rows.join(picks, F.col(id) == F.col("__pick")).drop("__pick")
 
 
 def lst_merge(detections: DataFrame, id: str, band: str, transit_window_hr: float | None = None) -> DataFrame:
@@ -94,7 +107,7 @@ def lst_merge(detections: DataFrame, id: str, band: str, transit_window_hr: floa
     rows = wrap_ra_columns(detections)
     if transit_window_hr is not None:
         rows = rows.where(near_transit("RA", "lst_hour", transit_window_hr))
-    out = _merged(cluster(rows, id), id, True)
+    out = _merged(rows, id, True)
     return out.withColumns({"band": F.lit(band), "n_lst_contributions": F.size("__hours").cast("long"), "lst_hours": F.array_join("__hours", ","), "representative_lst": F.col("lst_hour")}).drop("__hours")
 
 
@@ -104,7 +117,7 @@ def tile_merge(detections: DataFrame, id: str, band: str) -> DataFrame:
         raise ValueError("tile_merge needs tile_ipix")
     if detections.where(finite("tile_ipix").isNull()).limit(1).count():
         raise ValueError("tile_merge needs a finite tile_ipix in every row")
-    out = _merged(cluster(wrap_ra_columns(detections), id, other_group="tile_ipix"), id, False)
+    out = _merged(wrap_ra_columns(detections), id, False, "tile_ipix")
     if "__hours" in out.columns:
         out = out.drop("__hours")
     return out.withColumns({"band": F.lit(band), "n_lst_contributions": F.lit(1).cast("long"), "lst_hours": F.lit(""), "representative_lst": F.lit("healpix")})
@@ -188,8 +201,7 @@ def associate(
     if grow_radius:
         new["BMAJ_match"] = F.when(found, F.greatest("BMAJ_match", finite("__b_BMAJ"))).otherwise(F.col("BMAJ_match"))
     if highest_frequency:
-        now = F.coalesce(B.frequency_column(F.col("astrometry_band")), F.lit(0.0))
-        take = found & (F.lit(B.frequency_hz(band) or 0.0) >= now)
+        take = _nearer(found, F.col("astrometry_band"), band)
         for x in (*SHAPE, *POSITION_QA):
             if x in c and x in meta.columns:
                 new[x] = F.when(take, F.col(f"__b_{x}")).otherwise(F.col(x))
@@ -216,13 +228,33 @@ def fuse(catalogs: dict[str, DataFrame], id: str, seed_band: str = "Full", assoc
     """One wide row per position over all bands, joined band after band.
 
     Later bands see the radii (and, by highest frequency, the positions) that earlier ones
-    left, so each step is written before the next. ``meta_id`` numbers the rows in the
+    left, so the bands are joined in turn. What a step needs and changes are the key, position
+    and radius of each row: these are written from band to band, with the hits. The wide
+    columns of all bands are joined once, at the end. ``meta_id`` numbers the rows in the
     order in which they came up.
     """
-    rows = seed_rows(catalogs[seed_band], id, seed_band, 0, fields, primary_flux, seed_band)
+    start = lambda band, n, df: df.select(F.struct(F.lit(n).alias("source"), F.col(id).cast("long").alias("id")).alias("__key"), "RA", "DEC", finite("BMAJ").alias("BMAJ_match"), F.lit(band).alias("astrometry_band"))
+    now, wide, hits = start(seed_band, 0, catalogs[seed_band]), seed_rows(catalogs[seed_band], id, seed_band, 0, fields, primary_flux, seed_band), {}
     for k, band in enumerate(assoc):
-        rows = materialize(associate(rows, catalogs[band], id, band, source=k + 1, fields=fields, order=order, seed_band=seed_band, primary_flux=primary_flux, highest_frequency=highest_frequency), "fuse")
-    rows = wrap_ra_columns(add_spectral_indices(rows, pairs))
+        rows = catalogs[band]
+        edges = materialize(sky_pairs(now, rows, "__key", id, "BMAJ_match", "BMAJ"), "edges")
+        lst = [c for c in ("lst_hour", "representative_lst") if c in rows.columns][:1]
+        slim = rows.select(id, "RA", "DEC", "BMAJ", *_fluxes(rows.columns), *lst)
+        best = best_hits(edges, slim, id).select(F.col("base_id").alias("__base"), F.col("__ref"), "n_assoc", "n_confused", F.col("RA").alias("__RA"), F.col("DEC").alias("__DEC"), F.col("BMAJ").alias("__BMAJ"))
+        hits[band] = best = materialize(best, "hits")
+        now = now.join(best, F.col("__key") == F.col("__base"), "left")
+        found = F.col("__base").isNotNull()
+        new = {"BMAJ_match": F.when(found, F.greatest("BMAJ_match", finite("__BMAJ"))).otherwise(F.col("BMAJ_match"))}
+        if highest_frequency:
+            take = _nearer(found, F.col("astrometry_band"), band)
+            new |= {x: F.when(take, F.col(f"__{x}")).otherwise(F.col(x)) for x in ("RA", "DEC")} | {"astrometry_band": F.when(take, F.lit(band)).otherwise(F.col("astrometry_band"))}
+        own = rows.join(edges.select(F.col("ref_id").alias("__seen")).distinct(), F.col(id) == F.col("__seen"), "left_anti")
+        now = materialize(now.withColumns(new).select("__key", "RA", "DEC", "BMAJ_match", "astrometry_band").unionByName(start(band, k + 1, own)), "fuse")
+        wide = wide.unionByName(seed_rows(own, id, band, k + 1, fields, primary_flux, seed_band), allowMissingColumns=True)
+    wide = wide.drop("BMAJ_match").join(now.select("__key", "BMAJ_match"), "__key")
+    for band in assoc:
+        wide = _with_hit(wide, hits[band], catalogs[band], id, band, fields, order, highest_frequency)
+    rows = wrap_ra_columns(add_spectral_indices(wide, pairs))
     rows = numbered(rows, "meta_id", "__key").drop("__key")
     if not highest_frequency:
         rows = rows.drop("astrometry_band")
@@ -231,6 +263,30 @@ def fuse(catalogs: dict[str, DataFrame], id: str, seed_band: str = "Full", assoc
     return rows.select("meta_id", *[c for c in rows.columns if c != "meta_id"]).orderBy(bright.desc_nulls_last(), "meta_id")
 
 
+def _nearer(found: Column, astrometry_band: Column, band: str) -> Column:
+    """Whether a band's hit takes over the position: its frequency is as high as that of the band it came from."""
+    return found & (F.lit(B.frequency_hz(band) or 0.0) >= F.coalesce(B.frequency_column(astrometry_band), F.lit(0.0)))
+
+
+def _with_hit(wide: DataFrame, hits: DataFrame, rows: DataFrame, id: str, band: str, fields: Sequence[str], order: Sequence[str], highest_frequency: bool) -> DataFrame:
+    """The columns of a band's picked hits on the wide rows."""
+    c = rows.columns
+    hit = hits.select("__base", "__ref", "n_assoc", "n_confused").join(rows.select(*[F.col(x).alias(f"__b_{x}") for x in c]), F.col("__ref") == F.col(f"__b_{id}"))
+    out = wide.join(hit, F.col("__key") == F.col("__base"), "left")
+    found = F.col("__base").isNotNull()
+    block = band_block(c, band, fields, F.col("n_assoc").cast("long"), F.col("n_confused").cast("long"), "__b_")
+    # A row that came up in this band keeps its own columns of it.
+    new = {k: F.when(found, v).otherwise(F.col(k)) if k in wide.columns else v for k, v in block.items()}
+    new["bands_present"] = F.when(found, B.add_bands(F.col("bands_present"), band, order=order)).otherwise(F.col("bands_present"))
+    if "n_lst_contributions" in c:
+        new["n_lst_contributions"] = F.col("n_lst_contributions") + F.coalesce(F.col("__b_n_lst_contributions").cast("long"), F.lit(0))
+    if highest_frequency:
+        take = _nearer(found, F.col("astrometry_band"), band)
+        new |= {x: F.when(take, F.col(f"__b_{x}")).otherwise(F.col(x)) for x in (*SHAPE, *POSITION_QA) if x in c and x in wide.columns}
+        new["astrometry_band"] = F.when(take, F.lit(band)).otherwise(F.col("astrometry_band"))
+    return out.withColumns(new).select(*dict.fromkeys([*wide.columns, *block]))
+
+
 def fuse_subbands(catalogs: dict[str, DataFrame], id: str) -> DataFrame:
     """Subbands onto the highest one; fluxes per band, positions from the highest band of each row."""
     bands = B.in_order(list(catalogs))

@@ -47,13 +47,14 @@ def sky_pairs(base: DataFrame, ref: DataFrame, base_id: str | list = "base_id",
     """
     extra, factor = list(extra), reach
     scale = lambda r: (r if isinstance(r, Column) else F.col(r) if isinstance(r, str) else F.lit(float(r))) * factor
-    # Narrow rows are written once: they are read for the levels and for each side.
-    b = materialize(_side(base, [base_id, *extra], base_ra, base_dec, scale(base_radius), "b"), "sky")
+    # Narrow rows are written once, unless they come from a written table: they are read for the levels and for each side.
+    once = lambda df, side: side if hasattr(df, "_shared_path") else materialize(side, "sky")
+    b = once(base, _side(base, [base_id, *extra], base_ra, base_dec, scale(base_radius), "b"))
     alike = base is ref and (base_id, base_ra, base_dec) == (ref_id, ref_ra, ref_dec) and base_radius is ref_radius
     if alike:
         r = b.select(*[F.col(c).alias("r" + c[1:]) for c in b.columns])
     else:
-        r = materialize(_side(ref, [ref_id, *extra], ref_ra, ref_dec, scale(ref_radius), "r"), "sky")
+        r = once(ref, _side(ref, [ref_id, *extra], ref_ra, ref_dec, scale(ref_radius), "r"))
     # At most some twenty classes of radius exist: the levels that the data need, with the
     # largest radius of each.
     radii = b.groupBy(F.col("b_level").alias("l")).agg(F.max("b_r").alias("m")).union(r.groupBy("r_level").agg(F.max("r_r")))
@@ -95,12 +96,12 @@ def sky_neighbours(df: DataFrame, id: str, radius="BMAJ", ra: str = "RA", dec: s
     return pairs.select(F.col("base_id").alias("id1"), F.col("ref_id").alias("id2"), *extra, "sep_deg")
 
 
-def within_field(df: DataFrame, ra0: float, dec0: float, fov_deg: float, margin_deg: float = 0.0, max_rows: int | None = None, ra: str = "RA", dec: str = "DEC") -> DataFrame:
-    """Rows inside a circular field with their distance; with ``max_rows`` the nearest of them."""
+def within_field(df: DataFrame, ra0: float, dec0: float, fov_deg: float, margin_deg: float = 0.0, max_rows: int | None = None, ra: str = "RA", dec: str = "DEC", id: str | None = None) -> DataFrame:
+    """Rows inside a circular field with their distance; with ``max_rows`` the nearest of them, ties by ``id``, else by position."""
     reach = fov_deg / 2 + margin_deg
     near = df.where(F.col(dec).between(dec0 - reach, dec0 + reach)).withColumn("sep_deg", separation(F.lit(float(ra0)), F.lit(float(dec0)), finite(ra), finite(dec)))
     near = near.where(F.col("sep_deg") <= reach)
-    return near if max_rows is None else near.orderBy("sep_deg").limit(max_rows)
+    return near if max_rows is None else near.orderBy("sep_deg", *([id] if id else [ra, dec])).limit(max_rows)
 
 
 def nearest(df: DataFrame, ra0: float, dec0: float, n: int, ra: str = "RA", dec: str = "DEC", id: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ between engines.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,37 +22,8 @@ from skyloom.functions.register import register
 from skyloom.operators import associations as A
 from skyloom.operators import beam, detection, healpix, match, merge, outliers, reliability, spectral, summary, trace
 from skyloom.operators.skyjoin import nearest, sky_neighbours, sky_pairs, within_field
-from skyloom.plans.adapters import ASSOCIATIONS, CATALOG, CUSTOMERS, DETECTIONS, PARTS, SPECTRA, SUPPLIERS, relation, separation
-
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def _r(c: str, n: int = 6):
-    return F.round(c, n).alias(c)
-
-
-def _det(s, d):
-    return relation(s, d, DETECTIONS)
-
-
-def _cat(s, d):
-    return relation(s, d, CATALOG)
-
-
-_D, _C = f"det AS ({DETECTIONS})", f"cat AS ({CATALOG})"
-_REFS = f"cust AS ({CUSTOMERS}), par AS ({PARTS}), sup AS ({SUPPLIERS})"
-
+from skyloom.plans.adapters import ASSOCIATIONS, CUSTOMERS, PARTS, SPECTRA, SUPPLIERS, relation, separation
+from skyloom.plans.base import _C, _D, _QUERIES, _REFS, _SQL, _cat, _det, _query, _r
 
 def _pairs_sql(a: str, b: str, ra: str, rb: str, reach: float) -> str:
     return f"FROM {a} a JOIN {b} b ON b.DEC BETWEEN a.DEC - {reach} AND a.DEC + {reach} WHERE {separation('a', 'b')} <= greatest({ra}, {rb})"
@@ -760,9 +732,16 @@ def streaming_windows(s, d):
     return windowed_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _load() -> None:
+    for module in ("measures", "readers", "passes"):
+        importlib.import_module(f"skyloom.plans.{module}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

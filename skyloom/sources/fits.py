@@ -180,12 +180,30 @@ def read_healpix(spark: SparkSession, path: str, to_nested: bool = True) -> Data
     return out
 
 
-def write_table(path: str, cols: dict[str, Sequence]) -> None:
-    """A small binary table (numbers and text) as a local file: fixtures and sidecars."""
+def write_bytes(path: str, content: bytes, spark: SparkSession | None = None) -> None:
+    """A small file, on any store that Spark reaches or, without a session, a local one."""
+    if spark is None:
+        with open(path, "wb") as f:
+            f.write(content)
+        return
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    stream.write(bytearray(content))
+    stream.close()
+
+
+def card_block(items) -> bytes:
+    """A header of (key, value) cards, filled up to whole blocks."""
+    text = "".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in items) + "END".ljust(80)
+    return text.ljust(-(-len(text) // _BLOCK) * _BLOCK).encode()
+
+
+def write_table(path: str, cols: dict[str, Sequence], spark: SparkSession | None = None, extra: Sequence[tuple] = ()) -> None:
+    """A small binary table (numbers and text) as a file: fixtures and sidecars."""
     arrays, fields, cards = [], [], []
     for k, (name, values) in enumerate(cols.items(), 1):
         v = np.asarray(values)
-        if v.dtype.kind in "US":
+        if v.dtype.kind in "USO":
             v = np.char.encode(v.astype(str), "utf-8")
             form = f"{v.dtype.itemsize}A"
         else:
@@ -199,12 +217,5 @@ def write_table(path: str, cols: dict[str, Sequence]) -> None:
     for (name, _), v in zip(fields, arrays):
         rows[name] = v
     body = rows.tobytes()
-
-    def block(items):
-        text = "".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in items) + "END".ljust(80)
-        return text.ljust(-(-len(text) // _BLOCK) * _BLOCK).encode()
-
-    with open(path, "wb") as f:
-        f.write(block([("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0)]))
-        f.write(block([("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(cols)), *cards]))
-        f.write(body + b"\0" * (-len(body) % _BLOCK))
+    table = [("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", rows.dtype.itemsize), ("NAXIS2", len(rows)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(cols)), *cards, *extra]
+    write_bytes(path, card_block([("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0)]) + card_block(table) + body + b"\0" * (-len(body) % _BLOCK), spark)

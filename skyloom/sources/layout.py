@@ -14,6 +14,7 @@ from skyloom.functions import bands as B
 from skyloom.functions.quality import DEFAULT_MASK, clear
 from skyloom.functions.text import code
 from skyloom.operators.merge import BAND_FIELDS
+from skyloom.plans.shared import delete, materialize
 
 # Columns of the layers.
 FLOATS = ("RA", "DEC", "Total_flux", "E_Total_flux", "Peak_flux", "E_Peak_flux", "Maj", "Min", "PA", "DC_Maj", "DC_Min", "DC_PA", "Resid_Isl_rms", "Resid_Isl_mean")
@@ -42,6 +43,10 @@ def metacatalog_schema(bands: Sequence[str] = B.ASSOC_BANDS, fields: Sequence[st
 ASSOCIATIONS = T.StructType([T.StructField(n, k) for n, k in (("meta_id", T.LongType()), ("catalog", T.StringType()), ("ref_id", T.StringType()), ("ref_ra", T.DoubleType()), ("ref_dec", T.DoubleType()), ("class_native", T.StringType()), ("sep_arcsec", T.DoubleType()), ("n_ref", T.LongType()))])
 
 
+#: Partition columns of the layers.
+PARTS = {"sources": ("band", "lst_hour"), "lst_merged": ("band",), "members": ("band",), "residual_matched": ("band",), "associations": ("catalog",)}
+
+
 def conform(df: DataFrame, schema: T.StructType, extras: bool = True) -> DataFrame:
     """Columns of the schema, cast, with nulls for those missing; other columns follow."""
     have = set(df.columns)
@@ -82,11 +87,34 @@ class Layout:
 
     def write(self, df: DataFrame, layer: str) -> None:
         """Replaces the partitions of a layer that ``df`` holds."""
-        schema, parts = {"sources": (SOURCES, ("band", "lst_hour")), "lst_merged": (LST_MERGED, ("band",)), "residual_matched": (None, ("band",)), "associations": (ASSOCIATIONS, ("catalog",))}.get(layer, (None, ()))
+        schema, parts = {"sources": SOURCES, "lst_merged": LST_MERGED, "associations": ASSOCIATIONS}.get(layer), PARTS.get(layer, ())
         out = conform(df, schema) if schema else df
         writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*parts) if parts else writer).parquet(self.table(layer))
 
+    def append(self, df: DataFrame, layer: str, id: str) -> None:
+        """Adds rows to the partitions they belong to; rows whose ``id`` is stored there replace those.
+
+        Written again, the same rows leave the same table. Only partitions that ``df`` touches
+        are read and replaced, and what replaces them is written in full before.
+        """
+        spark, parts = df.sparkSession, list(PARTS.get(layer, ()))
+        new = materialize(df.dropDuplicates([*parts, id]), "arrived")
+        if self.exists(spark, layer):
+            touched = [r.asDict() for r in new.select(*parts).distinct().collect()] if parts else []  # partitions of one batch
+            old = self.read(spark, layer)
+            if parts:
+                here = F.lit(False)
+                for r in touched:
+                    one = F.lit(True)
+                    for c, v in r.items():
+                        one = one & F.col(c).eqNullSafe(F.lit(v))
+                    here = here | one
+                old = old.where(here)
+            new = old.join(new.select(*parts, id), [*parts, id], "left_anti").unionByName(new, allowMissingColumns=True)
+            new = materialize(new, "stored")
+        self.write(new, layer)
+
     def read(self, spark: SparkSession, layer: str, **where) -> DataFrame:
         """A layer, with partition filters such as band="Full"; missing files are skipped."""
         df = spark.read.option("ignoreMissingFiles", "true").option("mergeSchema", "true").parquet(parquet_path(self.table(layer)))
@@ -114,20 +142,35 @@ class Layout:
         return expected.join(self.read(spark, layer).select(*keys).distinct(), keys, "left_anti")
 
     def drop_columns(self, spark: SparkSession, layer: str, columns: Sequence[str] = DROPPED, dry_run: bool = False) -> list[str]:
-        """Columns of a layer that are, or would be, rewritten away."""
+        """Columns of a layer that are, or would be, rewritten away.
+
+        The old table is moved aside, the new one moved in, then the old one deleted: at every
+        moment one of them is whole, and :meth:`recover` puts it in place.
+        """
+        self.recover(spark, layer)
         df = self.read(spark, layer)
         found = [c for c in columns if c in df.columns]
         if found and not dry_run:
-            fs_path = spark._jvm.org.apache.hadoop.fs.Path
-            conf, new, old = spark._jsc.hadoopConfiguration(), fs_path(self.table(f"{layer}.new")), fs_path(self.table(layer))
-            parts = {"sources": ("band", "lst_hour"), "lst_merged": ("band",), "associations": ("catalog",)}.get(layer, ())
+            parts = PARTS.get(layer, ())
             writer = df.drop(*found).write.mode("overwrite")
-            (writer.partitionBy(*parts) if parts else writer).parquet(str(new.toString()))
-            fs = old.getFileSystem(conf)
-            fs.delete(old, True)
-            fs.rename(new, old)
+            (writer.partitionBy(*parts) if parts else writer).parquet(self.table(f"{layer}.new"))
+            self._move(spark, layer, f"{layer}.old")
+            self._move(spark, f"{layer}.new", layer)
+            delete(spark, self.table(f"{layer}.old"))
         return found
 
+    def recover(self, spark: SparkSession, layer: str) -> None:
+        """Puts back a layer that a rewrite has moved away and not replaced, and removes what it left."""
+        if not self.exists(spark, layer) and self.exists(spark, f"{layer}.old"):
+            self._move(spark, f"{layer}.old", layer)
+        for end in ("new", "old"):
+            delete(spark, self.table(f"{layer}.{end}"))
+
+    def _move(self, spark: SparkSession, layer: str, to: str) -> None:
+        here, there = (spark._jvm.org.apache.hadoop.fs.Path(self.table(x)) for x in (layer, to))
+        if not here.getFileSystem(spark._jsc.hadoopConfiguration()).rename(here, there):
+            raise OSError(f"cannot move {here} to {there}")
+
 
 def with_beams(df: DataFrame, beams: DataFrame, on: Sequence[str] = ("band", "lst_hour")) -> DataFrame:
     """Beam columns filled from a table of beams, where the catalogue has none."""

@@ -310,6 +310,39 @@ def test_streamed_detections_are_merged(spark, tmp_path):
     assert len(out) == 1 and out[0]["n_lst_contributions"] == 2
 
 
+def test_streamed_detections_of_one_hour_are_all_kept(spark, tmp_path):
+    """Batches of one (band, hour), a chain that a later batch closes, and a batch that comes again."""
+    from skyloom.operators.merge import lst_merge
+    from skyloom.streaming import ingest
+
+    schema = "det_id long, RA double, DEC double, BMAJ double, Peak_flux double, Total_flux double, band string, lst_hour string"
+    batches = [
+        [(1, 30.0, 37.0, 0.05, 1.0, 1.0, "Full", "01h"), (5, 80.0, 10.0, 0.05, 1.0, 1.0, "Full", "01h")],
+        [(2, 30.08, 37.0, 0.05, 2.0, 2.0, "Full", "01h"), (7, 80.0, 10.0, 0.05, 3.0, 3.0, "Red", "01h")],
+        [(3, 30.04, 37.0, 0.05, 9.0, 9.0, "Full", "01h"), (4, 200.0, -20.0, 0.05, 1.0, 1.0, "Full", "02h")],
+    ]
+    lay, frames = layout.Layout(str(tmp_path / "cat")), [spark.createDataFrame(b, schema) for b in batches]
+    step = ingest.merge_batch(lay)
+    for n in (0, 1, 1, 2, 0):
+        step(frames[n], n)
+    every = [r for b in batches for r in b]
+    assert sorted(r["det_id"] for r in lay.read(spark, "sources").collect()) == sorted(r[0] for r in every)
+    for band in ("Full", "Red"):
+        got = sorted((r["det_id"], r["n_members"], r["lst_hours"], round(r["cluster_jitter_rms_deg"], 9)) for r in lay.read(spark, "lst_merged", band=band).collect())
+        whole = lst_merge(spark.createDataFrame([r for r in every if r[6] == band], schema), "det_id", band)
+        assert got == sorted((r["det_id"], r["n_members"], r["lst_hours"], round(r["cluster_jitter_rms_deg"], 9)) for r in whole.collect())
+    assert {r["det_id"]: r["root"] for r in lay.read(spark, "members", band="Full").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_an_interrupted_rewrite_loses_nothing(spark, tmp_path):
+    lay = layout.Layout(str(tmp_path))
+    df = spark.createDataFrame([(10.0, "Full", "01h", 1.0)], "RA double, band string, lst_hour string, E_RA double")
+    lay.write(df, "sources")
+    (tmp_path / "sources").rename(tmp_path / "sources.old")
+    assert lay.drop_columns(spark, "sources") == ["E_RA"] and lay.read(spark, "sources").first()["RA"] == 10.0
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["sources"]
+
+
 def test_images_and_sidecars(spark, tmp_path):
     import pandas as pd
 

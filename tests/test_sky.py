@@ -111,10 +111,12 @@ def test_subbands_take_positions_of_the_highest_frequency(spark):
     assert rows[0]["astrometry_band"] == "82MHz" and rows[0]["RA"] == 10.0 and rows[0]["bands_present"] == "18MHz,82MHz" and rows[1]["origin_band"] == "18MHz"
 
 
-def test_greedy_dedupe_equals_the_sequential_pass(spark):
+@pytest.mark.parametrize("max_rounds", [40, 2, 0])
+def test_greedy_dedupe_equals_the_sequential_pass(spark, max_rounds):
     rng = np.random.default_rng(3)
     rows = [(i, float(rng.uniform(0, 3)), float(rng.uniform(0, 3)), 0.3, float(rng.integers(0, 40))) for i in range(150)]
-    got = {r[0] for r in detection.brightest_first(spark.createDataFrame(rows, "id long, RA double, DEC double, BMAJ double, f double"), "id", "f").select("id").collect()}
+    rows += [(200 + i, 100 + 0.2 * i, 0.0, 0.3, 100.0 - i) for i in range(30)]  # a gradient along a chain
+    got = {r[0] for r in detection.brightest_first(spark.createDataFrame(rows, "id long, RA double, DEC double, BMAJ double, f double"), "id", "f", max_rounds=max_rounds).select("id").collect()}
     want, gone = set(), set()
     for r in sorted(rows, key=lambda r: (-r[4], r[0])):
         if r[0] not in gone:
@@ -151,6 +153,8 @@ def test_field_nearest_numbering(spark):
     rows = spark.createDataFrame([(i, float(i), 0.0) for i in range(50)], "id long, RA double, DEC double")
     assert [r["id"] for r in nearest(rows, 7.2, 0.0, 3, id="id").collect()] == [7, 8, 6]
     assert within_field(rows, 7.0, 0.0, 4.0, max_rows=2).count() == 2
+    ties = spark.createDataFrame([(k, 7.0 + (-1) ** k, 0.0) for k in range(40)], "id long, RA double, DEC double")
+    assert [r["id"] for r in within_field(ties, 7.0, 0.0, 4.0, max_rows=3, id="id").collect()] == [0, 1, 2]
     assert [r["n"] for r in numbered(rows, "n", F.desc("id")).orderBy(F.desc("id")).collect()] == list(range(50))
 
 
