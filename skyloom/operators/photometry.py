@@ -83,3 +83,29 @@ def total_from_fit(fit: Column, bmaj: Column, bmin: Column, pixel_deg: Column) -
     """Total flux of a fit, given the beam: peak times the ratio of areas."""
     beam = F.when((bmaj > 0) & (bmin > 0), bmaj * bmin * TO_SIGMA**2 / (pixel_deg * pixel_deg))
     return fit["peak"] * fit["sx"] * fit["sy"] / beam
+
+
+def painted(width, height, sources: Column) -> Column:
+    """An image (array<double>, row by row) of Gaussians: ``sources`` is an array of structs of peak, x, y, sx, sy and theta, in pixels.
+
+    Built-in functions only; an image holds its pixels and is meant for tiles of some hundred pixels a side.
+    """
+    width, height = (F.lit(v) if isinstance(v, int) else v for v in (width, height))
+
+    def value(k: Column) -> Column:
+        x, y = k % width, F.floor(k / width)
+
+        def add(total: Column, s: Column) -> Column:
+            c, t = F.cos(s["theta"]), F.sin(s["theta"])
+            u, v = (x - s["x"]) * c + (y - s["y"]) * t, (y - s["y"]) * c - (x - s["x"]) * t
+            return total + s["peak"] * F.exp(-0.5 * (F.pow(u / s["sx"], 2) + F.pow(v / s["sy"], 2)))
+
+        return F.aggregate(sources, F.lit(0.0), add)
+
+    return F.transform(F.sequence(F.lit(0), (width * height - 1).cast("int")), value)
+
+
+def tile_residual(observed: Column, model: Column, clip: bool = True) -> Column:
+    """observed - model, pixel by pixel; what is missing stays missing, negative values become 0."""
+    left = lambda o, m: F.greatest(F.lit(0.0), o - m) if clip else o - m
+    return F.zip_with(observed, model, lambda o, m: F.when(o.isNull() | F.isnan(o), o).otherwise(left(o, m)))

@@ -20,9 +20,9 @@ from skyloom.functions import sphere as S
 from skyloom.functions import text as TX
 from skyloom.functions.register import register
 from skyloom.operators import associations as A
-from skyloom.operators import beam, detection, healpix, match, merge, outliers, reliability, spectral, summary, trace
+from skyloom.operators import beam, detection, match, merge, outliers, reliability, spectral, summary, trace
 from skyloom.operators.skyjoin import nearest, sky_neighbours, sky_pairs, within_field
-from skyloom.plans.adapters import ASSOCIATIONS, CUSTOMERS, PARTS, SPECTRA, SUPPLIERS, relation, separation
+from skyloom.plans.adapters import ASSOCIATIONS, CATALOG, CUSTOMERS, PARTS, SPECTRA, SUPPLIERS, relation, separation
 from skyloom.plans.base import _C, _D, _QUERIES, _REFS, _SQL, _cat, _det, _query, _r
 
 def _pairs_sql(a: str, b: str, ra: str, rb: str, reach: float) -> str:
@@ -232,12 +232,13 @@ def cascade_bootstrap(s, d):
     return out.select("id", _r("RA"), _r("DEC"), _r("BMAJ"), "match_source")
 
 
-_HALVES = "one AS (SELECT * FROM det WHERE k % 2 = 0), two AS (SELECT det_id, RA + 0.005 AS RA, DEC, BMAJ, Peak_flux, S_Code FROM det WHERE k % 3 = 0)"
+#: Two passes over all detections: the second is shifted, a third of it little enough to meet the first.
+_HALVES = "one AS (SELECT * FROM det), two AS (SELECT det_id + 1000000000 AS det_id, RA + 0.005 + 0.05 * (k % 3) AS RA, DEC, BMAJ, Peak_flux, S_Code FROM det)"
 
 
 def _halves(s, d):
     det = _det(s, d)
-    return det.where("k % 2 = 0"), det.where("k % 3 = 0").withColumn("RA", F.col("RA") + 0.005)
+    return det, det.withColumns({"det_id": F.col("det_id") + 1_000_000_000, "RA": F.expr("RA + 0.005D + 0.05D * (k % 3)")})
 
 
 _SD = f"hit AS (SELECT DISTINCT b.det_id {_pairs_sql('one', 'two', 'a.BMAJ', 'b.BMAJ', 0.03)})"
@@ -287,9 +288,21 @@ def rematch_seed(s, d):
     return trace.rematch(rows, c["Blue"].withColumn("lst_id", F.col("det_id"))).select("meta_id", "lst_id", "n_hits")
 
 
-@_query("sidelobe_flag", f"WITH {_C} SELECT DISTINCT b.meta_id FROM cat a JOIN cat b ON b.DEC BETWEEN a.DEC - 0.4 AND a.DEC + 0.4 AND a.meta_id <> b.meta_id WHERE a.Peak_flux >= 30 * b.Peak_flux AND {separation('a', 'b')} BETWEEN 2 * a.BMAJ_match AND 4 * a.BMAJ_match")
+_GLARE = {**{c: f"CASE WHEN meta_id % 7 = 0 THEN {c} * 100 ELSE {c} END" for c in ("Peak_flux", "Total_flux", "E_Peak_flux", "E_Total_flux")}, "BMAJ_match": "BMAJ_match * 4"}
+#: The catalogue with some very bright sources and wider beams.
+_GC = f"cat AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in _GLARE.items())}) FROM ({CATALOG}))"
+
+
+def _glaring(s, d):
+    return _cat(s, d).withColumns({k: F.expr(v) for k, v in _GLARE.items()})
+
+
+_SIDE = f"side AS (SELECT DISTINCT b.meta_id FROM cat a JOIN cat b ON b.DEC BETWEEN a.DEC - 1.3 AND a.DEC + 1.3 AND a.meta_id <> b.meta_id WHERE a.Peak_flux >= 30 * b.Peak_flux AND {separation('a', 'b')} BETWEEN 2 * a.BMAJ_match AND 4 * a.BMAJ_match)"
+
+
+@_query("sidelobe_flag", f"WITH {_GC}, {_SIDE} SELECT meta_id FROM side")
 def sidelobe_flag(s, d):
-    return reliability.near_bright(_cat(s, d), "meta_id")
+    return reliability.near_bright(_glaring(s, d), "meta_id")
 
 
 @_query("nearest_k", f"WITH {_C}, q AS (SELECT 150.0 AS RA, 20.0 AS DEC) SELECT meta_id, round(sep * 60, 4) AS sep_arcmin, round(sep, 6) AS sep_deg FROM (SELECT meta_id, {separation('q', 'cat')} AS sep FROM cat, q) ORDER BY sep, meta_id LIMIT 25")
@@ -340,17 +353,14 @@ def quality_pack(s, d):
 
 
 _PCT = f"p AS (SELECT quantile_cont(Resid_Isl_rms, 0.01) AS a, quantile_cont(Resid_Isl_rms, 0.99) AS b, quantile_cont(Resid_Isl_mean, 0.01) AS c, quantile_cont(Resid_Isl_mean, 0.99) AS d FROM cat)"
-_SIDE = f"side AS (SELECT DISTINCT b.meta_id FROM cat a JOIN cat b ON b.DEC BETWEEN a.DEC - 0.4 AND a.DEC + 0.4 AND a.meta_id <> b.meta_id WHERE a.Peak_flux >= 30 * b.Peak_flux AND {separation('a', 'b')} BETWEEN 2 * a.BMAJ_match AND 4 * a.BMAJ_match)"
-
-
 @_query(
     "quality_assign",
-    f"""WITH {_C}, {_REFS}, {_BITS}, {_PCT}, {_SIDE} SELECT bits.meta_id, CAST({_PACK} + {_LARGE} + CASE WHEN Resid_Isl_rms < a OR Resid_Isl_rms > b THEN {Q.VALUE["RESID_PCTL_RMS"]} ELSE 0 END + CASE WHEN Resid_Isl_mean < c OR Resid_Isl_mean > d THEN {Q.VALUE["RESID_PCTL_MEAN"]} ELSE 0 END
+    f"""WITH {_GC}, {_REFS}, {_BITS}, {_PCT}, {_SIDE} SELECT bits.meta_id, CAST({_PACK} + {_LARGE} + CASE WHEN Resid_Isl_rms < a OR Resid_Isl_rms > b THEN {Q.VALUE["RESID_PCTL_RMS"]} ELSE 0 END + CASE WHEN Resid_Isl_mean < c OR Resid_Isl_mean > d THEN {Q.VALUE["RESID_PCTL_MEAN"]} ELSE 0 END
 + CASE WHEN bits.meta_id IN (SELECT meta_id FROM side) THEN {Q.VALUE["NEAR_BRIGHT_SIDELOBE"]} ELSE 0 END + CASE WHEN bits.meta_id IN (SELECT ref_id FROM cust) THEN 0 ELSE {Q.VALUE["NO_VLSSR"]} END AS BIGINT) AS quality_flag FROM bits JOIN cat USING (meta_id), p""",
 )
 def quality_assign(s, d):
     seen = relation(s, d, CUSTOMERS).select(F.col("ref_id").alias("meta_id"))
-    return reliability.assign_quality(_bits(s, d), vlssr=seen).select("meta_id", "quality_flag")
+    return reliability.assign_quality(_glaring(s, d).drop("quality_flag"), vlssr=seen).select("meta_id", "quality_flag")
 
 
 @_query("quality_mask", f"WITH {_C} SELECT meta_id FROM cat WHERE quality_flag & 247 = 0")
@@ -406,10 +416,13 @@ def tier_gold(s, d):
     return reliability.filter_tiers(_bits(s, d), "I5").select("meta_id")
 
 
-@_query("gold_in_cleaned", f"WITH {_C} SELECT meta_id FROM cat WHERE FALSE")
+@_query("gold_in_cleaned", f"WITH {_C}, {_BITS}, {_TIERS} SELECT meta_id FROM x WHERE \"S_Code\" = 'S' AND NOT (e0 AND e1 AND e2 AND e3 AND e4) UNION ALL SELECT -1 FROM (SELECT 1)")
 def gold_in_cleaned(s, d):
+    """Simple sources that the cleaned catalogue lacks, and one row that says that the gold catalogue lacks none."""
     rows = _bits(s, d)
-    return reliability.not_nested(reliability.filter_tiers(rows, "I5"), reliability.filter_tiers(rows, "E4"))
+    cleaned = reliability.filter_tiers(rows, "E4")
+    nested = reliability.not_nested(reliability.filter_tiers(rows, "I5"), cleaned).agg(F.count(F.lit(1)).alias("n")).select((-1 - F.col("n")).alias("meta_id"))
+    return reliability.not_nested(rows.where("S_Code = 'S'"), cleaned).unionByName(nested)
 
 
 _AS = f"asc0 AS ({ASSOCIATIONS}), har AS (SELECT *, CASE catalog WHEN 'MilliQuas' THEN CASE WHEN class_native = 'S' THEN 'star' ELSE 'agn' END WHEN 'eRASS3' THEN CASE class_native WHEN '-1' THEN 'star' WHEN '2' THEN 'galaxy' WHEN 'blazar' THEN 'agn' ELSE 'xray' END WHEN 'RFC' THEN CASE class_native WHEN 'QSO' THEN 'agn' WHEN 'GClstr' THEN 'cluster' ELSE 'radio' END WHEN 'TeVCat' THEN CASE WHEN class_native = 'hbl' THEN 'agn' ELSE 'tev' END WHEN 'NVSS' THEN 'radio' WHEN 'Xu2022' THEN 'cluster' ELSE 'galaxy' END AS h FROM asc0)"
@@ -614,24 +627,6 @@ def galactic_footprint(s, d):
     return _cat(s, d).where(match.in_western("RA", "DEC")).select("meta_id", F.round(lon, 6).alias("l"), F.round(lat, 6).alias("b"))
 
 
-@_query("healpix_point_paint")
-def healpix_point_paint(s, d):
-    return healpix.paint_points(_cat(s, d), 64, "Peak_flux").select("ipix", _r("value"))
-
-
-@_query("healpix_gaussian_paint")
-def healpix_gaussian_paint(s, d):
-    return healpix.paint_gaussians(_cat(s, d), 64).select("ipix", _r("value"))
-
-
-@_query("healpix_tiles", f"WITH {_C} SELECT count(*) AS n, round(sum(Peak_flux), 4) AS total FROM cat")
-def healpix_tiles(s, d):
-    fine = healpix.paint_points(_cat(s, d), 256, "Peak_flux")
-    tiles = fine.groupBy(F.floor(F.col("ipix") / (64 * 64)).cast("long").alias("tile")).agg(F.sum("value").alias("v"))
-    counted = _cat(s, d).select(healpix.pixel("RA", "DEC", 4).alias("tile")).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(tiles, "tile").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 4).alias("total"))
-
-
 @_query("first_positive", f"WITH {_REFS} SELECT ref_id, round(CASE WHEN Peak_flux > 0 THEN Peak_flux WHEN -Peak_flux > 0 THEN -Peak_flux END, 6) AS flux FROM cust")
 def first_positive(s, d):
     return relation(s, d, CUSTOMERS).select("ref_id", F.round(X.first_positive("Peak_flux", -F.col("Peak_flux")), 6).alias("flux"))
@@ -687,6 +682,8 @@ def numbered_rows(s, d):
 
 @_query("map_residual_stats", f"WITH {_D} SELECT round(sqrt(avg(pow(Resid_Isl_mean - 0.05, 2))), 6) AS rms, round(avg(Resid_Isl_mean - 0.05), 6) AS mean, round(quantile_cont(abs(Resid_Isl_mean - 0.05), 0.95), 6) AS p95_abs, round(max(abs(Resid_Isl_mean - 0.05)), 6) AS peak_abs FROM det")
 def map_residual_stats(s, d):
+    from skyloom.operators import healpix
+
     out = healpix.map_stats(_det(s, d).select((F.col("Resid_Isl_mean") - 0.05).alias("value")))
     return out.select(*[_r(c) for c in out.columns])
 
@@ -718,12 +715,6 @@ def sql_functions(s, d):
     return s.sql("SELECT meta_id, round(sky_sep_deg(12D, 34D, RA, DEC), 6) AS sep, has_quality_bit(quality_flag, 4) AS bit4, has_band(bands_present, 'Blue') AS blue FROM {cat}", cat=_cat(s, d))
 
 
-@_query("luminosity_pairs", f"WITH {_C}, {_REFS} SELECT meta_id, round(cat.Total_flux * ref.Total_flux, 4) AS product, ref.kind FROM cat JOIN par ref ON ref.ref_id = meta_id WHERE ref.Total_flux > 1")
-def luminosity_pairs(s, d):
-    ref = relation(s, d, PARTS).select(F.col("ref_id").alias("meta_id"), F.col("Total_flux").alias("f"), "kind").where("f > 1")
-    return _cat(s, d).join(ref, "meta_id").select("meta_id", F.round(F.col("Total_flux") * F.col("f"), 4).alias("product"), "kind")
-
-
 @_query("streaming_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(s, d):
     from skyloom.streaming.ingest import windowed_counts
