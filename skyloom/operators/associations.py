@@ -53,10 +53,10 @@ RFC_CLASSES = {
     "star": ("*", "Blue*", "Red*", "V*", "!V*", "!*"),
     "xray": ("XrayS",),
 }
-COMMON = {
-    "S": "star", "Q": "agn", "A": "agn", "B": "agn", "K": "agn", "N": "agn", "blazar": "agn", "G": "galaxy", "QSO": "agn", "QSOc": "agn", "BLLac": "agn", "BZ": "agn", "BZc": "agn", "GClstr": "cluster", "XrayS": "xray",
-    "Freund2022": "star", "NEDLVS": "galaxy", "Xu2022": "cluster", "2RXS": "xray", "eRASS3": "xray", "TeVCat": "tev", "VLSSR": "radio", "NVSS": "radio", "VLASS": "radio", "LoDeSS": "radio", "GLEAM": "radio",
-}
+LETTERS = {"S": "star", "Q": "agn", "A": "agn", "B": "agn", "K": "agn", "N": "agn"}
+#: Native classes of the RFC that mean the same in any catalogue.
+SHARED = ("G", "QSO", "QSOc", "BLLac", "BZ", "BZc", "GClstr", "XrayS")
+COMMON = LETTERS | WHOLE | {"blazar": "agn", "eRASS3": "xray", "TeVCat": "tev"} | dict.fromkeys(RADIO, "radio") | {name: label for label, names in RFC_CLASSES.items() for name in names if name in SHARED}
 
 
 def harmonized(catalog: Column, native: Column) -> Column:
@@ -73,7 +73,7 @@ def harmonized(catalog: Column, native: Column) -> Column:
     for name, label in WHOLE.items():
         out = out.when(cat == name, label)
     out = out.when(cat == "TeVCat", F.when(F.upper(own).isin(*TEV_AGN), "agn").when(F.upper(own).isin(*TEV_OWN), "tev").otherwise(F.coalesce(known(own), F.lit("tev"))))
-    out = out.when(cat == "MilliQuas", F.when(letter == "S", "star").when(letter.isin("Q", "A", "B", "K", "N"), "agn").otherwise(F.coalesce(known(own), F.lit("unknown"))))
+    out = out.when(cat == "MilliQuas", F.coalesce(F.when(letter.isin(*LETTERS), known(letter)), known(own), F.lit("unknown")))
     out = out.when(cat == "RFC", F.coalesce(rfc, F.lit("unknown")))
     xray = F.when(F.lower(own) == "blazar", "agn").when(code.isNull(), F.when(own.isin("", "eRASS3"), "xray").otherwise("unknown")).when(code < 0, "star").when(code > 0, "galaxy").otherwise("xray")
     out = out.when(cat == "eRASS3", xray)

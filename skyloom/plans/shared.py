@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,15 @@ def discard(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The written result of ``make``; whatever else that wrote is deleted."""
+    before = set(_written)
+    out = materialize(make(), label)
+    for path in sorted(_written - before - {out._shared_path}):
+        delete(out.sparkSession, path)
+    return out
+
+
 def purge(spark: SparkSession) -> int:
     """Remove all that this process has written to the shared folder, once results have been consumed."""
     paths = sorted(_written)

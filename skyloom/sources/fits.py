@@ -1,7 +1,10 @@
 """FITS files: headers, binary tables and HEALPix maps, read from bytes by the executors.
 
-Cards are 80 characters in blocks of 2880 bytes. Files come through Spark's binaryFile
-reader, so any store works; a table's bytes become Arrow batches column by column.
+Cards are 80 characters in blocks of 2880 bytes. Where the store can be opened at an offset
+(local, HDFS, S3, GCS by their scheme), a table is read by ranges of rows, one task each, and
+of an image only the header; a file of any size needs no more memory than a range. On other
+stores files come whole through Spark's binaryFile reader. Bytes become Arrow batches column
+by column.
 """
 
 from __future__ import annotations
@@ -77,13 +80,17 @@ def table_unit(data: bytes) -> tuple[dict, int]:
 
 
 def table_schema(data: bytes, names: Sequence[str] | None = None) -> dict[str, str]:
-    cards, _ = table_unit(data)
-    return {n: _SQL[k] for n, k, repeat, _ in columns(cards) if k in _SQL and (repeat == 1 or k == "A") and (names is None or n in names)}
+    return _kinds(table_unit(data)[0], names)
 
 
 def table_batches(data: bytes, names: Sequence[str], batch: int = 65536) -> Iterator[pa.RecordBatch]:
     cards, start = table_unit(data)
-    width, rows = int(cards["NAXIS1"]), int(cards["NAXIS2"])
+    yield from row_batches(cards, data, start, int(cards["NAXIS2"]), names, batch)
+
+
+def row_batches(cards: dict, data: bytes, start: int, rows: int, names: Sequence[str], batch: int = 65536) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` table rows that begin at an offset of ``data``."""
+    width = int(cards["NAXIS1"])
     index = {c[0]: (k, *c) for k, c in enumerate(columns(cards), 1)}
     for a in range(0, rows, batch):
         n = min(batch, rows - a)
@@ -110,19 +117,83 @@ def table_batches(data: bytes, names: Sequence[str], batch: int = 65536) -> Iter
         yield pa.RecordBatch.from_arrays(out, names=list(names))
 
 
-def read_table(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
-    """A binary table as a DataFrame; missing numbers are null.
+#: Schemes that are opened at an offset, bytes of a header that are read at once, bytes of a task's range of rows.
+SEEKABLE, HEAD, RANGE = ("file", "hdfs", "s3", "s3a", "gs"), 1 << 16, 64 << 20
+
+
+def _open(path: str):
+    """A file that can be read at an offset."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^s3a:", "s3:", path if "://" in path else re.sub(r"^file:", "", path))
+    uri = re.sub(r"^file:/+(?!/)", "/", uri)
+    store, name = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(name)
+
+
+def seekable(path: str) -> bool:
+    found = re.match(r"(\w+):", path)
+    return not re.search(r"[*?{\[]", path) and (found[1].lower() if found else "file") in SEEKABLE
+
 
-    The schema comes from the first blocks of the first file.
-    """
+def _unit_at(file) -> tuple[dict, int]:
+    """The header of a file's first binary table and the offset of its rows, without reading data."""
+    at, size = 0, file.size()
+    while at < size:
+        length = HEAD
+        while True:
+            try:
+                cards, start = header(file.read_at(min(length, size - at), at))
+                break
+            except ValueError:
+                if length >= size - at:
+                    raise
+                length *= 4
+        if cards.get("XTENSION") == "BINTABLE":
+            return cards, at + start
+        data = abs(int(cards.get("BITPIX", 8))) // 8 if cards.get("NAXIS") else 0
+        for k in range(int(cards.get("NAXIS", 0))):
+            data *= int(cards.get(f"NAXIS{k + 1}", 0))
+        at += start + -(-(data + int(cards.get("PCOUNT", 0))) // _BLOCK) * _BLOCK
+    raise ValueError("no binary table")
+
+
+def _wanted(kinds: dict[str, str], names: Sequence[str] | None) -> list[str]:
+    wanted = [n for n in (names or kinds) if n in kinds]
+    if names and len(wanted) < len(names):
+        raise ValueError(f"missing columns: {[n for n in names if n not in kinds]}")
+    return wanted
+
+
+def _kinds(cards: dict, names: Sequence[str] | None) -> dict[str, str]:
+    return {n: _SQL[k] for n, k, repeat, _ in columns(cards) if k in _SQL and (repeat == 1 or k == "A") and (names is None or n in names)}
+
+
+def read_table(spark: SparkSession, path: str, names: Sequence[str] | None = None, range_bytes: int = RANGE) -> DataFrame:
+    """A binary table as a DataFrame; missing numbers are null."""
+    if seekable(path) and not _is_folder(spark, path):
+        with _open(path) as file:
+            cards, start = _unit_at(file)
+        kinds = _kinds(cards, names)
+        wanted, width, rows = _wanted(kinds, names), int(cards["NAXIS1"]), int(cards["NAXIS2"])
+        each = max(1, range_bytes // max(1, width))
+        tasks = max(1, -(-rows // each))
+
+        def ranges(batches):
+            with _open(path) as file:
+                for b in batches:
+                    for k in b.column(0).to_pylist():
+                        n = min(each, rows - k * each)
+                        if n > 0:
+                            yield from row_batches(cards, file.read_at(n * width, start + k * each * width), 0, n, wanted)
+
+        return spark.range(0, tasks, 1, tasks).mapInArrow(ranges, ", ".join(f"`{n}` {kinds[n]}" for n in wanted))
     files = spark.read.format("binaryFile").load(path)
     head = files.select(F.substring("content", 1, 1 << 20).alias("c")).limit(1).collect()
     if not head:
         raise FileNotFoundError(path)
     kinds = table_schema(bytes(head[0]["c"]), names)
-    wanted = [n for n in (names or kinds) if n in kinds]
-    if names and len(wanted) < len(names):
-        raise ValueError(f"missing columns: {[n for n in names if n not in kinds]}")
+    wanted = _wanted(kinds, names)
 
     def run(batches):
         for b in batches:
@@ -132,6 +203,14 @@ def read_table(spark: SparkSession, path: str, names: Sequence[str] | None = Non
     return files.select("content").mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in wanted))
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(file):
+        raise FileNotFoundError(path)
+    return store.getFileStatus(file).isDirectory()
+
+
 def _beams(paths: pa.Array, contents: pa.Array) -> pa.Array:
     rows = []
     for c in contents:
@@ -143,10 +222,25 @@ def _beams(paths: pa.Array, contents: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([(k, pa.float64()) for k in ("BMAJ", "BMIN", "BPA", "RESTFRQ")]))
 
 
+def _heads(paths: pa.Array) -> pa.Array:
+    out = []
+    for p in paths:
+        try:
+            with _open(p.as_py()) as file:
+                out.append(bytes(file.read_at(min(HEAD, file.size()), 0)))
+        except OSError:
+            out.append(b"")
+    return pa.array(out, pa.binary())
+
+
 def read_beams(spark: SparkSession, path: str) -> DataFrame:
     """(path, BMAJ, BMIN, BPA, RESTFRQ) of image headers; what cannot be read is null."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 16).alias("c"))
+    files = spark.read.format("binaryFile").load(path)
     beams = F.arrow_udf(_beams, "struct<BMAJ:double,BMIN:double,BPA:double,RESTFRQ:double>")
+    if seekable(re.sub(r"[*?{\[].*", "", path)):  # of each file the header alone
+        files = files.select("path", F.arrow_udf(_heads, "binary")("path").alias("c"))
+    else:
+        files = files.select("path", F.substring("content", 1, HEAD).alias("c"))
     return files.select("path", beams("path", "c").alias("b")).select("path", "b.*")
 
 

@@ -233,6 +233,21 @@ def test_fits_tables(spark, tmp_path):
     assert surveys.lodess(spark, p).count() == 1
 
 
+def test_fits_tables_are_read_by_ranges_of_rows(spark, tmp_path):
+    p = str(tmp_path / "t.fits")
+    n = np.arange(5000)
+    fits.write_table(p, {"n": n, "x": n / 7, "s": np.char.add("k", n.astype(str)), "odd": n % 2 == 1})
+    rows = fits.read_table(spark, p, ["n", "s", "odd"], range_bytes=1000)
+    assert rows.rdd.getNumPartitions() > 100
+    assert sorted(map(tuple, rows.collect())) == [(int(k), f"k{k}", bool(k % 2)) for k in n]
+    (tmp_path / "many").mkdir()
+    for k in range(3):  # a folder comes through the whole-file reader
+        fits.write_table(str(tmp_path / "many" / f"{k}.fits"), {"n": n[k * 10 : k * 10 + 10]})
+    assert sorted(r["n"] for r in fits.read_table(spark, str(tmp_path / "many")).collect()) == list(range(30))
+    with pytest.raises(FileNotFoundError):
+        fits.read_table(spark, str(tmp_path / "none.fits"))
+
+
 def _line(places, values):
     out = [" "] * 900
     for k, v in values.items():
