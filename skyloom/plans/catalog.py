@@ -715,14 +715,6 @@ def sql_functions(s, d):
     return s.sql("SELECT meta_id, round(sky_sep_deg(12D, 34D, RA, DEC), 6) AS sep, has_quality_bit(quality_flag, 4) AS bit4, has_band(bands_present, 'Blue') AS blue FROM {cat}", cat=_cat(s, d))
 
 
-@_query("streaming_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def streaming_windows(s, d):
-    from skyloom.streaming.ingest import windowed_counts
-
-    events = s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_counts(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
 def _load() -> None:
     for module in ("measures", "readers", "passes"):
         importlib.import_module(f"skyloom.plans.{module}")

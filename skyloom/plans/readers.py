@@ -15,8 +15,9 @@ from skyloom.functions import quality as Q
 from skyloom.functions import text as TX
 from skyloom.operators import associations as A
 from skyloom.operators import beam, healpix
-from skyloom.plans.adapters import CUSTOMERS, PARTS, SUPPLIERS, relation
-from skyloom.plans.base import _C, _D, _REFS, _cat, _det, _query, _r
+from skyloom.plans import catalog  # noqa: F401  its queries come first
+from skyloom.plans.adapters import CUSTOMERS, DETECTIONS, PARTS, SUPPLIERS, relation
+from skyloom.plans.base import _C, _D, _REFS, _SQL, _cat, _det, _query, _r
 from skyloom.plans.shared import materialize, shared_dir
 from skyloom.sources import fits, images, layout, sidecar, surveys
 
@@ -407,3 +408,33 @@ def parquet_paths(s, d):
 def fixed_width_fields(s, d):
     rows = s.read.parquet(f"{d}/part.parquet").withColumn("line", F.concat(F.lpad(F.col("p_size").cast("string"), 5, " "), F.rpad("p_type", 25, " ")))
     return rows.select("p_partkey", TX.number(F.col("line"), 1, 5).alias("size"), TX.field(F.col("line"), 6, 11).alias("kind"))
+
+
+# ---- streams
+
+
+@_query("streaming_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_windows(s, d):
+    """Events read as a stream, counted in windows, kept as a table that each batch replaces."""
+    from skyloom.streaming.ingest import windowed_counts
+
+    place = _place(s, "stream")
+    events = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    keep = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{place}/counts")
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{place}/counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@_query("streamed_merge", _SQL["lst_merge"].replace(_D, f"all_det AS ({DETECTIONS}), det AS (SELECT * FROM all_det WHERE band = 'Blue')").replace("'Full' AS band", "'Blue' AS band"))
+def streamed_merge(s, d):
+    """Detections of one band that come in two batches, the first of them twice: merged as if they had come together."""
+    from skyloom.streaming.ingest import merge_batch
+
+    lay, blue = _layout(s), _det(s, d).where("band = 'Blue'")
+    step = merge_batch(lay)
+    parts = [blue.where("j = 1"), blue.where("j = 5")]
+    for n, part in enumerate([*parts, parts[0]]):
+        step(part, n)
+    out = lay.read(s, "lst_merged", band="Blue")
+    return out.select("det_id", "root", _r("RA"), _r("DEC"), _r("Peak_flux"), "n_lst_contributions", "lst_hours", "representative_lst", _r("Peak_flux_std"), _r("cluster_jitter_rms_deg"), "band")
