@@ -8,17 +8,18 @@ or.
 
 Range join: the segments form m blocks. Fingerprints at most d bits apart differ in at most d
 blocks, so they agree on all others, and meet in the grid cell that the counts of some m - d
-blocks make up. Within a cell a pair is tested by the lower bound, then exactly. A cell of
-more than ``dense`` fingerprints is split again by the same embedding: pairs that meet in it
-because the blocks are untouched differ in the left-out blocks only, so these are cut into
-d + 2 parts, two of which agree, now with segments of one bit. Each split takes at least two
-fifths off what is left out; at 14 bits it ends. So no cell is ever compared
-in pairs that has more members than ``dense`` or 2**14, and a fingerprint has at most so
-many neighbours as there are values within d bits, however many rows share it: equal
-fingerprints are one node from the start.
+blocks make up. Within a cell a pair is tested by the lower bound, then exactly. Cells of up
+to ``FEW`` fingerprints send all links they hold, larger ones the shortest links that span
+them, never more than one fewer than their members: a chain of links connects whatever a
+link connects, and no group sends its pairs. A cell of more than ``dense`` fingerprints is
+split again by the same embedding: pairs that meet in it because the blocks are untouched
+differ in the left-out blocks only, so these are cut into d + 2 parts, two of which agree,
+now with segments of one bit. Each split takes at least two fifths off what is left out; at
+14 bits it ends, where a cell holds 2**14 fingerprints at most. Equal fingerprints are one
+node from the start.
 
 The number of blocks follows the number of fingerprints, so that cells of independent
-fingerprints hold about 16; links do not depend on it.
+fingerprints hold few; what is connected does not depend on it.
 
 ``near_duplicates`` is that of one fingerprint over three-word shingles and two bits.
 
@@ -26,10 +27,10 @@ fingerprints hold about 16; links do not depend on it.
 shingles, linked at a Jaccard similarity of 0.8 or more. One fingerprint of such shingles is
 no help there: an edited word changes five shingles, and similar texts are nine bits apart.
 So the candidates come from ``PRINTS`` fingerprints over single words, weighed by the
-logarithm of their count, and the range join above at three bits in any of them; then each
-candidate is verified exactly on its shingles. The README tells the recall. Members of a
-group of candidates are first compared to one centre; what this connects needs no further
-comparison, and all other candidates are compared.
+logarithm of their count, and the range join above in each of them; then each candidate is
+verified exactly on its shingles. Candidates are the links of the range join, and links of
+texts that share a fingerprint to the first of these, so their number grows with the texts.
+The README tells the recall.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like
 any other; repeated rows count each; an empty table gives an empty result; extra columns
@@ -59,12 +60,12 @@ ORACLE_SQL = None  # XXH64 with a seed is beyond the oracle's functions
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
-#: Cells of more fingerprints are split again; expected members of a cell, from which the number of blocks follows.
-DENSE, EXPECTED = 64, 16
+#: Cells of more fingerprints are split again; those of up to so many send all links; expected members of a cell, from which the number of blocks follows.
+DENSE, FEW, EXPECTED = 4096, 8, 4
 #: Left-out bits at which splitting ends.
 LAST_BITS = 14
 #: Fingerprints a text and bits in which one may differ, for the search of similar wording.
-PRINTS, WIDE = 8, 3
+PRINTS, WIDE = 8, 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
@@ -176,11 +177,47 @@ def split(kind: tuple[int, int], distance: int) -> list[tuple[int, int]]:
     return [(agree | left ^ sum(out), sum(out)) for out in combinations(parts, distance)]
 
 
+def spanning(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Shortest links that connect what links of at most ``distance`` bits connect, as places in ``fps``."""
+    one, two = fps & np.uint64(_LOW), fps >> np.uint64(1) & np.uint64(_LOW)
+    counts = one | two | (one & two) << np.uint64(1)  # the embedding
+    left, best, source = np.arange(1, len(fps)), np.full(len(fps) - 1, 99, np.uint8), np.zeros(len(fps) - 1, np.int64)
+    out, now = [], 0
+    while len(left):
+        bound = np.bitwise_count(counts[left] ^ counts[now])
+        near = np.flatnonzero((bound <= distance) & (bound < best))
+        exact = np.bitwise_count(fps[left[near]] ^ fps[now])
+        better = exact < best[near]
+        best[near[better]], source[near[better]] = exact[better], now
+        k = int(best.argmin())
+        now = int(left[k])
+        if best[k] <= distance:
+            out.append((now, int(source[k])))
+        for x in (left, best, source):
+            x[k] = x[-1]
+        left, best, source = left[:-1], best[:-1], source[:-1]
+    return out
+
+
+def _spanned(distance: int):
+    def run(cells: pa.Array) -> pa.Array:
+        out = []
+        for cell in cells:
+            fps = np.sort(np.asarray(cell.values, np.int64).view(np.uint64))
+            pairs = np.sort(fps.view(np.int64)[np.array(spanning(fps, distance), np.int64).reshape(-1, 2)], axis=1)
+            out.append([{"src": int(b), "dst": int(a)} for a, b in pairs])
+        return pa.array(out, pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64())])))
+
+    return run
+
+
 def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
-    """All links (k, src, dst), src above dst, of distinct (``k``, ``fp``) that are at most ``distance`` bits apart and share k."""
+    """Links (k, src, dst), src above dst, of at most ``distance`` bits that connect all distinct (``k``, ``fp``) that such links of one k connect."""
     spark = nodes.sparkSession
-    kinds = layout(nodes.count(), distance)
-    near = f"explode(flatten(transform(l, a -> transform(filter(l, b -> b.fp > a.fp and bit_count(a.t ^ b.t) <= {distance} and bit_count(a.fp ^ b.fp) <= {distance}), b -> struct(b.fp as src, a.fp as dst)))))"
+    most = nodes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    kinds = layout(most or 0, distance)
+    every = f"explode(flatten(transform(l, a -> transform(filter(l, b -> b.fp > a.fp and bit_count(a.t ^ b.t) <= {distance} and bit_count(a.fp ^ b.fp) <= {distance}), b -> struct(b.fp as src, a.fp as dst)))))"
+    spanned = F.arrow_udf(_spanned(distance), "array<struct<src:long,dst:long>>")
     t = _thermometer(F.col("fp"))
     rows = nodes.select("k", "fp", F.posexplode(F.array(*[t.bitwiseAND(_mask(agree)) for agree, _ in kinds])).alias("kind", "cell"))
     found = None
@@ -188,20 +225,19 @@ def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> Dat
         sizes = rows.groupBy("k", "kind", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         placed = materialize(rows.join(sizes.hint("merge"), ["k", "kind", "cell"]), "cells")
         last = all(left.bit_count() <= LAST_BITS for _, left in kinds)
-        small = placed if last else placed.where(F.col("n") <= dense)
-        grouped = small.groupBy("k", "kind", "cell").agg(F.collect_list(F.struct("fp", t.alias("t"))).alias("l"))
-        pairs = grouped.select("k", F.expr(near).alias("x")).select("k", "x.*")
+        few = placed.where(F.col("n") <= FEW).groupBy("k", "kind", "cell").agg(F.collect_list(F.struct("fp", t.alias("t"))).alias("l"))
+        many = placed.where((F.col("n") > FEW) & (F.lit(last) | (F.col("n") <= dense))).groupBy("k", "kind", "cell").agg(F.collect_list("fp").alias("l"))
+        pairs = few.select("k", F.expr(every).alias("x")).unionByName(many.select("k", F.explode(spanned("l")).alias("x"))).select("k", "x.*")
         found = pairs if found is None else found.unionByName(pairs)
         crowded = placed.where(F.col("n") > dense)
         if last or not crowded.limit(1).count():
             return found.distinct()
-        finer = [[] if left.bit_count() <= LAST_BITS else split((agree, left), distance) for agree, left in kinds]
-        finer = [x or [kind] for x, kind in zip(finer, kinds)]
-        kinds = [kind for x in finer for kind in x]
+        finer = [[kind] if kind[1].bit_count() <= LAST_BITS else split(kind, distance) for kind in kinds]
         table, at = [], 0
         for old, x in enumerate(finer):
             table += [(old, at + i, _signed(agree)) for i, (agree, _) in enumerate(x)]
             at += len(x)
+        kinds = [kind for x in finer for kind in x]
         # A few kinds a split, some thousands in all whatever the table holds.
         table = F.broadcast(spark.createDataFrame(table, "kind int, finer int, agree long"))
         rows = crowded.select("k", "kind", "fp").join(table, "kind").select("k", "fp", F.col("finer").alias("kind"), F.col("fp").bitwiseAND(F.col("agree")).alias("cell"))
@@ -238,35 +274,16 @@ def _printed(prints: int):
     return run
 
 
-def similar_links(nodes: DataFrame, verify, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
-    """Links (src, dst) that connect just the nodes (sig, n, fps) which are candidates and pass ``verify``.
-
-    ``verify`` takes pairs (src, dst) and returns those that are similar.
-    """
-    members = materialize(nodes.where("n > 0").select("sig", "n", F.posexplode("fps").alias("k", "fp")), "members")
-    close = materialize(links(members.select("k", "fp").distinct(), distance, dense), "close")
-    name = lambda c: F.xxhash64("k", c)
-    groups = connected_components(close.select(name("src").alias("src"), name("dst").alias("dst")))
-    members = members.join(groups, name("fp") == F.col("node"), "left").select("sig", "n", "k", "fp", F.coalesce("component", name("fp")).alias("group"))
-    members = materialize(members, "members")
-    alike = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"  # else 0.8 is out of reach
-    centre = members.groupBy("group").agg(F.min(F.struct("sig", "n")).alias("y"))
-    stars = members.join(centre, "group").select(F.struct("sig", "n").alias("x"), "y").where(f"x.sig <> y.sig and {alike}")
-    stars = verify(stars.select(F.col("x.sig").alias("src"), F.col("y.sig").alias("dst")).distinct())
-    roots = connected_components(stars)
-    members = members.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "n", "k", "fp", "group", F.coalesce("component", "sig").alias("root"))
-    members = materialize(members, "members")
-    # Groups of one root are settled. In the others all candidates of different roots are compared.
-    open_ = members.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("group")
-    members = materialize(members.join(open_, "group", "left_semi"), "members")
-    spots = members.select("k", "fp", "root").distinct()
-    ends = close.unionByName(spots.select("k", F.col("fp").alias("src"), F.col("fp").alias("dst")).distinct())
-    left, right = (spots.select("k", F.col("fp").alias(end), F.col("root").alias(r)) for end, r in (("src", "ra"), ("dst", "rb")))
-    ends = ends.join(left, ["k", "src"]).join(right, ["k", "dst"]).where("ra <> rb")
-    left, right = (members.select("k", F.col("fp").alias(end), F.col("root").alias(r), F.struct("sig", "n").alias(x)) for end, r, x in (("src", "ra", "x"), ("dst", "rb", "y")))
-    pairs = ends.join(left, ["k", "src", "ra"]).join(right, ["k", "dst", "rb"]).where(alike)
-    pairs = pairs.select(F.greatest("x.sig", "y.sig").alias("src"), F.least("x.sig", "y.sig").alias("dst")).distinct()
-    return stars.unionByName(verify(pairs))
+def candidates(nodes: DataFrame, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
+    """Pairs (src, dst) of nodes (sig, n, fps) to verify: no more than a few for each fingerprint of each."""
+    members = materialize(nodes.where("n > 0").select(F.struct("sig", "n").alias("m"), F.posexplode("fps").alias("k", "fp")), "members")
+    first = materialize(members.groupBy("k", "fp").agg(F.min("m").alias("first")), "first")
+    stars = members.join(first, ["k", "fp"]).where("m <> first").select(F.col("m").alias("x"), F.col("first").alias("y"))
+    close = links(first.select("k", "fp"), distance, dense)
+    end = lambda fp, name: first.select("k", F.col("fp").alias(fp), F.col("first").alias(name))
+    linked = close.join(end("src", "x"), ["k", "src"]).join(end("dst", "y"), ["k", "dst"]).select("x", "y")
+    pairs = stars.unionByName(linked).where("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")  # else 0.8 is out of reach
+    return pairs.select(F.greatest("x.sig", "y.sig").alias("src"), F.least("x.sig", "y.sig").alias("dst")).distinct()
 
 
 def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = PRINTS, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
@@ -284,7 +301,7 @@ def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     nodes = materialize(nodes, "nodes")
     named = nodes.select("sig", F.col("own.__id").alias("__id"), F.col("own.__h").alias("__h"))
     texts = rows.select("__id", "__h", body.alias("text"))
-    linked = similar_links(nodes.select("sig", "n", "fps"), lambda pairs: shingles.similar(pairs, named, texts), distance, dense)
+    linked = shingles.similar(candidates(nodes, distance, dense), named, texts)
     joined = nodes.join(connected_components(linked), F.col("sig") == F.col("node"), "left").select("own", F.coalesce("component", "sig").alias("root"))
     first = joined.groupBy("root").agg(F.min("own").alias("own"))
     counts = found.groupBy("rank").agg(F.count(F.lit(1)).alias("__n"))

@@ -84,8 +84,8 @@ def test_kinds_of_cells(distance):
             break
 
 
-@pytest.mark.parametrize("distance, dense", [(2, 64), (2, 3), (3, 64), (3, 2)])
-def test_links_are_all_that_is_near(spark, distance, dense):
+@pytest.mark.parametrize("distance, dense", [(2, 4096), (2, 12), (3, 20)])
+def test_links_connect_what_is_near(spark, distance, dense):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
     fps = set(base)
@@ -98,13 +98,15 @@ def test_links_are_all_that_is_near(spark, distance, dense):
     for k in range(300):  # one crowded cell: every value of some bits
         fps.add(base[0] ^ (k & 15) << 1 ^ (k >> 4) << 9)
     signed = [_signed(v) for v in fps]
-    near = {(max(a, b), min(a, b)) for a in signed for b in signed if a < b and _bits(a, b) <= distance}
+    near = [(a, b) for a in signed for b in signed if a < b and _bits(a, b) <= distance]
     rows = spark.createDataFrame([(v, k) for k, v in enumerate(signed)], "fp long, doc_id long")
     nodes = rows.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "fp").where("k = 0 or fp % 2 = 0")
     found = [tuple(r) for r in simhash.links(nodes, distance, dense).collect()]
-    assert len(found) == len(set(found)) and {f[1:] for f in found if f[0] == 0} == near
-    assert {f[1:] for f in found if f[0] == 1} == {p for p in near if p[0] % 2 == 0 and p[1] % 2 == 0}
-    if (distance, dense) == (2, 64):
+    assert len(found) == len(set(found)) and all(a > b and _bits(a, b) <= distance for _, a, b in found)
+    even = [v for v in signed if v % 2 == 0]
+    assert _components(signed, [f[1:] for f in found if f[0] == 0]) == _components(signed, near)
+    assert _components(even, [f[1:] for f in found if f[0] == 1]) == _components(even, [p for p in near if p[0] % 2 == 0 and p[1] % 2 == 0])
+    if (distance, dense) == (2, 4096):
         low = _components(signed, near)
         first = {}
         for k, v in enumerate(signed):
@@ -112,6 +114,16 @@ def test_links_are_all_that_is_near(spark, distance, dense):
         assert dict(tuple(r) for r in simhash.components(rows).collect()) == {v: first[low[v]] for v in signed}
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 255), min_size=1, max_size=60), st.integers(1, 3))
+def test_spanning_links(values, distance):
+    fps = np.array(sorted(values), np.uint64) * np.uint64(0x0101000000000101)
+    out = simhash.spanning(fps, distance)
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if _bits(int(fps[a]), int(fps[b])) <= distance]
+    assert all(_bits(int(fps[a]), int(fps[b])) <= distance for a, b in out) and len(out) < len(fps)
+    assert _components(range(len(fps)), out) == _components(range(len(fps)), near)
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = spark.createDataFrame([(5, None, 1), (3, "", 1), (9, "a b c d e f", 1), (9, "a b c d e f", 1), (4, "A b c d e f", 1)], "doc_id long, text string, fp int")
     got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(rows).collect())
@@ -180,21 +192,22 @@ def _edited():
 
 
 def test_similar_wording_by_brute_force(spark):
-    """The rows kept are those of the candidates' brute force; few links of the exact similarity are missed, none is made up."""
+    """No group is made up, and few links of the exact similarity are missed."""
     import corpus_pipeline
 
     rows = _edited()
     held, prints = {k: _sets(t) for k, (_, t) in enumerate(rows)}, {k: _word_prints(t) for k, (_, t) in enumerate(rows)}
     alike = [(a, b) for a in held for b in held if a < b and (held[a] == held[b] or held[a] and 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b])))]
     hit = [(a, b) for a, b in alike if held[a] == held[b] or min(_bits(x, y) for x, y in zip(prints[a], prints[b])) <= simhash.WIDE]
-    assert len(hit) >= 0.95 * len(alike) > 150
+    assert len(hit) >= 0.9 * len(alike) > 150
     low, full = _components(list(held), hit), _components(list(held), alike)
-    want = sorted(str(rows[k][0]) for k in {low[k] for k in held})
+    name = {k: str(r[0]) for k, r in enumerate(rows)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for dense in (64, 2):
-        assert sorted(str(r["doc_id"]) for r in simhash.filter_documents(df, dense=dense).collect()) == want
-    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == want
-    assert len(set(full.values())) <= len(want) <= 1.05 * len(set(full.values()))
+    for dense in (4096, 9):
+        kept = sorted(str(r["doc_id"]) for r in simhash.filter_documents(df, dense=dense).collect())
+        assert len(kept) == len(set(kept)) and {name[k] for k in set(full.values())} <= set(kept)
+        assert len(kept) <= 1.02 * len(set(low.values())) and len(kept) <= 1.06 * len(set(full.values()))
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == sorted(str(r["doc_id"]) for r in simhash.filter_documents(df).collect())
     assert simhash.filter_documents(df.limit(0)).count() == 0
 
 
