@@ -8,10 +8,10 @@ are shuffled once:
    it, so equal strings have equal anchors. A batch of documents sends the fingerprints of
    its anchors, four bytes each and one for equal ones, to the part of the fingerprint space
    they fall in; the part answers with a bit for each: held by two documents or not.
-2. Shared anchors are sent with their context, all strings around them; contexts of a batch
-   whose bytes are equal are sent once, with their smallest and largest id. A part sorts the
-   strings of all contexts it gets as suffixes: blockwise, one bucket of suffixes at a time,
-   long ties by the ranks of a difference cover (:mod:`skyloom.llm.suffix_array`).
+2. Shared anchors are sent with their context, all strings around them; contexts whose bytes
+   are equal are one, with their smallest and largest id, in a batch and again in a part. The
+   part sorts the strings of its contexts as suffixes: blockwise, one bucket of suffixes at a
+   time, long ties by the ranks of a difference cover (:mod:`skyloom.llm.suffix_array`).
    Neighbours in that order that agree on ``length`` bytes form a class, and the class has a
    smallest id. The batch gets back, per context, which of its strings have a class with an
    id below the context's smallest, and which with one below its largest.
@@ -150,6 +150,18 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct one, each row's place among these): hashes bring equal rows together, bytes tell."""
+    order = np.argsort(_hash_rows(rows), kind="stable")
+    new = np.ones(len(order), bool)
+    for a in range(0, len(order) - 1, _ROWS):
+        some = rows[order[a : a + _ROWS + 1]]
+        new[a + 1 : a + len(some)] = (some[1:] != some[:-1]).any(1)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 class Batch:
     """The documents of one batch and the order in which it names its anchors and contexts."""
 
@@ -319,7 +331,14 @@ def _answer_contexts(length: int, gram: int):
         rows = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8).reshape(-1, size) for x in table.column("contexts").to_pylist()])
         low, high = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("low", "high"))
         first, last = (np.concatenate([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()]) for c in ("first", "last"))
-        least = classes(rows, low, high, first, last, length)
+        lead, of = _distinct(rows)
+        n = len(lead)
+        lows, highs, lo, hi = np.full(n, _LAST), np.full(n, np.iinfo(np.int64).min), np.full(n, 255, np.uint8), np.zeros(n, np.uint8)
+        np.minimum.at(lows, of, low)
+        np.maximum.at(highs, of, high)
+        np.minimum.at(lo, of, first)
+        np.maximum.at(hi, of, last)
+        least = classes(rows[lead], lows, highs, lo, hi, length)[of]
         gone = np.packbits(np.concatenate((least < low[:, None], least < high[:, None]), axis=1), axis=1)
         out, at = [], 0
         for batch, n in zip(table.column("batch").to_pylist(), counts):
