@@ -28,6 +28,7 @@ are ignored. Rows are dealt to batches by id and text, so null or repeated ids c
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
@@ -105,31 +106,33 @@ class Anchors:
             hashes = gram_hashes(data[a:b], gram)
             keys = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
             least = _least(keys, length - gram + 1)
-            place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-            at = np.arange(len(place)) + a
-            doc = np.searchsorted(starts, at, side="right") - 1
-            ok = at + length <= ends[doc]
-            change = np.ones(len(place), bool)
-            change[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+            least &= np.uint64(0xFFFFFF)
+            change = np.ones(len(least), bool)
+            np.not_equal(least[1:], least[:-1], out=change[1:])
+            first = np.searchsorted(starts, (a, a + len(least)))
+            change[starts[first[0] : first[1]] - a] = True
             edge = np.flatnonzero(change)
-            last = np.append(edge[1:], len(place)) - 1
+            place, doc = least[edge].astype(np.int64), np.searchsorted(starts, edge + a, side="right") - 1
             # strings that run over the end of their document are at its end
-            last = np.minimum(last, ends[doc[edge]] - length - a)
-            keep = ok[edge]
-            edge, last = edge[keep], last[keep]
-            for col, x in zip(cols, (place[edge] + a, edge + a, last + a, doc[edge], hashes[place[edge]])):
+            last = np.minimum(np.append(edge[1:], len(least)) - 1, ends[doc] - length - a)
+            keep = edge + a + length <= ends[doc]
+            edge, last, place, doc = edge[keep], last[keep], place[keep], doc[keep]
+            for col, x in zip(cols, (place + a, edge + a, last + a, doc, hashes[place])):
                 col.append(x)
         empty = np.empty(0, np.int64)
         self.place, self.first, self.last, self.doc = (np.concatenate([empty, *c]).astype(np.int64) for c in cols[:4])
         self.hash = np.concatenate([np.empty(0, np.uint64), *cols[4]])
         self.start, self.end = starts, ends
 
+    @functools.cached_property
+    def _padded(self) -> np.ndarray:
+        edge = lambda n: np.full(n, _PAD, np.uint8)
+        return np.concatenate((edge(self.length - self.gram), self.data, edge(self.length)))
+
     def contexts(self, pick: np.ndarray) -> np.ndarray:
         """Rows of the bytes around anchors, as far as a string that holds the anchor may reach, within the document."""
         before, size = self.length - self.gram, 2 * self.length - self.gram
-        edge = lambda n: np.full(n, _PAD, np.uint8)
-        padded = np.concatenate((edge(before), self.data, edge(self.length)))
-        rows = np.lib.stride_tricks.sliding_window_view(padded, size)[self.place[pick]]
+        rows = np.lib.stride_tricks.sliding_window_view(self._padded, size)[self.place[pick]]
         lo = self.start[self.doc[pick]] - (self.place[pick] - before)
         hi = self.end[self.doc[pick]] - (self.place[pick] - before)
         cut = np.flatnonzero((lo > 0) | (hi < size))
