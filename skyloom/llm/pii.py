@@ -233,7 +233,7 @@ def _phone(v: str, key: bytes) -> str:
     return head + back(spell(hidden, key, b"phone%d,%d" % form + head.encode(), lambda s: _invented(back(s)) == form))
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 14)
 def name_word(word: str, key: bytes) -> str:
     """What replaces one word of a name, wherever it stands."""
     low = word.lower()
@@ -272,7 +272,7 @@ def _name_parts(text: str, at: int, most: int = 3) -> list[tuple[int, int]]:
     return spans
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 14)
 def surrogate(kind: str, value: str, key: bytes) -> str:
     """What replaces an entity of this kind."""
     if kind == "email":

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.plans.shared import materialize
@@ -21,46 +21,49 @@ SEED = 42
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-class _Hashes(dict):
-    """Hashes of words; forgotten when there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
-        return found
-
-
-_hashes = _Hashes()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _FACTORS[4]
     h = (h ^ (h >> np.uint64(33))) * _FACTORS[1]
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashed shingles of a whole text, ascending."""
+def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word of a whole text, hashes of the distinct words, their counts)."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    k = min(SHINGLE, len(words))
-    n = len(words) - k + 1 if words else 0
+    index: dict[bytes, int] = {}
+    at = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    digest = xxhash.xxh64_intdigest
+    found = np.fromiter((digest(w, SEED) for w in index), np.uint64, len(index))
+    return found[at], found, np.bincount(at, minlength=len(index))
+
+
+def shingles_of(h: np.ndarray) -> np.ndarray:
+    """The distinct hashed shingles of words with these hashes, ascending."""
+    k = min(SHINGLE, len(h))
+    n = len(h) - k + 1 if len(h) else 0
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out = _mixed(out + h[j : j + n] * _FACTORS[j])
+        out = mixed(out + h[j : j + n] * _FACTORS[j])
     return np.unique(out).view(np.int64)
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    return shingles_of(word_hashes(text)[0])
+
+
 def signature(found: np.ndarray) -> int:
     """A number that equal sets share."""
     h = xxhash.xxh64_intdigest(found.tobytes(), SEED)
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def sets(text: Column) -> Column:
-    made = F.arrow_udf(lambda texts: pa.array([shingle_set(t.as_py()) for t in texts], pa.list_(pa.int64())), "array<long>")
-    return made.asNondeterministic()(text)
+def _with_sets(batches):
+    """(sig, s) of rows (sig, text), some hundred at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            made = pa.array([shingle_set(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), made], names=["sig", "s"])
 
 
 def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
@@ -68,7 +71,8 @@ def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "candidates")
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
     rows = named.join(nodes, "sig", "left_semi")
-    made = materialize(texts.join(rows.hint("shuffle_hash"), ["__id", "__h"]).dropDuplicates(["sig"]).select("sig", sets(F.col("text")).alias("s")), "sets")
+    found = texts.join(rows.hint("shuffle_hash"), ["__id", "__h"]).dropDuplicates(["sig"]).select("sig", "text")
+    made = materialize(found.mapInArrow(_with_sets, "sig long, s array<long>"), "sets")
     a, b = (made.select(F.col("sig").alias(side), F.col("s").alias(s)) for side, s in (("src", "sa"), ("dst", "sb")))
     both = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
     return materialize(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("src", "dst"), "similar")

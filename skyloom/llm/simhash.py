@@ -39,7 +39,6 @@ are ignored by :func:`near_duplicates` and kept by :func:`filter_documents`.
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -52,7 +51,7 @@ from pyspark.sql import functions as F
 from skyloom.llm import shingles
 from skyloom.llm.text import read
 from skyloom.operators.components import connected_components
-from skyloom.plans.shared import materialize
+from skyloom.plans.shared import materialize, settled
 
 NAME = "op9_segment_popcount_simhash"
 ORACLE_SQL = None  # XXH64 with a seed is beyond the oracle's functions
@@ -64,6 +63,7 @@ DISTANCE = 2
 DENSE, FEW, EXPECTED = 4096, 8, 4
 #: Left-out bits at which splitting ends.
 LAST_BITS = 14
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Fingerprints a text and bits in which one may differ, for the search of similar wording.
 PRINTS, WIDE = 8, 2
 
@@ -95,39 +95,26 @@ def fingerprints(text: Column) -> Column:
     return F.arrow_udf(_fingerprinted, "binary").asNondeterministic()(text)
 
 
-class _Signs:
-    """Rows of +1 and -1 for words; forgotten when there are many."""
-
-    MOST = 1 << 15
-
-    def __init__(self, prints: int):
-        self.prints, self.of, self.rows = prints, {}, np.empty((self.MOST, 64 * prints), np.int8)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.of) + len(words) > self.MOST:
-            self.of.clear()
-        new = [w for w in words if w not in self.of]
-        if new:
-            at = len(self.of)
-            hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + k) for k in range(self.prints)] for w in new], dtype=">u8")
-            self.rows[at : at + len(new)] = 2 * np.unpackbits(hashes.view(np.uint8).reshape(len(new), -1), axis=1).astype(np.int8) - 1
-            self.of.update(zip(new, range(at, at + len(new))))
-        return self.rows[[self.of[w] for w in words]]
-
-
-_signs: dict[int, _Signs] = {}
+def prints_of(hashes: np.ndarray, counts: np.ndarray, prints: int = PRINTS) -> np.ndarray:
+    """``prints`` fingerprints of words with these hashes, a word of count c weighing 1 + log2 c in eighths."""
+    total, steps = np.zeros(64 * prints, np.int64), np.arange(1, prints + 1, dtype=np.uint64) * _STEP
+    order = np.argsort(counts, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    edges = [0, *(np.flatnonzero(np.diff(counts)) + 1).tolist(), len(counts)]
+    for start, end in zip(edges, edges[1:]):
+        if start == end:
+            continue
+        ones = np.zeros(64 * prints, np.int64)
+        for a in range(start, end, 255):  # as many as a byte counts
+            own = shingles.mixed(hashes[a : min(end, a + 255), None] + steps).astype(">u8").view(np.uint8)
+            ones += np.add.reduce(np.unpackbits(own, axis=1), axis=0, dtype=np.uint8)
+        total += int(np.rint(8 + 8 * np.log2(counts[start]))) * (2 * ones - (end - start))
+    return np.packbits(total > 0).view(">u8").astype(np.uint64).view(np.int64)
 
 
 def word_prints(text: str | None, prints: int = PRINTS) -> np.ndarray:
-    """``prints`` fingerprints of the whole text's words, a word of count c weighing 1 + log2 c in eighths."""
-    signs = _signs.setdefault(prints, _Signs(prints))
-    counts = Counter(text.encode("utf-8", "surrogatepass").lower().split()) if text else {}
-    words, total = list(counts), np.zeros(64 * prints, np.int64)
-    for a in range(0, len(words), 4096):
-        part = words[a : a + 4096]
-        weights = np.rint(8 + 8 * np.log2([counts[w] for w in part])).astype(np.float32)
-        total += (weights @ signs(part)).astype(np.int64)  # whole numbers below 2**24: exact in any order
-    return np.packbits(total > 0).view(">u8").astype(np.uint64).view(np.int64)
+    """Fingerprints of the whole text's words."""
+    return prints_of(*shingles.word_hashes(text)[1:], prints)
 
 
 def _long(c):
@@ -264,11 +251,11 @@ def _printed(prints: int):
     def run(texts: pa.Array) -> pa.Array:
         sig, n, fps = [], [], []
         for t in texts:
-            t = t.as_py()
-            found = shingles.shingle_set(t)
+            every, hashes, counts = shingles.word_hashes(t.as_py())
+            found = shingles.shingles_of(every)
             sig.append(shingles.signature(found))
             n.append(len(found))
-            fps.append(word_prints(t, prints))
+            fps.append(prints_of(hashes, counts, prints))
         return pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["sig", "n", "fps"])
 
     return run
@@ -314,4 +301,4 @@ def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return settled(lambda: near_duplicates(read(spark, sf_dir, "documents")), "near")

@@ -156,13 +156,20 @@ def _sets(text):
     return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
+def _mix(h):
+    full = 2**64 - 1
+    h = ((h ^ h >> 33) * 0xFF51AFD7ED558CCD) & full
+    h = ((h ^ h >> 33) * 0xC2B2AE3D27D4EB4F) & full
+    return h ^ h >> 33
+
+
 def _word_prints(text):
     words = (text or "").encode().lower().split()
     out = []
-    for seed in range(42, 42 + simhash.PRINTS):
+    for k in range(1, simhash.PRINTS + 1):
         total = [0] * 64
         for w in sorted(set(words)):
-            h = xxhash.xxh64(w, seed=seed).intdigest()
+            h = _mix((xxhash.xxh64(w, seed=42).intdigest() + k * 0x9E3779B97F4A7C15) % 2**64)
             for b in range(64):
                 total[b] += round(8 + 8 * np.log2(words.count(w))) * (1 if h >> b & 1 else -1)
         out.append(sum(1 << b for b in range(64) if total[b] > 0))
