@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.llm.text import read, word_count
-from skyloom.plans.shared import materialize
+from skyloom.plans.shared import materialize, settled
 
 NAME = "op1_min_cost_mixing"
 ORACLE_SQL = None  # the flow and the seeded order are beyond SQL
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, quotas: dict, doc_id: str = "doc_id", size: str = "size
     key = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(sources), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit(_NULL)))))
     quotas = {_NULL if k is None else k: v for k, v in quotas.items()}
     rows = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"), key.alias("__key"))
-    rows = rows.withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__id").cast("string")))
+    rows = rows.withColumn("__hash", F.xxhash64(F.lit(seed), F.col("__id").cast("string"), "__size"))  # null ids are spread by size
     rows = materialize(rows.withColumn("__bucket", F.shiftrightunsigned("__hash", 48).cast("int")), "mix")
     counted = rows.groupBy("__key").agg(F.sum("__size").alias("s")).limit(max_patterns + 1).collect()
     if len(counted) > max_patterns:
@@ -212,6 +212,10 @@ def source_quotas(totals: Iterable[tuple[str | None, int]], weights: Sequence[fl
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(lambda: _query(spark, sf_dir), "mixed")
+
+
+def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.array("source").alias("sources")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_PATTERNS + 1).collect()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.text import read
 from skyloom.operators.components import connected_components
-from skyloom.plans.shared import materialize
+from skyloom.plans.shared import materialize, settled
 
 NAME = "op10_hnsw_vector_dedup"
 ORACLE_SQL = """
@@ -413,4 +413,4 @@ def near_duplicates(vectors: DataFrame, **kw) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "embeddings"))
+    return settled(lambda: near_duplicates(read(spark, sf_dir, "embeddings")), "near")

@@ -115,6 +115,13 @@ def test_mix_edge_cases(spark):
         mixing.mix(df, {"a": 1.0}, max_patterns=1)
 
 
+def test_mix_of_very_long_texts_and_clashing_names(spark):
+    rows = [(k, n, ["a"], "x", 7, 0.5) for k, n in enumerate([10**12, 3, 5, 2**40, 1])]
+    df = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>, copies string, taken int, taken_for double")
+    out = {r["doc_id"]: (r["size"], r["copies"], r["taken"]) for r in mixing.mix(df, {"a": 10.0**12 + 2**40}).collect()}
+    assert out[0][:2] == (10**12, 1) and out[3][:2] == (2**40, 1) and all(t == c * n for n, c, t in out.values())
+
+
 def test_mix_query(spark):
     rows = mixing.query(spark, SF).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -540,6 +547,16 @@ def test_long_conversation(spark):
     assert got["n_turns"] == 200 and got["loss_chars"] == sum(len(r[3]) for r in rows if r[2] == "assistant")
 
 
+def test_chat_of_very_long_texts_and_clashing_names(spark):
+    long = "<|im_end|> 漢 " * 100_000
+    rows = [(1, 0, "user", long, "a", 1), (1, 1, "assistant", long, "b", 2), (2, 0, "assistant", "x", "c", 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example string, t int").withColumns({"last": F.lit(1), "loss_start": F.lit("z"), "said": F.lit(0)})
+    got = {r["conv_id"]: r for r in chat.read_back(chat.expand(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == sha(long) and got[1]["turns_sha256"] == sha(f"user\n{long}\nassistant\n{long}\n")
+    assert got[2]["n_turns"] == 1 and got[2]["loss_sha256"] == sha("x")
+
+
 # ---- toxicity
 
 
@@ -642,12 +659,31 @@ def test_pipeline(spark):
     assert set(pieces.doc_id) == set(seen[3].doc_id) and json.dumps(sorted(pieces.columns))
 
 
-def test_pipeline_stages_on_empty_and_null_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+def test_pipeline_stages_on_empty_null_and_long_rows(spark):
+    """Each stage keeps what it should of nulls, repeated rows, a very long text and columns with clashing names."""
+    extra = {"text_": "string", "rank": "int", "sig": "int", "__copies_": "int", "size": "string", "kept": "string", "n_words": "string"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} {t}" for c, t in extra.items())
     good = " ".join(f"term{i}" for i in range(40))
-    rows = [(1, good, None, None, 1), (1, good, None, None, 1), (None, good + " x", "en", "a", None), (3, None, "en", "a", 0)]
-    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            assert out.count() >= 0
-            docs = out
+    long = " ".join(f"word{i}" for i in range(200_000)) + " mail a@b.cd"
+    fill = (None, 1, 2, 3, "s", "k", "w")
+    rows = [(1, good, None, None, 1), (1, good, None, None, 1), (None, "y " + good + " x z", "en", "a", None), (3, None, "en", "a", 0), (4, long, "en", "a", len(long)), (5, long.upper(), "en", "b", 1)]
+    spark.conf.set(pii.KEY, KEY.decode())
+    empty, docs = spark.createDataFrame([], schema), spark.createDataFrame([(*r, *fill) for r in rows], schema)
+    counts, texts = [], []
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+        docs = stage(spark, docs, SF).persist()
+        assert empty.count() == 0
+        if name != "pack":
+            assert docs.columns == empty.columns == [x.split()[0] for x in schema.split(", ")]
+            got = docs.collect()
+            assert all((r["text_"], r["rank"], r["kept"]) == (None, 1, "k") for r in got)
+            counts.append(len(got))
+            texts.append({r["doc_id"]: r["text"] for r in got})
+    spark.conf.unset(pii.KEY)
+    assert counts[0] == 5 and 3 not in texts[0]  # the null text has no words
+    assert counts[1] == 3 and set(texts[1]) == {1, None, 4}  # the repeated row and the text in capitals go
+    assert counts[2] == 3 and texts[2][4][:-11] == long[:-11] and "a@b.cd" not in texts[2][4] and texts[2][1] == good
+    pieces = docs.collect()
+    assert set(texts[3]) <= {1, None, 4} and {r["doc_id"] for r in pieces} == set(texts[3])
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 4) == sum(r["doc_tokens"] for r in pieces if r["doc_id"] == 4 and r["start"] == 0)
