@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import mixing, packing, pii, quality, simhash
 from skyloom.llm.text import read, word_count
-from skyloom.plans.shared import materialize
+from skyloom.plans.shared import discard, materialize, settled
 
 ORACLE_SQL = None  # XXH64, keyed surrogates and tokenisation are beyond SQL
 
@@ -61,9 +61,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. What a stage has written on its way is deleted once its result is written."""
     out = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, out, sf_dir)
-        if k < len(STAGES) - 1:
-            out = materialize(out, name)
+    for name, stage in STAGES:
+        before = out
+        out = settled(lambda: stage(spark, before, sf_dir), name)
+        discard(before)
     return out
