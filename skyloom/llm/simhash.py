@@ -18,8 +18,8 @@ now with segments of one bit. Each split takes at least two fifths off what is l
 14 bits it ends, where a cell holds 2**14 fingerprints at most. Equal fingerprints are one
 node from the start.
 
-The number of blocks follows the number of fingerprints, so that cells of independent
-fingerprints hold few; what is connected does not depend on it.
+There are at least d + 3 blocks, more where cells of independent fingerprints would hold more
+than ``EXPECTED``; what is connected does not depend on it.
 
 ``near_duplicates`` is that of one fingerprint over three-word shingles and two bits.
 
@@ -150,7 +150,7 @@ def _parts(bits: list[int], n: int) -> list[int]:
 
 def layout(count: int, distance: int) -> list[tuple[int, int]]:
     """(bits that agree, bits left out) for each kind of cell, for so many fingerprints."""
-    m = next((m for m in range(distance + 2, 12) if count <= EXPECTED * 2 ** (48 * (m - distance) / m)), 12)
+    m = next((m for m in range(distance + 3, 12) if count <= EXPECTED * 2 ** (48 * (m - distance) / m)), 12)
     segments = _parts(list(range(32)), m)
     blocks = [sum(3 << 2 * s for s in range(32) if x >> s & 1) for x in segments]
     full = (1 << 64) - 1
