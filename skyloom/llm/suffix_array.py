@@ -22,24 +22,19 @@ PREFIX = 32
 _SHIFT = np.array([next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)], dtype=np.int64)
 
 
-def _words(padded: np.ndarray, at: np.ndarray, size: int = PREFIX) -> np.ndarray:
-    """Big-endian words of the ``size`` bytes from each position: their order is that of the bytes."""
-    rows = np.lib.stride_tricks.sliding_window_view(padded, size)[at]
-    return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+def _keys(padded: np.ndarray, at: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The leading bytes from each position and a number behind them, as strings of one width: their order is that of bytes, then numbers."""
+    out = np.empty((len(at), PREFIX + 8), np.uint8)
+    out[:, :PREFIX] = np.lib.stride_tricks.sliding_window_view(padded, PREFIX)[at]
+    out[:, PREFIX:] = tail.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view(f"S{PREFIX + 8}")[:, 0]
 
 
-def _order(keys: list[np.ndarray]) -> np.ndarray:
-    """Stable order by the first key, then the next."""
-    return np.lexsort(keys[::-1])
-
-
-def _names(keys: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+def _names(keys: np.ndarray) -> tuple[np.ndarray, bool]:
     """Ranks from 1 on, equal for equal keys, and whether all differ."""
-    order = _order(keys)
+    order = np.argsort(keys)
     new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new) + 1
     return out, bool(new[1:].all())
@@ -63,12 +58,11 @@ def cover_ranks(padded: np.ndarray, n: int, depth: int | None = None, need: np.n
     ranks = np.zeros(n + 2 * PERIOD + PREFIX, np.int64)
     if not len(at):
         return ranks
-    words = _words(padded, at)
-    names, distinct = _names([*(words[:, k] for k in range(words.shape[1])), np.minimum(n - at, PREFIX)])
+    names, distinct = _names(_keys(padded, at, np.minimum(n - at, PREFIX)))
     ranks[at] = names
     reach = PERIOD
     while not distinct and reach < (depth or n):
-        names, distinct = _names([ranks[at], ranks[np.minimum(at + reach, len(ranks) - 1)]])
+        names, distinct = _names(ranks[at] * (len(at) + 1) + ranks[np.minimum(at + reach, len(ranks) - 1)])
         ranks[at] = names
         reach *= 2
     return ranks
@@ -87,12 +81,11 @@ def sort_suffixes(text: np.ndarray, at: np.ndarray, depth: int | None = None, bu
     out = []
     for part in _buckets(lead, bucket):
         mine = at[part]
-        words = _words(padded, mine)
         residue = mine % PERIOD
-        order = _order([*(words[:, k] for k in range(words.shape[1])), residue, ranks[mine + _SHIFT[residue]]])
+        order = np.argsort(_keys(padded, mine, residue << 40 | ranks[mine + _SHIFT[residue]]))
         mine = mine[order]
         if depth is None:
-            mine = _merge_residues(padded, mine, words[order], ranks, n)
+            mine = _merge_residues(padded, mine, ranks)
         out.append(mine)
     return np.concatenate(out) if out else at[:0]
 
@@ -109,13 +102,14 @@ def _buckets(lead: np.ndarray, most: int):
             start = end
 
 
-def _merge_residues(padded: np.ndarray, mine: np.ndarray, words: np.ndarray, ranks: np.ndarray, n: int) -> np.ndarray:
+def _merge_residues(padded: np.ndarray, mine: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Within runs that agree on the prefix, merges the residues by their common shift into the sample."""
     import functools
 
-    tied = np.ones(len(mine), bool)
-    tied[1:] = (words[1:] == words[:-1]).all(1)
-    starts = np.flatnonzero(~tied | (np.arange(len(mine)) == 0))
+    lead = np.lib.stride_tricks.sliding_window_view(padded, PREFIX)[mine]
+    tied = np.zeros(len(mine), bool)
+    tied[1:] = (lead[1:] == lead[:-1]).all(1)
+    starts = np.flatnonzero(~tied)
     ends = np.append(starts[1:], len(mine))
 
     def compare(i, j):

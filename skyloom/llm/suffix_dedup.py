@@ -50,7 +50,7 @@ BATCH_BYTES = 8 << 20
 PART_ANCHORS = 1 << 18
 #: Bytes of text per anchor, on average: half a window of grams.
 SPACING = 16
-_CHUNK = 1 << 22
+_CHUNK = 1 << 16
 _ROWS = 1 << 16
 _PAD = 0xFF  # in no UTF-8 text
 _LAST = np.iinfo(np.int64).max
@@ -320,7 +320,8 @@ def classes(rows: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarr
     strings = np.lib.stride_tricks.sliding_window_view(text, length)
     for a in range(0, len(at) - 1, 1 << 17):
         b = min(len(at) - 1, a + (1 << 17))
-        same[a + 1 : b + 1] = (strings[at[a:b]] == strings[at[a + 1 : b + 1]]).all(1)
+        near = strings[at[a : b + 1]]
+        same[a + 1 : b + 1] = (near[1:] == near[:-1]).all(1)
     heads = np.flatnonzero(~same)
     least = np.minimum.reduceat(low[at // wide], heads)
     out[at // wide, at % wide] = np.repeat(least, np.diff(np.append(heads, len(at))))
