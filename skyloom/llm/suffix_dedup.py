@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.suffix_array import PERIOD, sort_suffixes
-from skyloom.llm.text import read
+from skyloom.llm.text import read, tidy
 from skyloom.plans.shared import delete, discard, materialize, shared_dir
 
 NAME = "op6_difference_cover_dedup"
@@ -234,6 +234,22 @@ class Batch:
         return low, high
 
 
+def _tidied(run, sides: int):
+    """``run`` of a key and one or two tables, which leaves the worker small."""
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        out = run(key, table)
+        tidy()
+        return out
+
+    def two(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(key, left, right)
+        tidy()
+        return out
+
+    return one if sides == 1 else two
+
+
 _ANCHORS = "batch int, part int, codes binary, several binary"
 _BITS = "batch int, part int, kind int, answer binary"
 _CONTEXTS = "batch int, part int, contexts binary, low binary, high binary, first binary, last binary"
@@ -436,13 +452,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     try:
         spread.repartition(buckets, "batch").write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", path).saveAsTable(name)
         table = spark.table(name)
-        anchors = table.groupBy("batch").applyInArrow(_anchor_rows(parts, length, gram), _ANCHORS)
-        bits = materialize(anchors.groupBy("part").applyInArrow(_answer_anchors, _BITS), "bits")
-        sent = table.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_context_rows(parts, length, gram), _CONTEXTS)
-        masks = materialize(sent.groupBy("part").applyInArrow(_answer_contexts(length, gram), _BITS), "masks")
+        anchors = table.groupBy("batch").applyInArrow(_tidied(_anchor_rows(parts, length, gram), 1), _ANCHORS)
+        bits = materialize(anchors.groupBy("part").applyInArrow(_tidied(_answer_anchors, 1), _BITS), "bits")
+        sent = table.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_tidied(_context_rows(parts, length, gram), 2), _CONTEXTS)
+        masks = materialize(sent.groupBy("part").applyInArrow(_tidied(_answer_contexts(length, gram), 1), _BITS), "masks")
         both = bits.unionByName(masks)
         finish, schema = (_texts, "doc_id long, kept binary, spans array<array<long>>") if texts else (_results, _RESULT)
-        out = materialize(table.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(finish(parts, length, gram), schema), "deduplicated")
+        out = materialize(table.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(_tidied(finish(parts, length, gram), 2), schema), "deduplicated")
         discard(bits)
         discard(masks)
     finally:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +27,17 @@ def word_count(text: Column) -> Column:
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not every C library has it
+        return lambda _: 0
+
+
+def tidy() -> None:
+    """Gives back to the system what batches of texts have freed: workers that wait for the next task stay small."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
