@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.text import read
+from skyloom.llm.text import read, tidy
 
 NAME = "op2_cost_balanced_packing"
 ORACLE_SQL = None  # tokenisation and the heap of costs are beyond SQL
@@ -141,8 +141,10 @@ def _packer(id_type: pa.DataType, ranks_file: str | None, vocabulary_file: str |
                 tokens += len(streams[-1])
                 if tokens >= block_tokens:
                     yield flush()
+            tidy()
         if streams:
             yield flush()
+        tidy()
 
     return run
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.text import read
+from skyloom.llm.text import read, tidy
 from skyloom.plans.shared import materialize
 
 NAME = "op3_pii_surrogates"
@@ -339,6 +339,7 @@ def _mentions(text: str, start: int, end: int, words: dict[str, str]) -> list[tu
 
 def _replaced(key: bytes, with_entities: bool):
     def run(text: pa.Array) -> pa.Array:
+        tidy()
         new, many, found = [], [], []
         for t in text:
             t = t.as_py()
@@ -350,6 +351,8 @@ def _replaced(key: bytes, with_entities: bool):
         if with_entities:
             cols.append(pa.array(found, pa.list_(pa.struct([(c, pa.string()) for c in ("kind", "entity", "surrogate")]))))
             names.append("entities")
+        del new, found
+        tidy()
         return pa.StructArray.from_arrays(cols, names=names)
 
     return run

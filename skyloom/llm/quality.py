@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyloom.llm.text import read
+from skyloom.llm.text import read, tidy
 from skyloom.plans.shared import materialize
 
 NAME = "op4_adaptive_quality"
@@ -90,7 +90,10 @@ def counts(text: str | None) -> tuple:
 
 def _counted(text: pa.Array) -> pa.Array:
     rows = zip(*(counts(t.as_py()) for t in text)) if len(text) else [[]] * len(_COUNTS)
-    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in rows], fields=list(_STRUCT))
+    out = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in rows], fields=list(_STRUCT))
+    del rows
+    tidy()
+    return out
 
 
 def text_counts(text: Column) -> Column:

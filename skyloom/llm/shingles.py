@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.text import tidy
 from skyloom.plans.shared import materialize
 
 SHINGLE = 5
@@ -64,6 +65,7 @@ def _with_sets(batches):
             part = batch.slice(a, 256)
             made = pa.array([shingle_set(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), made], names=["sig", "s"])
+        tidy()
 
 
 def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.llm import shingles
-from skyloom.llm.text import read
+from skyloom.llm.text import read, tidy
 from skyloom.operators.components import connected_components
 from skyloom.plans.shared import materialize, settled
 
@@ -256,7 +256,10 @@ def _printed(prints: int):
             sig.append(shingles.signature(found))
             n.append(len(found))
             fps.append(prints_of(hashes, counts, prints))
-        return pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["sig", "n", "fps"])
+        out = pa.StructArray.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.list_(pa.int64()))], names=["sig", "n", "fps"])
+        del fps
+        tidy()
+        return out
 
     return run
 
