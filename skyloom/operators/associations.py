@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.sphere import finite
+from skyloom.functions.sphere import finite, position_key
 from skyloom.functions.text import clean, first_id
 from skyloom.operators.match import Match
 
@@ -121,7 +121,7 @@ def select_classes(meta: DataFrame, rows: DataFrame, classes: Sequence[str], ran
 def from_match(found: Match, spec: AssociationSpec, ref_id: str = "ref_id") -> DataFrame:
     """Associations of the rows with exactly one counterpart."""
     has = [c for c in (*spec.id_columns, *spec.class_columns) if c in found.footprint.columns]
-    name = first_id(*[F.col(c) for c in spec.id_columns if c in has], F.format_string("%.6f,%.6f", F.col("RA"), F.col("DEC")))
+    name = first_id(*[F.col(c) for c in spec.id_columns if c in has], position_key("RA", "DEC"))
     native = first_id(*[F.col(c) for c in spec.class_columns if c in has], F.lit(spec.catalog))
     ref = found.footprint.select(F.col(ref_id).alias("__ref"), name.alias("ref_id"), finite("RA").alias("ref_ra"), finite("DEC").alias("ref_dec"), native.alias("class_native"), *([F.col(spec.detail_column).alias("class_native_detail")] if spec.detail_column and spec.detail_column in found.footprint.columns else []))
     links = found.edges.groupBy("base_id").agg(F.count(F.lit(1)).alias("n_ref"), F.min("ref_id").alias("__ref"), F.min("sep_deg").alias("sep")).where("n_ref = 1")
@@ -135,7 +135,7 @@ def from_attach(meta: DataFrame, survey: str) -> DataFrame:
     rows = meta.where(F.col(f"n_assoc_{survey}") == 1)
     from skyloom.functions.sphere import separation
 
-    return rows.select("meta_id", F.lit(survey).alias("catalog"), F.format_string("%.6f,%.6f", ra, dec).alias("ref_id"), ra.alias("ref_ra"), dec.alias("ref_dec"), F.lit(survey).alias("class_native"), (separation("RA", "DEC", ra, dec) * 3600).alias("sep_arcsec"), F.lit(1).cast("long").alias("n_ref"))
+    return rows.select("meta_id", F.lit(survey).alias("catalog"), position_key(ra, dec).alias("ref_id"), ra.alias("ref_ra"), dec.alias("ref_dec"), F.lit(survey).alias("class_native"), (separation("RA", "DEC", ra, dec) * 3600).alias("sep_arcsec"), F.lit(1).cast("long").alias("n_ref"))
 
 
 def replace_catalog(old: DataFrame, new: DataFrame, catalog: str) -> DataFrame:
