@@ -159,7 +159,8 @@ def class_table(rows: DataFrame) -> DataFrame:
     return harmonize(rows).groupBy("catalog").pivot("class_harmonized", labels).count().na.fill(0)
 
 
-def join_unique(meta: DataFrame, rows: DataFrame, catalog: str, columns: Sequence[str]) -> DataFrame:
-    """The columns of a catalogue's first association of each row (by ref_id)."""
-    first = rows.where(F.col("catalog") == catalog).groupBy("meta_id").agg(F.min_by(F.struct(*columns), "ref_id").alias("r")).select("meta_id", "r.*")
+def join_unique(meta: DataFrame, rows: DataFrame, catalog: str, columns: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """The columns of a catalogue's first association of each row (by ref_id, then by ``ties``)."""
+    order = F.when(F.col("ref_id").isNotNull(), F.struct("ref_id", *ties))
+    first = rows.where(F.col("catalog") == catalog).groupBy("meta_id").agg(F.min_by(F.struct(*columns), order).alias("r")).select("meta_id", "r.*")
     return meta.join(first, "meta_id", "left")

@@ -32,3 +32,16 @@ def test_vlssr_text_keeps_all_digits(spark, tmp_path):
     """A right ascension just below a half at the fourth place, found among larger keys."""
     got, want = against_sql(spark, tmp_path, "survey_vlssr", customer="SELECT unnest([406176, 705004, 200740, 457502, 1]) AS c_custkey, 711.56::DOUBLE AS c_acctbal, 'MACHINERY' AS c_mktsegment")
     assert got == want and len(got) == 5
+
+
+_ORDERS = "SELECT k AS o_orderkey, k AS o_custkey, 1000.0::DOUBLE * k AS o_totalprice, '1-URGENT' AS o_orderpriority FROM range(1, 60) t(k)"
+
+
+def _lines(number):
+    """Each order has one part three times, in falling and rising quantities, and parts that come later."""
+    return f"SELECT k AS l_orderkey, {number}::INT AS l_linenumber, 1000 + p // 3 AS l_partkey, k AS l_suppkey, CASE WHEN k % 2 = 0 THEN 9 - p ELSE 1 + p END::DOUBLE AS l_quantity FROM range(1, 50) t(k), range(6) u(p) ORDER BY p, k"
+
+
+def test_xray_of_an_id_given_twice(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "unique_xray_joined", orders=_ORDERS, lineitem=_lines(2))
+    assert got == want and len(got) == 59
