@@ -30,25 +30,23 @@ def gather(columns: Sequence[str], bands: Sequence[str], flux: str = "Total_flux
     The origin band falls back to the columns without a suffix. An error that is missing
     or negative is null. With ``unconfused_only`` a band counts if one row claims its source.
     """
+    have = lambda c: F.col(c).cast("double") if c in columns else F.lit(None).cast("double")
     points = []
     for b in bands:
         nu = B.frequency_hz(b)
         if not nu:
             continue
         own = F.col("origin_band") == b if "origin_band" in columns else F.lit(False)
-        value = positive(f"{flux}_{b}") if f"{flux}_{b}" in columns else F.lit(None).cast("double")
-        error = finite(f"E_{flux}_{b}") if f"E_{flux}_{b}" in columns else F.lit(None).cast("double")
-        error = F.when(error >= 0, error)
-        if flux in columns:
-            value = F.coalesce(value, F.when(own, positive(flux)))
-        if f"E_{flux}" in columns:
-            error = F.coalesce(error, F.when(own & (finite(f"E_{flux}") >= 0), finite(f"E_{flux}")))
-        ok = value.isNotNull()
-        if unconfused_only:
-            name = "n_confused_GLEAM" if b in B.GLEAM_BANDS else f"n_confused_{b}"
-            ok = ok & F.coalesce(F.col(name) == 1, F.lit(False)) if name in columns else F.lit(False)
-        points.append(F.when(ok, F.struct(F.lit(nu).alias("nu"), value.alias("s"), error.alias("e"), F.lit(b).alias("band"))))
-    return F.array_compact(F.array(*points))
+        name = "n_confused_GLEAM" if b in B.GLEAM_BANDS else f"n_confused_{b}"
+        one = F.coalesce(F.col(name) == 1, F.lit(False)) if name in columns else F.lit(False)
+        values = [F.lit(nu).alias("nu"), have(f"{flux}_{b}").alias("s"), F.when(own, have(flux)).alias("s0"), have(f"E_{flux}_{b}").alias("e"), F.when(own, have(f"E_{flux}")).alias("e0")]
+        points.append(F.struct(*values, F.lit(b).alias("band"), (one if unconfused_only else F.lit(True)).alias("ok")))
+    if not points:
+        return F.array_compact(F.array())
+    # Each column is named once: tests that repeat it would repeat, in every use of the array, the expressions that it stands for.
+    error = lambda x: F.when(finite(x) >= 0, finite(x))
+    kept = lambda p: F.struct(p["nu"].alias("nu"), F.coalesce(positive(p["s"]), positive(p["s0"])).alias("s"), F.coalesce(error(p["e"]), error(p["e0"])).alias("e"), p["band"].alias("band"))
+    return F.filter(F.transform(F.filter(F.array(*points), lambda p: p["ok"]), kept), lambda p: p["s"].isNotNull())
 
 
 def fit_batch(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray, max_terms: int = MAX_TERMS) -> dict[str, np.ndarray]:

@@ -50,3 +50,9 @@ def test_xray_of_an_id_given_twice(spark, tmp_path):
 def test_luminosity_of_an_id_given_twice(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "luminosity_pairs", orders=_ORDERS, lineitem=_lines(1))
     assert got == want and len(got) == 49
+
+
+def test_outer_indices_name_each_column_a_few_times(spark):
+    """The plan does not repeat the expressions of the fluxes in every test of them."""
+    plan = catalog.queries()["outer_spectral_indices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") < 60
