@@ -28,8 +28,9 @@ shingles, linked at a Jaccard similarity of 0.8 or more. One fingerprint of such
 no help there: an edited word changes five shingles, and similar texts are nine bits apart.
 So the candidates come from ``PRINTS`` fingerprints over single words, weighed by the
 logarithm of their count, and the range join above in each of them; then each candidate is
-verified exactly on its shingles. Candidates are the links of the range join, and links of
-texts that share a fingerprint to the first of these, so their number grows with the texts.
+verified exactly on its shingles. Candidates are all pairs of texts that are at most ``WIDE``
+bits apart in one of them: links that merely span a cell would lose similar texts, since the
+verification breaks chains. Their number grows with the square of a group of near copies.
 The README tells the recall.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like
@@ -198,13 +199,29 @@ def _spanned(distance: int):
     return run
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
-    """Links (k, src, dst), src above dst, of at most ``distance`` bits that connect all distinct (``k``, ``fp``) that such links of one k connect."""
+def _near(distance: int):
+    def run(cells: pa.Array) -> pa.Array:
+        out = []
+        for cell in cells:
+            fps = np.sort(np.asarray(cell.values, np.int64))
+            own = fps.view(np.uint64)
+            near = ((k, np.flatnonzero(np.bitwise_count(own[k + 1 :] ^ own[k]) <= distance) + k + 1) for k in range(len(fps)))
+            out.append([{"src": int(b), "dst": int(fps[k])} for k, found in near for b in fps[found]])
+        return pa.array(out, pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64())])))
+
+    return run
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE, whole: bool = False) -> DataFrame:
+    """Links (k, src, dst), src above dst, of at most ``distance`` bits that connect all distinct (``k``, ``fp``) that such links of one k connect.
+
+    With ``whole`` these are all links of so few bits: what is tested once more must not stand on a chain, which that test may break.
+    """
     spark = nodes.sparkSession
     most = nodes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     kinds = layout(most or 0, distance)
     every = f"explode(flatten(transform(l, a -> transform(filter(l, b -> b.fp > a.fp and bit_count(a.t ^ b.t) <= {distance} and bit_count(a.fp ^ b.fp) <= {distance}), b -> struct(b.fp as src, a.fp as dst)))))"
-    spanned = F.arrow_udf(_spanned(distance), "array<struct<src:long,dst:long>>")
+    spanned = F.arrow_udf((_near if whole else _spanned)(distance), "array<struct<src:long,dst:long>>")
     t = _thermometer(F.col("fp"))
     rows = nodes.select("k", "fp", F.posexplode(F.array(*[t.bitwiseAND(_mask(agree)) for agree, _ in kinds])).alias("kind", "cell"))
     found = None
@@ -265,14 +282,13 @@ def _printed(prints: int):
 
 
 def candidates(nodes: DataFrame, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
-    """Pairs (src, dst) of nodes (sig, n, fps) to verify: no more than a few for each fingerprint of each."""
+    """Pairs (src, dst) of nodes (sig, n, fps) to verify: all that are at most ``distance`` bits apart in one of their fingerprints."""
     members = materialize(nodes.where("n > 0").select(F.struct("sig", "n").alias("m"), F.posexplode("fps").alias("k", "fp")), "members")
-    first = materialize(members.groupBy("k", "fp").agg(F.min("m").alias("first")), "first")
-    stars = members.join(first, ["k", "fp"]).where("m <> first").select(F.col("m").alias("x"), F.col("first").alias("y"))
-    close = links(first.select("k", "fp"), distance, dense)
-    end = lambda fp, name: first.select("k", F.col("fp").alias(fp), F.col("first").alias(name))
+    end = lambda fp, name: members.select("k", F.col("fp").alias(fp), F.col("m").alias(name))
+    alike = end("fp", "x").join(end("fp", "y"), ["k", "fp"]).where("x.sig > y.sig").select("x", "y")
+    close = materialize(links(members.select("k", "fp").distinct(), distance, dense, whole=True), "close")
     linked = close.join(end("src", "x"), ["k", "src"]).join(end("dst", "y"), ["k", "dst"]).select("x", "y")
-    pairs = stars.unionByName(linked).where("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")  # else 0.8 is out of reach
+    pairs = alike.unionByName(linked).where("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")  # else 0.8 is out of reach
     return pairs.select(F.greatest("x.sig", "y.sig").alias("src"), F.least("x.sig", "y.sig").alias("dst")).distinct()
 
 

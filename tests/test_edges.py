@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 
 from skyloom.functions import sphere as S
+from skyloom.llm import simhash
 from skyloom.operators import reliability
 from skyloom.plans import catalog
 
@@ -75,3 +76,13 @@ def test_near_bright_by_rounds(spark):
         got = [r["id"] for r in reliability.near_bright(rows, "id", first=first).collect()]
         assert sorted(got) == np.flatnonzero(want).tolist() and 50 < len(got) < n
     assert reliability.near_bright(rows.limit(0), "id").count() == 0
+
+
+def test_all_pairs_within_two_bits_are_verified(spark):
+    """A group larger than a cell that sends all its links, with equal fingerprints of unlike texts."""
+    fps = [0b11 << 2 * (k % 12) if k % 3 else 1 << k % 5 for k in range(40)] + [(1 << 40) - 1]
+    rows = [(k, 100 + k % 30, [fp, fp ^ (k % 2) * 0xFFFF0000]) for k, fp in enumerate(fps)]
+    near = lambda a, b: any((x ^ y).bit_count() <= simhash.WIDE for x, y in zip(a[2], b[2])) and 5 * min(a[1], b[1]) >= 4 * max(a[1], b[1])
+    for dense in (simhash.DENSE, 12):
+        got = sorted(map(tuple, simhash.candidates(spark.createDataFrame(rows, "sig long, n int, fps array<long>"), dense=dense).collect()))
+        assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and near(a, b))
