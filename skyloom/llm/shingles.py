@@ -7,6 +7,8 @@ least 0.8.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,6 +20,8 @@ from skyloom.plans.shared import materialize
 
 SHINGLE = 5
 SEED = 42
+#: Shingles of a group that meet in one task; larger groups are dealt to blocks of about so many.
+BLOCK = 1 << 18
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -59,22 +63,82 @@ def signature(found: np.ndarray) -> int:
 
 
 def _with_sets(batches):
-    """(sig, s) of rows (sig, text), some hundred at a time."""
+    """(sig, s, g, blocks) of rows (sig, text, g, blocks), some hundred at a time."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
             made = pa.array([shingle_set(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), made], names=["sig", "s"])
+            yield pa.RecordBatch.from_arrays([part.column(0), made, part.column(2), part.column(3)], names=["sig", "s", "g", "blocks"])
         tidy()
 
 
-def similar(pairs: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (src, dst) whose sets have a similarity of at least 0.8; ``named`` has a row of ``texts`` for every node."""
-    pairs = materialize(pairs, "candidates")
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("sig")).distinct()
-    rows = named.join(nodes, "sig", "left_semi")
-    found = texts.join(rows.hint("shuffle_hash"), ["__id", "__h"]).dropDuplicates(["sig"]).select("sig", "text")
-    made = materialize(found.mapInArrow(_with_sets, "sig long, s array<long>"), "sets")
-    a, b = (made.select(F.col("sig").alias(side), F.col("s").alias(s)) for side, s in (("src", "sa"), ("dst", "sb")))
-    both = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
-    return materialize(both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("src", "dst"), "similar")
+def forest(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, within: bool) -> list[tuple[int, int]]:
+    """Links that connect what links of a similarity of at least 0.8 connect, one fewer than texts at most; across the sides alone, or within the one side."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sigs, sides, sets = sigs[order], sides[order], [sets[i] for i in order]
+    n = np.array([len(s) for s in sets], np.int64)
+    starts, last = np.concatenate(([0], np.cumsum(n))), np.searchsorted(4 * n, 5 * n, side="right")  # else 0.8 is out of reach
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    mark, root, out = np.zeros(ids.max() + 1, np.int32), np.arange(len(n)), []
+    for i in range(len(n)):
+        a, z = i + 1, int(last[i])
+        open_ = root[a:z] != root[i]
+        found = np.flatnonzero(open_ if within else open_ & (sides[a:z] != sides[i])) + a
+        if not len(found):
+            continue
+        a, z = int(found[0]), int(found[-1]) + 1
+        mark[ids[starts[i] : starts[i + 1]]] = 1
+        both = np.add.reduceat(mark[ids[starts[a] : starts[z]]], starts[a:z] - starts[a])[found - a]
+        mark[ids[starts[i] : starts[i + 1]]] = 0
+        hits = found[9 * both.astype(np.int64) >= 4 * (n[i] + n[found])]
+        joined, first = np.unique(root[hits], return_index=True)
+        out += [(int(sigs[i]), int(sigs[j])) for j in hits[first]]
+        root[np.isin(root, joined)] = root[i]
+    return out
+
+
+def _forests(batches):
+    """Links of the rows (g, low, high, side, sig, s), sorted, of each (g, low, high)."""
+    kind = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    now, held = None, []
+
+    def made():
+        sides, sigs, sets = (list(chain.from_iterable(part)) for part in zip(*held))
+        pairs = forest(np.array(sigs, np.int64), sets, np.array(sides, np.int64), now[1] == now[2])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=kind)
+
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(edges, edges[1:]):
+            if a == z:
+                continue
+            key = tuple(keys[a].tolist())
+            if now is not None and key != now:
+                yield made()
+                held = []
+            now, part = key, batch.column(5).slice(a, z - a)
+            cuts, flat = np.asarray(part.offsets) - part.offsets[0].as_py(), np.asarray(part.flatten())
+            own = [flat[b:e].copy() for b, e in zip(cuts, cuts[1:])]  # a view would keep the whole batch
+            held.append((batch.column(3).slice(a, z - a).to_pylist(), batch.column(4).slice(a, z - a).to_pylist(), own))
+    if held:
+        yield made()
+    held.clear()
+    tidy()
+
+
+def similar(grouped: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (src, dst) that connect what links of a similarity of at least 0.8 within a group connect.
+
+    ``grouped`` has for each node (sig, n, g) the ``__id`` and ``__h`` of a row of ``texts``.
+    All pairs of a group are compared, but never made rows: a group of more than ``block``
+    shingles is dealt to blocks, and each pair of blocks returns a forest.
+    """
+    blocks = grouped.groupBy("g").agg(F.ceil(F.sum(F.col("n").cast("long")) / F.lit(block)).cast("long").alias("blocks"))
+    rows = grouped.join(blocks, "g").select("sig", "__id", "__h", "g", "blocks")
+    found = texts.join(rows.hint("shuffle_hash"), ["__id", "__h"]).dropDuplicates(["sig"]).select("sig", "text", "g", "blocks")
+    made = found.mapInArrow(_with_sets, "sig long, s array<long>, g long, blocks long").withColumn("side", F.expr("pmod(sig, blocks)"))
+    pairs = F.expr("explode(transform(sequence(0L, blocks - 1), o -> struct(least(o, side) as low, greatest(o, side) as high)))")
+    met = made.select("g", pairs.alias("p"), "side", "sig", "s").select("g", "p.low", "p.high", "side", "sig", "s")
+    met = met.repartition("g", "low", "high").sortWithinPartitions("g", "low", "high")
+    return materialize(met.mapInArrow(_forests, "src long, dst long"), "similar")

@@ -27,10 +27,11 @@ than ``EXPECTED``; what is connected does not depend on it.
 shingles, linked at a Jaccard similarity of 0.8 or more. One fingerprint of such shingles is
 no help there: an edited word changes five shingles, and similar texts are nine bits apart.
 So the candidates come from ``PRINTS`` fingerprints over single words, weighed by the
-logarithm of their count, and the range join above in each of them; then each candidate is
-verified exactly on its shingles. Candidates are all pairs of texts that are at most ``WIDE``
-bits apart in one of them: links that merely span a cell would lose similar texts, since the
-verification breaks chains. Their number grows with the square of a group of near copies.
+logarithm of their count, and the range join above in each of them: what links of at most
+``WIDE`` bits in any of them connect is a group. All pairs of a group are then compared
+exactly on their shingles, however many bits apart, but inside the tasks, which return
+verified links that span what they hold: no pairs become rows, and no chain of links is
+broken by the verification, as it would be if only links that span a cell were verified.
 The README tells the recall.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like
@@ -282,7 +283,10 @@ def _printed(prints: int):
 
 
 def candidates(nodes: DataFrame, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
-    """Pairs (src, dst) of nodes (sig, n, fps) to verify: all that are at most ``distance`` bits apart in one of their fingerprints."""
+    """Pairs (src, dst) of nodes (sig, n, fps) to verify: all that are at most ``distance`` bits apart in one of their fingerprints.
+
+    As many as the square of a group of near copies: :func:`filter_documents` takes :func:`groups` instead.
+    """
     members = materialize(nodes.where("n > 0").select(F.struct("sig", "n").alias("m"), F.posexplode("fps").alias("k", "fp")), "members")
     end = lambda fp, name: members.select("k", F.col("fp").alias(fp), F.col("m").alias(name))
     alike = end("fp", "x").join(end("fp", "y"), ["k", "fp"]).where("x.sig > y.sig").select("x", "y")
@@ -292,7 +296,18 @@ def candidates(nodes: DataFrame, distance: int = WIDE, dense: int = DENSE) -> Da
     return pairs.select(F.greatest("x.sig", "y.sig").alias("src"), F.least("x.sig", "y.sig").alias("dst")).distinct()
 
 
-def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = PRINTS, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
+def groups(nodes: DataFrame, distance: int = WIDE, dense: int = DENSE) -> DataFrame:
+    """(node, component) of nodes (sig, n, fps) that pairs of at most ``distance`` bits in one of their fingerprints connect; nodes without such a pair are left out."""
+    members = materialize(nodes.where("n > 0").select("sig", F.posexplode("fps").alias("k", "fp")), "members")
+    held = materialize(members.groupBy("k", "fp").agg(F.min("sig").alias("low")), "held")
+    end = lambda fp, name: held.select("k", F.col("fp").alias(fp), F.col("low").alias(name))
+    alike = members.join(held, ["k", "fp"]).where("sig > low").select(F.col("sig").alias("src"), F.col("low").alias("dst"))
+    close = links(held.select("k", "fp"), distance, dense)
+    near = close.join(end("src", "x"), ["k", "src"]).join(end("dst", "y"), ["k", "dst"]).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    return connected_components(alike.unionByName(near))
+
+
+def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = PRINTS, distance: int = WIDE, dense: int = DENSE, block: int = shingles.BLOCK) -> DataFrame:
     """One row of each group of documents of similar wording, that of the smallest id, with all its columns.
 
     Of repeated rows of that id and text one is kept. Texts are shuffled once; shingles are
@@ -305,9 +320,9 @@ def filter_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = materialize(found.select("rank", "x.*"), "prints")
     nodes = found.groupBy("sig").agg(F.min("rank").alias("own"), F.first("n").alias("n"), F.min_by("fps", "rank").alias("fps"))
     nodes = materialize(nodes, "nodes")
-    named = nodes.select("sig", F.col("own.__id").alias("__id"), F.col("own.__h").alias("__h"))
-    texts = rows.select("__id", "__h", body.alias("text"))
-    linked = shingles.similar(candidates(nodes, distance, dense), named, texts)
+    named = nodes.select(F.col("sig").alias("node"), "n", F.col("own.__id").alias("__id"), F.col("own.__h").alias("__h"))
+    grouped = materialize(groups(nodes, distance, dense).join(named, "node").select(F.col("node").alias("sig"), "n", F.col("component").alias("g"), "__id", "__h"), "grouped")
+    linked = shingles.similar(grouped, rows.select("__id", "__h", body.alias("text")), block)
     joined = nodes.join(connected_components(linked), F.col("sig") == F.col("node"), "left").select("own", F.coalesce("component", "sig").alias("root"))
     first = joined.groupBy("root").agg(F.min("own").alias("own"))
     counts = found.groupBy("rank").agg(F.count(F.lit(1)).alias("__n"))

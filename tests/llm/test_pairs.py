@@ -232,6 +232,53 @@ def test_a_large_group_of_near_copies(spark):
     assert kept == {0, *range(1000, 1050)}
 
 
+def test_no_table_holds_the_pairs_of_a_group(spark, monkeypatch):
+    """What near copies make on the way grows with their number, not with its square."""
+    from skyloom.llm import shingles
+    from skyloom.operators import components
+    from skyloom.plans.shared import materialize
+
+    written = {}
+
+    def spy(df, label="t"):
+        out = materialize(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    for module in (simhash, shingles, components):
+        monkeypatch.setattr(module, "materialize", spy)
+    words = [f"w{i}" for i in range(120)]
+    n = 500
+    rows = [(k, " ".join([*words[: k % 100], f"n{k}", *words[k % 100 :]])) for k in range(n)]
+    assert [r["doc_id"] for r in simhash.filter_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    most = max(written.items(), key=lambda x: x[1])
+    cells = simhash.PRINTS * len(simhash.layout(n, simhash.WIDE))
+    assert written["similar"] < n and most[1] <= n * cells, most
+    assert all(rows <= n * simhash.PRINTS * 2 for label, rows in written.items() if label != "cells"), written
+
+
+@pytest.mark.parametrize("block", [1 << 18, 3000])
+def test_groups_are_compared_as_a_whole(spark, block):
+    """As brute force over all pairs of what near fingerprints connect, in one block or dealt to many."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    rows = [*_edited()[:120]]
+    for k in range(90):  # one group of wide similarity, its sizes on both sides of the ratio
+        words = list(base[: 150 - k // 3])
+        for _ in range(k % 8):
+            words[int(rng.integers(len(words)))] = f"n{k % 20}"
+        rows.append((1000 + k, " ".join(words)))
+    held, prints = [_sets(t) for _, t in rows], [_word_prints(t) for _, t in rows]
+    every = range(len(rows))
+    near = [(a, b) for a in every for b in range(a) if held[a] == held[b] or min(_bits(x, y) for x, y in zip(prints[a], prints[b])) <= simhash.WIDE]
+    group = _components(list(every), near)
+    alike = [(a, b) for a in every for b in range(a) if group[a] == group[b] and 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))]
+    want = sorted(rows[k][0] for k in set(_components(list(every), alike).values()))
+    assert len(set(alike) - set(near)) > 10 and 20 < len(want) < 180
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.filter_documents(df, block=block).collect()) == want
+
+
 # ---- suffixes
 
 
